@@ -47,28 +47,36 @@ def body_text(company: Column, skills: Column, description: Column) -> Column:
     return F.lower(F.concat_ws(" ", company, skills, description))
 
 
-def relevance(title: Column, canonical: Column, body_lower: Column, query: str | None, compat: bool = False) -> Column:
-    """``struct(score, reason)``; the best comma phrase wins, the first one on ties.
+_RULES = {
+    100: "exact_phrase_in_title",
+    85: "all_tokens_in_title",
+    60: "majority_tokens_plus_synonym_in_title",
+    40: "all_tokens_but_only_in_body",
+    15: "partial_title_overlap",
+    0: "no_overlap",
+}
+
+
+def title_of(title: Column, canonical: Column) -> Column:
+    return norm_text(F.coalesce(F.nullif(title, F.lit("")), canonical))
+
+
+def relevance_rank(title_norm: Column, body_lower: Column, query: str | None, compat: bool = False) -> Column:
+    """One sortable integer: score in percent, then the earlier comma phrase, then the rule that fired.
 
     The body is only read when the title decides nothing (CASE branches are lazy), and it is
-    probed with one regex per query word instead of being tokenised.
+    probed once per query word instead of being tokenised.
     """
-    groups = parse_query(query)
-    if not groups:
-        return F.struct(F.lit(1.0).alias("score"), F.lit("no_query_all_match").alias("reason"))
-    title_norm = norm_text(F.coalesce(F.nullif(title, F.lit("")), canonical))
     words = tokens_of(title_norm, V.RELEVANCE_STOP_WORDS)
     negative = negative_title(title_norm, compat)
-
-    def score_of(g: QueryGroup) -> tuple[Column, Column]:
-        hits = F.lit(0)
+    ranks = []
+    for i, g in enumerate(parse_query(query)):
+        hits = F.size(F.array_intersect(words, F.array(*[F.lit(t) for t in g.tokens])))
         everywhere = F.lit(True)
         for t in g.tokens:
-            in_title = F.array_contains(words, t)
-            hits = hits + in_title.cast("int")
-            everywhere = everywhere & (in_title | has_norm_token(body_lower, t))
+            everywhere = everywhere & (F.array_contains(words, t) | has_norm_token(body_lower, t))
         n = len(g.tokens)
-        code = (
+        rule = (
             F.when(title_norm.contains(g.phrase), F.lit(100))
             .when(hits == n, F.lit(85))
             .when(hits * 2 >= n, F.lit(60))
@@ -76,72 +84,60 @@ def relevance(title: Column, canonical: Column, body_lower: Column, query: str |
             .when(hits > 0, F.lit(15))
             .otherwise(F.lit(0))
         )
-        return code, F.when((code >= 60) & negative, F.lit(35)).otherwise(code)
-
-    # rank = score * 1000 - position keeps the first phrase on ties; raw keeps the unpenalised rule.
-    best = None
-    for i, g in enumerate(groups):
-        raw, code = score_of(g)
-        cand = F.struct(code.alias("code"), F.lit(-i).alias("pos"), raw.alias("raw"))
-        best = cand if best is None else F.greatest(best, cand)
-    rule = F.create_map(
-        F.lit(100), F.lit("exact_phrase_in_title"),
-        F.lit(85), F.lit("all_tokens_in_title"),
-        F.lit(60), F.lit("majority_tokens_plus_synonym_in_title"),
-        F.lit(40), F.lit("all_tokens_but_only_in_body"),
-        F.lit(15), F.lit("partial_title_overlap"),
-        F.lit(0), F.lit("no_overlap"),
-    )
-    reason = F.concat(
-        F.element_at(rule, best["raw"]),
-        F.when(best["code"] == 35, F.lit("_but_negative_title_signal")).otherwise(F.lit("")),
-    )
-    return F.struct((best["code"] / 100.0).alias("score"), reason.alias("reason"))
-
-
-def match_tier(title: Column, canonical: Column, body_lower: Column, exp: Expansion) -> Column:
-    """``struct(tier, term, weight)``: core, strong, related, else the skills rescue, else none."""
-    hay = norm_text(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(canonical, F.lit(""))))
-    words = F.split(hay, " ")
+        # let-binding, so that the rule is worked out once
+        scored = F.transform(F.array(rule), lambda r: F.when((r >= 60) & negative, F.lit(35)).otherwise(r) * 1_000_000 + r)
+        ranks.append(F.get(scored, F.lit(0)) + F.lit((999 - i) * 1000))
+    if not ranks:
+        return F.lit(100_000_000)
+    return ranks[0] if len(ranks) == 1 else F.greatest(*ranks)
+
+
+def score_of_rank(rank: Column) -> Column:
+    return F.floor(rank / 1_000_000).cast("double") / 100.0
+
+
+def reason_of_rank(rank: Column, query: str | None) -> Column:
+    if not parse_query(query):
+        return F.lit("no_query_all_match")
+    rule = F.pmod(rank, F.lit(1000))
+    out = None
+    for code, name in _RULES.items():
+        out = F.when(rule == code, F.lit(name)) if out is None else out.when(rule == code, F.lit(name))
+    capped = F.floor(rank / 1_000_000) == 35
+    return F.concat(out, F.when(capped, F.lit("_but_negative_title_signal")).otherwise(F.lit("")))
+
+
+def tier_hay(title: Column, canonical: Column) -> Column:
+    return norm_text(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(canonical, F.lit(""))))
+
+
+def match_tier(hay: Column, body_lower: Column, exp: Expansion) -> Column:
+    """``struct(tier, term)``: core, strong, related, else the skills rescue, else none."""
 
     def hit(term: str) -> Column:
         n = norm_literal(term)
-        out = hay.contains(n)
-        if " " in n:  # a single word that is a token is also a substring
-            every = F.lit(True)
-            for w in n.split(" "):
-                every = every & F.array_contains(words, w)
-            out = out | every
-        return out
-
-    def first_of(terms: list[str]) -> Column:
-        usable = [t for t in terms if norm_literal(t)]
-        if not usable:
-            return F.lit(None).cast("string")
-        return F.coalesce(*[F.when(hit(t), F.lit(t)) for t in usable])
-
-    core, strong, related = first_of(exp.core), first_of(exp.strong), first_of(exp.related)
-    found = F.lit(None).cast("array<string>")
+        if " " not in n:  # a single word that is a token is also a substring
+            return hay.contains(n)
+        every = F.lit(True)
+        for w in n.split(" "):
+            every = every & F.contains(F.concat(F.lit(" "), hay, F.lit(" ")), F.lit(f" {w} "))
+        return hay.contains(n) | every
+
+    def tier(name: str, term: Column) -> Column:
+        return F.struct(F.lit(name).alias("tier"), term.alias("term"))
+
+    named = [("core", t) for t in exp.core] + [("strong", t) for t in exp.strong] + [("related", t) for t in exp.related]
+    tries = [F.when(hit(t), tier(name, F.lit(t))) for name, t in named if norm_literal(t)]
     if exp.skills:
-        found = F.filter(
-            F.array(*[F.when(has_norm_phrase(body_lower, norm_literal(s)), F.lit(s)) for s in exp.skills]),
-            lambda s: s.isNotNull(),
+        found = F.array_compact(
+            F.array(*[F.when(has_norm_phrase(body_lower, norm_literal(s)), F.lit(s)) for s in exp.skills])
+        )
+        enough = F.filter(
+            F.array(found), lambda f: (F.size(f) >= 3) | ((F.size(f) >= 2) & hay.contains("engineer"))
         )
-    rescue = F.when(
-        (F.size(found) >= 3) | ((F.size(found) >= 2) & hay.contains("engineer")),
-        F.array_join(F.slice(found, 1, 3), "+"),
-    )
-    w = V.TIER_WEIGHT
-    tier = lambda name, term, weight: F.struct(
-        F.lit(name).alias("tier"), term.alias("term"), F.lit(weight).alias("weight")
-    )
-    return (
-        F.when(core.isNotNull(), tier("core", core, w["core"]))
-        .when(strong.isNotNull(), tier("strong", strong, w["strong"]))
-        .when(related.isNotNull(), tier("related", related, w["related"]))
-        .when(rescue.isNotNull(), tier("related", rescue, w["skills"]))
-        .otherwise(tier("none", F.lit(""), 0.0))
-    )
+        rescued = F.transform(enough, lambda f: tier("related", F.array_join(F.slice(f, 1, 3), "+")))
+        tries.append(F.get(rescued, F.lit(0)))
+    return F.coalesce(*tries, tier("none", F.lit("")))
 
 
 def matches_term_groups(title: Column, canonical: Column, groups: list[list[str]]) -> Column:

@@ -17,7 +17,7 @@ from postlake.functions.expansion import Expansion, expand
 from postlake.functions.jobs import canonical_job_type, canonical_job_type_literal
 from postlake.functions.keys import filter_hash
 from postlake.functions.links import valid_direct_url
-from postlake.functions.relevance import body_text, match_tier, matches_term_groups
+from postlake.functions.relevance import body_text, match_tier, matches_term_groups, tier_hay
 from postlake.functions.text import contains_any, strip, term_groups_literal
 
 
@@ -114,19 +114,19 @@ def free_text_ok(r: SearchRequest) -> Column:
     return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in fields])).contains(r.q.strip().lower())
 
 
-def keyword_reason(r: SearchRequest) -> Column:
-    """``title_mismatch``, ``query_mismatch`` or NULL."""
-    exp = r.expansion
-    groups = term_groups_literal(r.title)
-    words = matches_term_groups(F.col("title"), F.col("canonical_title"), groups)
-    if exp.widened:
-        tier = match_tier(F.col("title"), F.col("canonical_title"), body_column(), exp)["tier"]
-        words = (tier != "none") | words
-    return F.when(~words, F.lit("title_mismatch")).when(~free_text_ok(r), F.lit("query_mismatch"))
+def with_tier(df: DataFrame, r: SearchRequest, needed: Column | None = None) -> DataFrame:
+    """Adds ``mt``, the match tier; where ``needed`` is false the text is not looked at."""
+    hay = tier_hay(F.col("title"), F.col("canonical_title"))
+    out = df.withColumns({"_hay": hay, "_text": body_column()})
+    mt = match_tier(F.col("_hay"), F.col("_text"), r.expansion)
+    return out.withColumn("mt", mt if needed is None else F.when(needed, mt)).drop("_hay", "_text")
 
 
 def with_reason(df: DataFrame, r: SearchRequest, as_of: Column) -> DataFrame:
-    """Adds ``reason``: the first failing check in order, NULL when the row passes."""
+    """Adds ``reason``: the first failing check in order, NULL when the row passes.
+
+    The text of a posting is only read for rows that passed every cheaper check.
+    """
     out = with_freshness(df) if "freshness_ts" not in df.columns else df
     want = canonical_job_type_literal(r.job_type)
     type_code = "job_type_mismatch_remote_when_onsite_requested" if want == "onsite_only" else "job_type_mismatch"
@@ -138,10 +138,21 @@ def with_reason(df: DataFrame, r: SearchRequest, as_of: Column) -> DataFrame:
         (job_type_ok(r), type_code),
         (fresh_ok(r, as_of), "stale_date"),
     ]
-    reason = None
+    first = None
     for ok, code in checks:
-        reason = F.when(~ok, F.lit(code)) if reason is None else reason.when(~ok, F.lit(code))
-    return out.withColumn("reason", reason.otherwise(keyword_reason(r)))
+        first = F.when(~ok, F.lit(code)) if first is None else first.when(~ok, F.lit(code))
+    cols = out.columns
+    out = out.withColumn("_failed", first)
+    words = matches_term_groups(F.col("title"), F.col("canonical_title"), term_groups_literal(r.title))
+    if r.expansion.widened:
+        out = with_tier(out, r, needed=F.col("_failed").isNull())
+        words = (F.col("mt.tier") != "none") | words
+    reason = (
+        F.when(F.col("_failed").isNotNull(), F.col("_failed"))
+        .when(~words, F.lit("title_mismatch"))
+        .when(~free_text_ok(r), F.lit("query_mismatch"))
+    )
+    return out.select(*cols, reason.alias("reason"))
 
 
 def prefilter(df: DataFrame, r: SearchRequest, as_of: Column) -> DataFrame:

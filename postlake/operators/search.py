@@ -6,23 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlake import fixed_values as V
-from postlake.functions.relevance import match_tier, relevance
-from postlake.operators.guard import SearchRequest, body_column, with_reason
-
-
-def scored(df: DataFrame, query: str | None) -> DataFrame:
-    rel = relevance(F.col("title"), F.col("canonical_title"), body_column(), query)
-    return df.withColumn("rel", rel).select(
-        *df.columns,
-        F.col("rel.score").alias("relevance_score"),
-        F.col("rel.reason").alias("relevance_reason"),
-        (F.col("rel.score") >= V.EXACT_MATCH_SCORE).alias("is_exact"),
+from postlake.functions.relevance import reason_of_rank, relevance_rank, score_of_rank, title_of
+from postlake.operators.guard import SearchRequest, body_column, with_reason, with_tier
+
+
+def scored(df: DataFrame, query: str | None, compat: bool = False) -> DataFrame:
+    """Adds the relevance columns; helper columns are projected first so each is worked out once per row."""
+    title = title_of(F.col("title"), F.col("canonical_title"))
+    return (
+        df.withColumns({"_title": title, "_body": body_column()})
+        .withColumn("_rank", relevance_rank(F.col("_title"), F.col("_body"), query, compat))
+        .select(
+            *df.columns,
+            score_of_rank(F.col("_rank")).alias("relevance_score"),
+            reason_of_rank(F.col("_rank"), query).alias("relevance_reason"),
+            (score_of_rank(F.col("_rank")) >= V.EXACT_MATCH_SCORE).alias("is_exact"),
+        )
     )
 
 
 def tiered(df: DataFrame, r: SearchRequest) -> DataFrame:
-    t = match_tier(F.col("title"), F.col("canonical_title"), body_column(), r.expansion)
-    return df.withColumn("mt", t).select(
+    return with_tier(df, r).select(
         *df.columns, F.col("mt.tier").alias("match_tier"), F.col("mt.term").alias("matched_term")
     )
 
