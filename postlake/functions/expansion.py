@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlake import fixed_values as V
@@ -80,7 +80,7 @@ def families_literal() -> Column:
 
 
 def core_terms(title: Column) -> Column:
-    parts = F.transform(F.split(F.coalesce(title, F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(title, F.lit("")), ","), lambda p: F.trim(p))
     return F.filter(parts, lambda p: p != "")
 
 
@@ -121,6 +121,15 @@ def expansion_columns(title: Column, mode: Column) -> dict[str, Column]:
     }
 
 
+def expand_requests(requests: DataFrame) -> DataFrame:
+    """Requests with their expansion arrays; each distinct (title, mode) is expanded once and joined back."""
+    title = F.when(F.lower("title") == "all", F.lit("")).otherwise(F.coalesce("title", F.lit("")))
+    req = requests.withColumns({"_title": title, "_mode": F.coalesce("search_mode", F.lit("hybrid"))})
+    arrays = expansion_columns(F.col("_title"), F.col("_mode"))
+    widened = req.select("_title", "_mode").distinct().select("*", *[x.alias(k) for k, x in arrays.items()])
+    return req.join(widened, ["_title", "_mode"]).drop("_title", "_mode")
+
+
 def synonym_expansion(tokens: Column) -> Column:
     """Tokens plus every synonym group one of whose members occurs; groups are tried in order and grow the set."""
     joined = F.array_join(tokens, " ")

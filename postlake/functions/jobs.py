@@ -71,7 +71,7 @@ def job_type_from_text(text: Column, contract_words: list[str] = V.LISTING_CONTR
 def schedule_job_type(codes: Column) -> Column:
     """Job type of a list of schedule names and codes."""
     combined = F.lower(F.array_join(codes, " "))
-    clean = F.transform(codes, F.trim)
+    clean = F.transform(codes, lambda c: F.trim(c))
     return (
         F.when(F.exists(clean, lambda c: (c == "1") | (c == "full") | c.contains("full")), F.lit("full_time"))
         .when(F.exists(clean, lambda c: (c == "2") | (c == "part") | c.contains("part")), F.lit("part_time"))

@@ -230,3 +230,81 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
             pick(PROMPTS, conv + turn).alias("message"),
         )
     )
+
+
+def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posting-date texts in every shape the sources use, one per event."""
+    n, stamp = F.col("event_id"), F.col("ts")
+    fmt = lambda p: F.date_format(stamp, p)
+    seconds = F.floor(F.unix_micros(stamp.cast("timestamp")) / 1_000_000)
+    millis = F.floor(F.unix_micros(stamp.cast("timestamp")) / 1_000)
+    number = lambda k: (n % k + 1).cast("string")
+    shapes = [
+        F.concat(fmt("yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")), fmt("yyyy-MM-dd"), seconds.cast("string"),
+        millis.cast("string"), fmt("EEE, dd MMM yyyy HH:mm:ss '+0000'"), F.lit("Today"), F.lit("yesterday"),
+        F.concat(number(28), F.lit(" days ago")), F.concat(number(9), F.lit("+ weeks ago")), F.lit("a few days ago"),
+        fmt("EEEE, d MMMM yyyy"), fmt("MMMM d, yyyy"), fmt("MM/dd/yyyy"), F.lit("soon"),
+        F.concat(number(50), F.lit(" minutes ago")), fmt("EEE, dd MMM yyyy HH:mm:ss '-0530'"), F.lit(None).cast("string"),
+        fmt("yyyy-MM-dd 00:00:00"),
+    ]
+    raw = None
+    for i, shape in enumerate(shapes):
+        hit = n % len(shapes) == i
+        raw = F.when(hit, shape) if raw is None else raw.when(hit, shape)
+    return table(spark, sf_dir, "events").select(n.alias("ord"), raw.alias("raw_date"), pick(V.PORTAL_IDS, n).alias("portal"))
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetched pages: the whole html plus job anchors, structured data and refusals on some of them."""
+    n = F.col("page_id")
+    key = n.cast("string")
+    anchors = F.array_join(
+        F.transform(
+            F.sequence(F.lit(0), (n % 7).cast("int")),
+            lambda i: F.concat(
+                F.lit('<a href="/jobs/view/'), key, F.lit("-"), i.cast("string"), F.lit('">Job '), i.cast("string"),
+                F.lit(" on <b>page</b> "), key, F.lit("</a>"),
+            ),
+        ),
+        "",
+    )
+    other = F.concat(
+        F.lit('<a class="x" href="https://jobs.example.com/job/'), key, F.lit('">Open &amp; free role '), key,
+        F.lit('</a><a href="viewjob?jk='), key, F.lit('">ab</a>'),
+    )
+    company = F.concat(F.lit("Firm "), key)
+    posting = lambda title: F.concat(
+        F.lit('{"@type":"JobPosting","title":"'), title, F.lit('","hiringOrganization":{"name":"'), company,
+        F.lit('"},"jobLocation":{"address":{"addressLocality":"Pune","addressCountry":"IN"}},"datePosted":"2024-01-09",'
+              '"description":"Build things","url":"https://jobs.example.com/job/'), key, F.lit('"}'),
+    )
+    flat = F.concat(
+        F.lit('{"@type":["Thing","JobPosting"],"name":"Flat role '), key, F.lit('","hiringOrganization":"'), company,
+        F.lit('","jobLocation":{"address":"Remote desk"},"employmentType":"CONTRACT"}'),
+    )
+    script = lambda body: F.concat(F.lit('<script type="application/ld+json">'), body, F.lit("</script>"))
+    graph = F.concat(
+        F.lit('{"@graph":['), posting(F.concat(F.lit("Graph role "), key)), F.lit(',{"@type":"Person","name":"x"}]}')
+    )
+    listed = F.concat(F.lit("["), posting(F.concat(F.lit("Listed role "), key)), F.lit(","), flat, F.lit("]"))
+    state = F.concat(
+        F.lit('<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"'),
+        F.when(n % 2 == 0, F.lit("jobs")).otherwise(F.lit("listings")),
+        F.lit('":[{"title":"State role '), key, F.lit('","company":{"name":"'), company, F.lit('"},"url":"https://s.example.com/'),
+        key, F.lit('","summary":"remote work"},{"role":"Second role '), key, F.lit('","companyName":"'), company,
+        F.lit('","description":"on site"}]}}}</script>'),
+    )
+    none = F.lit("")
+    html = F.concat(
+        F.col("html"),
+        F.when(n % 2 == 0, anchors).otherwise(none),
+        F.when(n % 3 == 0, other).otherwise(none),
+        F.when(n % 5 == 1, F.lit("<p>Access Denied</p>")).otherwise(none),
+        F.when(n % 4 == 0, script(graph)).when(n % 4 == 1, script(listed)).otherwise(none),
+        F.when(n % 6 == 0, state).otherwise(none),
+    )
+    status = F.when(n % 7 == 3, 403).when(n % 11 == 5, 503).otherwise(200)
+    headers = F.when(n % 9 == 4, F.lit("CF-RAY:abc")).otherwise(F.lit("server:nginx"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", "url", status.alias("status"), headers.alias("headers"), html.alias("html")
+    )
