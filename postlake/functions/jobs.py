@@ -58,12 +58,17 @@ def ledger_job_type(raw: Column) -> Column:
     return out.otherwise(s)
 
 
-def job_type_from_text(text: Column, contract_words: list[str] = V.LISTING_CONTRACT_WORDS) -> Column:
+def job_type_from_text(
+    text: Column,
+    contract_words: list[str] = V.LISTING_CONTRACT_WORDS,
+    part_words: list[str] = V.LISTING_PART_WORDS,
+    full_words: list[str] = V.LISTING_FULL_WORDS,
+) -> Column:
     t = F.lower(F.coalesce(text, F.lit("")))
     return (
         F.when(contains_any(t, contract_words), F.lit("contract"))
-        .when(contains_any(t, V.LISTING_PART_WORDS), F.lit("part_time"))
-        .when(contains_any(t, V.LISTING_FULL_WORDS), F.lit("full_time"))
+        .when(contains_any(t, part_words), F.lit("part_time"))
+        .when(contains_any(t, full_words), F.lit("full_time"))
         .otherwise(F.lit("unknown"))
     )
 

@@ -187,3 +187,20 @@ def company_after_dash(title: Column, default: str) -> Column:
         .when(F.instr(title, " - ") > 0, strip(F.get(F.split(title, " - ", 2), F.lit(1))))
         .otherwise(F.lit(default))
     )
+
+
+def title_case(c: Column) -> Column:
+    """Upper-case the first letter of every run of letters."""
+    runs = F.regexp_extract_all(c, F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.initcap(r)), "")
+
+
+def capitalize(c: Column) -> Column:
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1_000_000)))
+
+
+def iso_text(t: Column) -> Column:
+    """ISO stamp; the fraction is only written where there is one."""
+    whole = F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+    fraction = F.date_format(t, ".SSSSSS")
+    return F.when(fraction == ".000000", whole).otherwise(F.concat(whole, fraction))
