@@ -42,16 +42,23 @@ def pick(items: list, index: Column) -> Column:
     return F.get(arr, F.pmod(index, F.lit(len(items))).cast("int"))
 
 
+_TAG = re.compile("<[^>]*>")
+
+
 @F.pandas_udf(StringType())
-def unescape_entities(s: pd.Series) -> pd.Series:
-    # The full entity table is the standard library's; Arrow batches, one vector call per batch.
-    return s.map(html.unescape, na_action="ignore")
+def _plain_text(s: pd.Series) -> pd.Series:
+    # The full entity table is the standard library's; once the text is in Python the tags and
+    # blanks go in the same pass. Arrow batches, one call per batch.
+    return s.map(lambda x: " ".join(_TAG.sub("", html.unescape(x)).split()), na_action="ignore")
+
+
+# Declared non-deterministic so that a filter on the result does not run it a second time.
+_plain_text_once = _plain_text.asNondeterministic()
 
 
 def strip_html(c: Column) -> Column:
     """Entities first, then tags, then blanks; NULL becomes the empty string."""
-    plain = F.regexp_replace(unescape_entities(F.coalesce(c, F.lit(""))), "<[^>]*>", "")
-    return F.trim(F.regexp_replace(plain, r"(?U)[\s\x1c-\x1f]+", " "))
+    return _plain_text_once(F.coalesce(c, F.lit("")))
 
 
 def clean_for_match(c: Column) -> Column:
@@ -159,9 +166,10 @@ def keyword_key(c: Column) -> Column:
 
 def work_auth_note(c: Column) -> Column:
     """First sentence naming a work-authorization rule, at most 200 characters."""
-    pattern = "|".join(re.escape(p) for p in V.WORK_AUTH_PHRASES)
     sentences = F.transform(F.split(c, r"[.!?\n]"), strip)
-    return F.substring(F.get(F.filter(sentences, lambda s: F.lower(s).rlike(pattern)), F.lit(0)), 1, 200)
+    first = F.get(F.filter(sentences, lambda s: contains_any(F.lower(s), V.WORK_AUTH_PHRASES)), F.lit(0))
+    # Most texts name no rule at all: one pass over the text spares them the split.
+    return F.when(contains_any(F.lower(c), V.WORK_AUTH_PHRASES), F.substring(first, 1, 200))
 
 
 def company_from_title(title: Column, default: str) -> tuple[Column, Column]:
