@@ -21,7 +21,7 @@ from postlake.session import cut_lineage
 
 def with_accepted(df: DataFrame, key: str, ts: str, id_col: str, ttl_seconds: Column) -> DataFrame:
     """Adds ``accepted`` and ``last_accepted_at`` (the accepted event that was in force before the row)."""
-    rows = df.withColumn("_ttl", ttl_seconds).withColumns(
+    rows = df.withColumn("_ttl", ttl_seconds.cast("bigint")).withColumns(
         {
             "_us": F.unix_micros(F.col(ts).cast("timestamp")),
             "_chunk": F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 3_600_000_000),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 def _joined_back(df: DataFrame, per_chunk: DataFrame, keys: list[str], chunk: str) -> DataFrame:
     """Left join on (keys, chunk), NULL keys included."""
-    right = per_chunk.select(*[F.col(k).alias(f"_k_{k}") for k in [*keys, chunk]], "_before")
+    right = per_chunk.select(*[F.col(k).alias(f"_k_{k}") for k in [*keys, chunk]], "_prior")
     same = None
     for k in [*keys, chunk]:
         c = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
@@ -43,11 +43,11 @@ def carry_last(
         *[edge_of(f"_v_{k}", F.when(F.col(f"_v_{k}").isNotNull(), at)).alias(f"_e_{k}") for k in values]
     )
     before = F.struct(*[F.last(f"_e_{k}", ignorenulls=True).over(across).alias(k) for k in values])
-    state = edges.select(*keys, chunk, before.alias("_before"))
+    state = edges.select(*keys, chunk, before.alias("_prior"))
     within = rows.withColumns({f"_w_{k}": F.last(f"_v_{k}", ignorenulls=True).over(inside) for k in values})
     joined = _joined_back(within, state, keys, chunk)
     kept = [c for c in df.columns if c not in values]
-    return joined.select(*kept, *[F.coalesce(f"_w_{k}", F.col(f"_before.{k}")).alias(k) for k in values])
+    return joined.select(*kept, *[F.coalesce(f"_w_{k}", F.col(f"_prior.{k}")).alias(k) for k in values])
 
 
 def running_sum(df: DataFrame, keys: list[str], chunk: str, order: list[str], value: Column, out: str, *,
@@ -57,14 +57,14 @@ def running_sum(df: DataFrame, keys: list[str], chunk: str, order: list[str], va
     rows = df.withColumn("_value", value)
     across = W.partitionBy(*keys).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
     state = rows.groupBy(*keys, chunk).agg(F.sum("_value").alias("_sum")).select(
-        *keys, chunk, F.sum("_sum").over(across).alias("_before")
+        *keys, chunk, F.sum("_sum").over(across).alias("_prior")
     )
     within = rows.withColumn("_within", F.sum("_value").over(inside))
     zero = F.lit(0)
     return (
         _joined_back(within, state, keys, chunk)
-        .withColumn(out, F.coalesce("_within", zero) + F.coalesce("_before", zero))
-        .drop("_value", "_within", "_before")
+        .withColumn(out, F.coalesce("_within", zero) + F.coalesce("_prior", zero))
+        .drop("_value", "_within", "_prior")
     )
 
 

@@ -76,6 +76,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_name(kind: str, sf_dir: str) -> str:
+    return f"{kind}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:12]}"
+
+
 def job_columns(e: str = "event_id") -> dict[str, Column]:
     """Landed fields of a posting, from the ``events`` columns."""
     n, stamp = F.col(e), F.col("ts")
@@ -163,8 +167,7 @@ def build_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jobs(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
     """The stored postings table, written once per session; queries scan only the columns they use."""
-    name = "jobs-" + hashlib.sha256(sf_dir.encode()).hexdigest()[:12]
-    stored = written_once(spark, name, lambda: build_jobs(spark, sf_dir), ["source_platform"])
+    stored = written_once(spark, table_name("jobs", sf_dir), lambda: build_jobs(spark, sf_dir), ["source_platform"])
     return stored if text else stored.drop("description")
 
 

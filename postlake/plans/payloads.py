@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -243,5 +241,4 @@ def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
             raw = F.when(hit, POSTINGS[s]()) if raw is None else raw.when(hit, POSTINGS[s]())
         return B.jobs(spark, sf_dir, text=True).select("ord", pick(DISPATCH, n()).alias("source"), raw.alias("raw"))
 
-    name = "landing-" + hashlib.sha256(sf_dir.encode()).hexdigest()[:12]
-    return written_once(spark, name, build, ["source"])
+    return written_once(spark, B.table_name("landing", sf_dir), build, ["source"])
