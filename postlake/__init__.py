@@ -1 +1,8 @@
 """postlake: job-posting ingest, resolution, search and audit as Spark DataFrame jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few Arrow functions travel with the job, so executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -189,10 +189,20 @@ def incoming_jobs(spark: SparkSession, sf_dir: str, text: bool = False) -> DataF
     return fresh.unionByName(again)
 
 
+def event_stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
+    """The same table as a file stream."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs_of(table(spark, sf_dir, "events"))
+
+
+def runs_of(events: DataFrame) -> DataFrame:
     n = F.col("event_id")
     error = F.col("event_type") == "error"
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         n.alias("run_id"),
         pick(V.PORTAL_IDS, F.col("user_id")).alias("portal"),
         F.concat(F.lit("Method "), (n % 4 + 1).cast("string")).alias("method"),
@@ -205,8 +215,12 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests_of(table(spark, sf_dir, "events"))
+
+
+def requests_of(events: DataFrame) -> DataFrame:
     n = F.col("event_id")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         n.alias("request_id"),
         F.col("ts"),
         pick(REQUEST_TITLES, F.col("user_id")).alias("title"),
@@ -221,11 +235,14 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prompts_of(table(spark, sf_dir, "conversations"))
+
+
+def prompts_of(conversations: DataFrame) -> DataFrame:
     conv, turn = F.col("conv_id"), F.col("turn")
     minutes = conv * 60 + turn * 7 + F.when((turn >= 4) & (conv % 3 == 0), 60).otherwise(0)
     return (
-        table(spark, sf_dir, "conversations")
-        .where(F.col("role") == "user")
+        conversations.where(F.col("role") == "user")
         .select(
             conv.alias("session_id"),
             turn.alias("turn"),

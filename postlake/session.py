@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,8 +61,13 @@ def written_once(spark: SparkSession, name: str, build: Callable[[], DataFrame],
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder; survives the loss of executors."""
+    """Write an intermediate result into the shared folder and read it back.
+
+    Like a reliable checkpoint it survives the loss of executors and ends the plan's growth; as a
+    table it also has a known size, so Spark broadcasts it where it is small and shuffles it where
+    it is not.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/steps/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
