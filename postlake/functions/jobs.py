@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postlake import fixed_values as V
-from postlake.functions.text import contains_any, strip
+from postlake.functions.text import contains_any, let, strip
 
 
 def canonical_title(title: Column) -> Column:
@@ -23,11 +23,16 @@ def canonical_title(title: Column) -> Column:
 
 
 def normalize_job_type(portal: Column, raw: Column, title: Column, description: Column) -> Column:
+    def by_words(text: Column) -> Column:
+        out = None
+        for name, words in V.JOB_TYPE_WORDS:
+            hit = contains_any(text, words)
+            out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
+        return out.otherwise(F.lit("unknown"))
+
     text = F.lower(F.concat_ws(" ", F.coalesce(raw, F.lit("")), title, description))
-    out = F.when(F.lower(F.trim(portal)).isin(V.CONTRACT_ONLY_PORTALS), F.lit("contract"))
-    for name, words in V.JOB_TYPE_WORDS:
-        out = out.when(contains_any(text, words), F.lit(name))
-    return out.otherwise(F.lit("unknown"))
+    fixed = F.lower(F.trim(portal)).isin(V.CONTRACT_ONLY_PORTALS)
+    return F.when(fixed, F.lit("contract")).otherwise(let(text, by_words))
 
 
 def canonical_job_type(raw: Column) -> Column:
@@ -64,12 +69,12 @@ def job_type_from_text(
     part_words: list[str] = V.LISTING_PART_WORDS,
     full_words: list[str] = V.LISTING_FULL_WORDS,
 ) -> Column:
-    t = F.lower(F.coalesce(text, F.lit("")))
-    return (
-        F.when(contains_any(t, contract_words), F.lit("contract"))
+    return let(
+        F.lower(F.coalesce(text, F.lit(""))),
+        lambda t: F.when(contains_any(t, contract_words), F.lit("contract"))
         .when(contains_any(t, part_words), F.lit("part_time"))
         .when(contains_any(t, full_words), F.lit("full_time"))
-        .otherwise(F.lit("unknown"))
+        .otherwise(F.lit("unknown")),
     )
 
 
@@ -86,8 +91,12 @@ def schedule_job_type(codes: Column) -> Column:
 
 
 def detect_remote(title: Column, description: Column, location: Column) -> Column:
-    text = F.lower(F.concat_ws(" ", title, description, location))
-    return text.rlike(r"(?U)\b(" + "|".join(V.REMOTE_WORDS) + r")\b")
+    pattern = r"(?U)\b(" + "|".join(V.REMOTE_WORDS) + r")\b"
+    # The plain substring test rules out most texts before the pattern runs.
+    return let(
+        F.lower(F.concat_ws(" ", title, description, location)),
+        lambda text: contains_any(text, V.REMOTE_WORDS) & text.rlike(pattern),
+    )
 
 
 def currency_for_country(country: Column) -> Column:

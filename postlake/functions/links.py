@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postlake import fixed_values as V
-from postlake.functions.text import contains_any, strip
+from postlake.functions.text import contains_any, let, strip
 
 
 def usable_apply_url(url: Column) -> Column:
@@ -58,25 +58,30 @@ def direct_url_for_portal(portal: Column, apply_links: Column, related_links: Co
     )
 
 
+def _refused(status: Column) -> Column:
+    return F.when(status.isin(403, 429), F.concat(F.lit("http_"), status.cast("string")))
+
+
 def detect_block(status: Column, body: Column) -> Column:
     """First block signature found, else the refusing status, else NULL."""
+
+    def signature(head: Column) -> Column:
+        return F.coalesce(*[F.when(head.contains(sig), F.lit(sig)) for sig in V.BLOCK_SIGNATURES])
+
     head = F.lower(F.substring(F.coalesce(body, F.lit("")), 1, V.BLOCK_SCAN_CHARS))
-    out = None
-    for sig in V.BLOCK_SIGNATURES:
-        out = F.when(head.contains(sig), F.lit(sig)) if out is None else out.when(head.contains(sig), F.lit(sig))
-    return out.when(status.isin(403, 429), F.concat(F.lit("http_"), status.cast("string")))
+    return F.coalesce(let(head, signature), _refused(status))
 
 
 def detect_block_vendor(status: Column, headers: Column, body: Column) -> Column:
     b = F.coalesce(body, F.lit(""))
     denied = contains_any(F.lower(F.substring(b, 1, V.PROXY_SCAN_CHARS)), V.PROXY_DENY_SIGNATURES)
+
+    def vendor(hay: Column) -> Column:
+        return F.coalesce(*[F.when(contains_any(hay, sigs), F.lit(name)) for name, sigs in V.BLOCK_VENDORS])
+
     hay = F.concat_ws(" ", F.lower(F.substring(b, 1, V.VENDOR_SCAN_CHARS)), F.lower(headers))
-    out = F.when(denied, F.lit("LOCAL_PROXY_DENY"))
-    for vendor, sigs in V.BLOCK_VENDORS:
-        out = out.when(contains_any(hay, sigs), F.lit(vendor))
-    return out.when(status.isin(403, 429), F.concat(F.lit("http_"), status.cast("string"))).when(
-        status >= 500, F.concat(F.lit("server_"), status.cast("string"))
-    )
+    broken = F.when(status >= 500, F.concat(F.lit("server_"), status.cast("string")))
+    return F.when(denied, F.lit("LOCAL_PROXY_DENY")).otherwise(F.coalesce(let(hay, vendor), _refused(status), broken))
 
 
 def visible_words(html: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -36,6 +37,15 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return out
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once.
+
+    Conditions are short-circuited, so Spark repeats an expression that several branches share;
+    over a long text (a lower-cased description, say) binding it to a lambda variable is far cheaper.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def pick(items: list, index: Column) -> Column:
     """``items[index % len(items)]`` as an expression; ``None`` entries stay NULL."""
     arr = F.array(*[F.lit(x).cast("string") if x is None else F.lit(x) for x in items])
@@ -165,11 +175,22 @@ def keyword_key(c: Column) -> Column:
 
 
 def work_auth_note(c: Column) -> Column:
-    """First sentence naming a work-authorization rule, at most 200 characters."""
-    sentences = F.transform(F.split(c, r"[.!?\n]"), strip)
-    first = F.get(F.filter(sentences, lambda s: contains_any(F.lower(s), V.WORK_AUTH_PHRASES)), F.lit(0))
-    # Most texts name no rule at all: one pass over the text spares them the split.
-    return F.when(contains_any(F.lower(c), V.WORK_AUTH_PHRASES), F.substring(first, 1, 200))
+    """First sentence naming a work-authorization rule, at most 200 characters.
+
+    The first phrase is located once and the sentence is cut out around it; splitting the text into
+    sentences would touch every one of them.
+    """
+    pattern = "(?iu)" + "|".join(re.escape(p) for p in V.WORK_AUTH_PHRASES)
+    ends = lambda t: F.translate(t, "!?\n", "...")
+
+    def sentence(at: Column) -> Column:
+        head, tail = F.substring(c, F.lit(1), at - 1), F.substr(c, at)
+        start = at - F.length(F.substring_index(ends(head), ".", -1))
+        stop = at + F.length(F.substring_index(ends(tail), ".", 1))
+        return F.substring(strip(F.substring(c, start, stop - start)), 1, 200)
+
+    named = let(F.lower(c), lambda low: contains_any(low, V.WORK_AUTH_PHRASES))
+    return F.when(named, let(F.regexp_instr(c, F.lit(pattern)), sentence))
 
 
 def company_from_title(title: Column, default: str) -> tuple[Column, Column]:

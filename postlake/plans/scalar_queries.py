@@ -168,21 +168,17 @@ def _(spark, d):
 
 @query("extract_contacts")
 def _(spark, d):
-    t = B.table(spark, d, "documents")
+    t = B.table(spark, d, "documents").select("doc_id", contacts.emails_in(c("text")).alias("mails"))
     return t.select(
-        "doc_id", contacts.recruiter_email(c("text")).alias("recruiter_email"),
-        contacts.company_email(c("text")).alias("company_email"),
-        F.size(contacts.emails_in(c("text"))).cast("bigint").alias("emails"),
+        "doc_id", contacts.first_personal(c("mails")).alias("recruiter_email"),
+        contacts.first_generic(c("mails")).alias("company_email"), F.size("mails").cast("bigint").alias("emails"),
     )
 
 
 @query("recruiter_name")
 def _(spark, d):
-    j = B.jobs(spark, d, text=True)
-    mail = contacts.recruiter_email(c("description"))
-    return j.select("id", "description", mail.alias("mail")).where(c("mail").isNotNull()).select(
-        "id", "mail", contacts.recruiter_name(c("description"), c("mail")).alias("name")
-    )
+    j = contacts.with_contacts(B.jobs(spark, d, text=True).select("id", "description", "company"))
+    return j.where(c("recruiter_email").isNotNull()).select("id", c("recruiter_email").alias("mail"), c("recruiter_name").alias("name"))
 
 
 @query("company_contact_email")
@@ -192,8 +188,8 @@ def _(spark, d):
 
 @query("enrich_contacts")
 def _(spark, d):
-    j = B.jobs(spark, d, text=True)
-    return j.select("id", *[x.alias(k) for k, x in contacts.contact_columns(c("description"), c("company")).items()])
+    j = contacts.with_contacts(B.jobs(spark, d, text=True).select("id", "description", "company"))
+    return j.drop("description", "company")
 
 
 @query("company_from_title")

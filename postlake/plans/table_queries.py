@@ -122,14 +122,12 @@ def _(spark, d):
 
 @query("enrichment_report")
 def _(spark, d):
-    j = B.jobs(spark, d, text=True)
-    return T.enrichment_report(j.select(*[x.alias(k) for k, x in contacts.contact_columns(c("description"), c("company")).items()]))
+    return T.enrichment_report(contacts.with_contacts(B.jobs(spark, d, text=True).select("description", "company")))
 
 
 @query("batch_enrich")
 def _(spark, d):
-    j = B.jobs(spark, d, text=True)
-    return j.select("id", *[x.alias(k) for k, x in contacts.contact_columns(c("description"), c("company")).items()])
+    return contacts.with_contacts(B.jobs(spark, d, text=True).select("id", "description", "company")).drop("description", "company")
 
 
 @query("corroboration")
