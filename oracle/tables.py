@@ -208,3 +208,66 @@ u AS (SELECT session_id, session_no, unnest(r) AS x FROM w)
 SELECT session_id, x.turn AS turn, session_no, x.f AS is_follow_up, x.d AS is_detail_request, x.query AS query, x.remote_only AS remote_only, x.country AS country, x.min_salary AS min_salary, x.platform AS platform FROM u""")
 O["lru_cap"] = S.with_prompts("""SELECT session_id, max(ts) AS last_accessed, count(*) AS prompts FROM prompts GROUP BY 1
 HAVING TIMESTAMP '2024-01-04 00:00:00' - max(ts) <= INTERVAL 60 DAY ORDER BY last_accessed DESC, session_id LIMIT 1000""")
+
+
+# --- fuzzy matching: distinct strings compared pair by pair -----------------------------------------
+def _words(x: str) -> str:
+    return f"list_sort(list_distinct(list_filter(string_split({x}, ' '), lambda w: w <> '')))"
+
+
+def _pairs(src: str, col: str, out: str, threshold: float) -> str:
+    """CTEs ending in ``out``(a, b, ratio): every pair of distinct ``col`` values of ``src``, with the full letter alignment."""
+    p = out + "_"
+    row = (
+        "list_transform(range(1, len(mask) + 1), lambda j: list_max(list_transform(range(1, j + 1), "
+        "lambda k: CASE WHEN mask[k] = 1 THEN coalesce(prev[k - 1], 0) + 1 ELSE prev[k] END)))"
+    )
+    return f"""
+{p}s AS (SELECT DISTINCT {col} AS v, {_words(col)} AS w FROM {src} WHERE {col} IS NOT NULL AND {col} <> ''),
+{p}c AS (SELECT l.v AS a, r.v AS b, list_filter(l.w, lambda x: list_contains(r.w, x)) AS i, array_to_string(list_filter(l.w, lambda x: NOT list_contains(r.w, x)), ' ') AS x,
+  array_to_string(list_filter(r.w, lambda x: NOT list_contains(l.w, x)), ' ') AS y FROM {p}s l, {p}s r),
+{p}m AS (SELECT *, length(array_to_string(i, ' ')) AS s, CASE WHEN len(i) > 0 THEN 1 ELSE 0 END AS g,
+  list_transform(string_split(x, ''), lambda c: list_transform(string_split(y, ''), lambda d: (c = d)::INTEGER)) AS masks,
+  list_transform(string_split(y, ''), lambda d: 0) AS zero FROM {p}c),
+{p}l AS (SELECT *, CASE WHEN x = '' OR y = '' THEN 0 ELSE list_reduce(list_prepend(zero, masks), lambda prev, mask: {row})[-1] END AS lcs FROM {p}m),
+{p}r AS (SELECT a, b, CASE WHEN len(i) > 0 AND (x = '' OR y = '') THEN 100.0 ELSE greatest(
+  100.0 * (1 - (length(x) + length(y) - 2 * lcs) / (2.0 * s + 2 * g + length(x) + length(y))),
+  CASE WHEN s > 0 THEN 100.0 * (1 - (g + length(x)) / (2.0 * s + g + length(x))) ELSE 0 END,
+  CASE WHEN s > 0 THEN 100.0 * (1 - (g + length(y)) / (2.0 * s + g + length(y))) ELSE 0 END) END::DOUBLE AS ratio FROM {p}l),
+{out} AS (SELECT * FROM {p}r WHERE ratio >= {threshold})"""
+
+
+from oracle.scalars import match_key  # noqa: E402
+
+_KEYED = f"kj AS (SELECT *, {match_key('company')} AS ck, {match_key('title')} AS tk FROM jobs)"
+O["token_set_ratio"] = J(f", {_KEYED}, {_pairs('kj', 'tk', 'tp', 76)} SELECT a AS t, b AS t_b, round(ratio, 6) AS ratio FROM tp")
+O["fuzzy_pairs"] = J(f""", {_KEYED}, {_pairs('kj', 'tk', 'tp', V.TITLE_MATCH_THRESHOLD)}, {_pairs('kj', 'ck', 'cp', V.COMPANY_MATCH_THRESHOLD)},
+sg AS (SELECT ck, tk, count(*) AS n FROM kj WHERE ck <> '' AND tk <> '' GROUP BY 1, 2)
+SELECT l.ck AS company_a, l.tk AS title_a, r.ck AS company_b, r.tk AS title_b, round(cp.ratio, 6) AS company_ratio, round(tp.ratio, 6) AS title_ratio, l.n AS n_a, r.n AS n_b
+FROM sg l JOIN cp ON cp.a = l.ck JOIN sg r ON r.ck = cp.b JOIN tp ON tp.a = l.tk AND tp.b = r.tk""")
+
+# Sequential resolution: stored postings and merged re-scrapes are taken first by order; the remaining
+# rows are folded signature by signature in order of first appearance (a signature blocks its own repeats,
+# and the links of these rows are all different).
+_FUZZY = f""", al AS (SELECT ord, apply_url, company, title, posted_date, 0 AS new FROM stored UNION ALL SELECT ord, apply_url, company, title, posted_date, 1 FROM incoming),
+kj AS (SELECT *, {match_key('company')} AS ck, {match_key('title')} AS tk FROM al), {_pairs('kj', 'tk', 'tp', V.TITLE_MATCH_THRESHOLD)}, {_pairs('kj', 'ck', 'cp', V.COMPANY_MATCH_THRESHOLD)},
+k2 AS (SELECT *, CASE WHEN ck <> '' AND tk <> '' THEN ck || '|' || tk END AS sig FROM kj),
+sg AS (SELECT DISTINCT ck, tk, sig FROM k2 WHERE sig IS NOT NULL),
+ed AS MATERIALIZED (SELECT l.sig AS a, r.sig AS b FROM sg l JOIN cp ON cp.a = l.ck JOIN sg r ON r.ck = cp.b JOIN tp ON tp.a = l.tk AND tp.b = r.tk),
+st AS (SELECT sig, min(ord) AS o, arg_min(apply_url, ord) AS u FROM k2 WHERE new = 0 AND sig IS NOT NULL GROUP BY 1),
+mt AS (SELECT ed.a AS sig, arg_min(st.u, st.o) AS url FROM ed JOIN st ON st.sig = ed.b GROUP BY 1),
+nw AS (SELECT k2.*, k2.apply_url IN (SELECT apply_url FROM stored) AS known FROM k2 WHERE new = 1),
+mg AS (SELECT ed.a AS sig, min(nw.ord) AS o FROM nw JOIN ed ON ed.b = nw.sig WHERE known GROUP BY 1),
+fr AS (SELECT nw.sig, min(nw.ord) AS o FROM nw LEFT JOIN mt ON mt.sig = nw.sig LEFT JOIN mg ON mg.sig = nw.sig AND mg.o < nw.ord
+  WHERE NOT known AND nw.sig IS NOT NULL AND mt.sig IS NULL AND mg.sig IS NULL GROUP BY 1),
+nb AS (SELECT fr.sig, fr.o, list(ed.b) AS near FROM fr JOIN ed ON ed.a = fr.sig GROUP BY 1, 2),
+fo AS (SELECT list_reduce(list_prepend([]::VARCHAR[], list_transform(list({{'s': sig, 'n': near}} ORDER BY o), lambda e: list_prepend(e.s, e.n))),
+  lambda kept, e: CASE WHEN list_has_any(kept, e[2:]) THEN kept ELSE list_append(kept, e[1]) END) AS kept FROM nb),
+rs AS (SELECT nw.ord, CASE WHEN known THEN 'merge' WHEN nw.sig IS NULL THEN 'kept' WHEN fr.sig IS NOT NULL AND fr.o = nw.ord AND list_contains((SELECT kept FROM fo), nw.sig) THEN 'kept' ELSE 'fuzzy' END AS outcome,
+  mt.url, nw.posted_date FROM nw LEFT JOIN mt ON mt.sig = nw.sig LEFT JOIN fr ON fr.sig = nw.sig),
+res AS (SELECT ord, outcome, CASE WHEN outcome = 'fuzzy' THEN url END AS refresh_url, posted_date FROM rs)"""
+O["greedy_dedup"] = N(_FUZZY + " SELECT ord, outcome, refresh_url FROM res")
+O["refresh_candidates"] = N(_FUZZY + """, rc AS (SELECT r.ord, r.refresh_url, r.posted_date AS new_date, s.posted_date AS old_date FROM res r JOIN stored s ON s.apply_url = r.refresh_url)
+SELECT *, CASE WHEN old_date IS NULL AND new_date IS NOT NULL AND ord = min(ord) FILTER (old_date IS NULL AND new_date IS NOT NULL) OVER (PARTITION BY refresh_url) THEN 'refreshed' ELSE 'skipped' END AS action FROM rc""")
+O["ingest_metrics"] = N(_FUZZY + """ SELECT count(*) AS normalised, count(*) FILTER (outcome = 'fuzzy') AS duplicates, count(*) FILTER (outcome = 'kept') AS inserted, count(*) FILTER (outcome = 'merge') AS reconfirmed,
+  round(100.0 * count(*) FILTER (outcome = 'fuzzy') / count(*), 1)::DOUBLE AS dedup_pct, round(100.0 * count(*) FILTER (outcome <> 'fuzzy') / count(*), 1)::DOUBLE AS clean_pct FROM res""")
