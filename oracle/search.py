@@ -200,7 +200,7 @@ O["search"] = T(
 O["match_yield"] = T(
     f", {FOUND} SELECT count(*) AS total, count(*) FILTER (is_exact) AS exact_matches, "
     "coalesce(round(count(*) FILTER (is_exact) / count(*), 3), 0.0)::DOUBLE AS match_yield, "
-    "coalesce(round(avg(relevance_score), 3), 0.0)::DOUBLE AS avg_score FROM score"
+    "coalesce(round(sum(round(relevance_score * 100)::BIGINT) / count(*), 1) / 100, 0.0)::DOUBLE AS avg_score FROM score"
 )
 O["results_by_tier"] = T(
     f", {FOUND} SELECT count(*) FILTER (match_tier = 'core') AS core, count(*) FILTER (match_tier = 'strong') AS strong, "

@@ -30,6 +30,11 @@ def ts(text: str) -> Column:
     return F.expr(f"TIMESTAMP_NTZ '{text}'")
 
 
+def micros(t: Column) -> Column:
+    """Microseconds since the epoch of a UTC wall-clock stamp."""
+    return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), t)
+
+
 def add_minutes(t: Column, minutes: Column | int) -> Column:
     return F.timestamp_add("MINUTE", minutes if isinstance(minutes, Column) else F.lit(minutes), t)
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from postlake.functions.dates import micros
 from postlake import fixed_values as V
 from postlake.operators.ordered import running_sum, top_per_group
 
@@ -26,7 +27,7 @@ def quota_usage(calls: DataFrame) -> DataFrame:
     )
     rows = calls.withColumns(
         {"source": F.lower(F.trim("source")), "day": F.col("ts").cast("date"),
-         "_minute": F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000)}
+         "_minute": F.floor(micros(F.col("ts")) / 60_000_000)}
     )
     ranked = running_sum(rows, ["source", "day"], "_minute", ["ts", "call_id"], F.lit(1), "_before", strict=True)
     return ranked.select(
@@ -42,7 +43,7 @@ def call_budget(calls: DataFrame, hourly: int = V.HOURLY_CALL_BUDGET, daily: int
 
     Decisions: ``ok``, ``hourly``, ``daily`` (denied, with the limit that bit) and ``reserve``.
     """
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    us = micros(F.col("ts"))
     rows = calls.withColumns({"_hour": F.floor(us / 3_600_000_000), "_day": F.floor(us / 86_400_000_000)})
     spent = F.least(F.count(F.lit(1)), F.lit(hourly))
     hours = rows.groupBy("_day", "_hour").agg(spent.alias("_want"))

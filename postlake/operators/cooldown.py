@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postlake.functions.dates import micros
 from postlake.operators.ordered import carry_last
 from postlake.session import cut_lineage
 
@@ -23,8 +24,8 @@ def with_accepted(df: DataFrame, key: str, ts: str, id_col: str, ttl_seconds: Co
     """Adds ``accepted`` and ``last_accepted_at`` (the accepted event that was in force before the row)."""
     rows = df.withColumn("_ttl", ttl_seconds.cast("bigint")).withColumns(
         {
-            "_us": F.unix_micros(F.col(ts).cast("timestamp")),
-            "_chunk": F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 3_600_000_000),
+            "_us": micros(F.col(ts)),
+            "_chunk": F.floor(micros(F.col(ts)) / 3_600_000_000),
         }
     )
     slim = rows.select(key, id_col, "_us", "_chunk", "_ttl")

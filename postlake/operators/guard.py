@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlake import fixed_values as V
-from postlake.functions.dates import age_hours, effective_freshness, freshness_reason, is_fresh, window_minutes_literal
+from postlake.functions.dates import add_minutes, age_hours, effective_freshness, freshness_reason, is_fresh, window_minutes_literal
 from postlake.functions.expansion import Expansion, expand
 from postlake.functions.jobs import canonical_job_type, canonical_job_type_literal
 from postlake.functions.keys import filter_hash
@@ -155,10 +155,19 @@ def with_reason(df: DataFrame, r: SearchRequest, as_of: Column) -> DataFrame:
     return out.select(*cols, reason.alias("reason"))
 
 
+def exact_filters(df: DataFrame, r: SearchRequest, as_of: Column) -> DataFrame:
+    """The filters that reach the scan: portal (a table partition), place, remote flag and the date bound.
+
+    Each is implied by the guard, so they change no result; the date bound lets the reader skip
+    row groups that are too old as a whole.
+    """
+    dated = F.col("posted_date").isNull() | (F.col("posted_date") >= add_minutes(as_of, -r.window))
+    return df.where(dated).where(platform_ok(r)).where(remote_ok(r)).where(country_ok(r)).where(job_type_ok(r))
+
+
 def prefilter(df: DataFrame, r: SearchRequest, as_of: Column) -> DataFrame:
     """All exact filters as one conjunction over the stored postings."""
-    out = df.where(platform_ok(r)).where(remote_ok(r)).where(country_ok(r)).where(job_type_ok(r))
-    return with_freshness(out).where(fresh_ok(r, as_of)).where(title_expanded_ok(r)).where(free_text_ok(r))
+    return with_freshness(exact_filters(df, r, as_of)).where(fresh_ok(r, as_of)).where(title_expanded_ok(r)).where(free_text_ok(r))
 
 
 def freshness_debug(df: DataFrame, window: int, as_of: Column) -> DataFrame:

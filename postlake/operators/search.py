@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postlake import fixed_values as V
 from postlake.functions.relevance import reason_of_rank, relevance_rank, score_of_rank, title_of
-from postlake.operators.guard import SearchRequest, body_column, with_reason, with_tier
+from postlake.operators.guard import SearchRequest, body_column, exact_filters, with_reason, with_tier
 
 
 def scored(df: DataFrame, query: str | None, compat: bool = False) -> DataFrame:
@@ -57,7 +57,7 @@ def recent_order() -> list[Column]:
 
 def search_rows(jobs: DataFrame, r: SearchRequest, as_of: Column) -> DataFrame:
     """Rows that pass the guard, scored and tiered, not yet ordered."""
-    passed = with_reason(jobs, r, as_of).where(F.col("reason").isNull()).drop("reason")
+    passed = with_reason(exact_filters(jobs, r, as_of), r, as_of).where(F.col("reason").isNull()).drop("reason")
     query = ", ".join(r.expansion.core)
     return tiered(scored(passed, query), r)
 
@@ -71,11 +71,12 @@ def search_page(jobs: DataFrame, r: SearchRequest, as_of: Column, limit: int = 5
 def match_yield(scored_rows: DataFrame) -> DataFrame:
     exact = F.count_if(F.col("is_exact"))
     n = F.count(F.lit(1))
+    percent = F.round(F.col("relevance_score") * 100).cast("bigint")  # whole numbers add up exactly in any order
     return scored_rows.agg(
         n.alias("total"),
         exact.alias("exact_matches"),
         F.coalesce(F.round(exact / n, 3), F.lit(0.0)).alias("match_yield"),
-        F.coalesce(F.round(F.avg("relevance_score"), 3), F.lit(0.0)).alias("avg_score"),
+        F.coalesce(F.round(F.sum(percent) / n, 1) / 100, F.lit(0.0)).alias("avg_score"),
     )
 
 

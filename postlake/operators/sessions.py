@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postlake.functions.dates import micros
 from postlake import fixed_values as V
 from postlake.functions.prompts import intent_columns
 from postlake.operators.ordered import carry_last, running_sum
@@ -19,7 +20,7 @@ def carried_intent(prompts: DataFrame, idle_minutes: int = V.SESSION_IDLE_MINUTE
     A field is inherited along a run of follow-ups until a prompt states it itself, so the
     chained inheritance is the last stated value: a prompt that is no follow-up states all fields.
     """
-    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
+    hour = F.floor(micros(F.col("ts")) / 3_600_000_000)
     own = prompts.select("session_id", "turn", "ts", *[c.alias(k) for k, c in intent_columns(F.col("message")).items()])
     own = own.withColumn("_hour", hour)
     order = ["ts", "turn"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from postlake import fixed_values as V
 from postlake.functions.text import contains_any
 from postlake.operators.ordered import top_per_group
+from postlake.session import cut_lineage
 
 n_rows = lambda: F.count(F.lit(1))
 
@@ -33,15 +34,26 @@ def top_companies(jobs: DataFrame, k: int = 5) -> DataFrame:
 
 
 def market_insights(jobs: DataFrame, keyword: str, k: int = 5) -> DataFrame:
-    """Keyword totals next to the top companies, both of the matching postings and of all."""
+    """Keyword totals next to the top companies, both of the matching postings and of all.
+
+    The texts are searched in one pass; totals and both rankings come from the per-company counts.
+    """
     kw = keyword.strip().lower()
     hit = F.lit(False)
     for c in ("title", "company", "description"):
         hit = hit | F.lower(F.coalesce(F.col(c), F.lit(""))).contains(kw)
-    matching = jobs.where(hit)
-    top = lambda df, scope: top_companies(df, k).withColumn("scope", F.lit(scope))
-    tops = top(matching, "matching").unionByName(top(jobs, "all"))
-    return tops.crossJoin(F.broadcast(overview(matching)))  # the right side is one row
+    per = cut_lineage(
+        jobs.select("company", "remote_flag", hit.alias("hit")).groupBy("company").agg(
+            n_rows().alias("n"), F.count_if("hit").alias("m"), F.count_if(F.col("hit") & F.col("remote_flag")).alias("r")
+        )
+    )
+    total, remote = F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum("r"), F.lit(0))
+    totals = per.agg(total.alias("total"), remote.alias("remote"), percent(remote, total).alias("remote_pct"))
+    top = lambda c, scope: (
+        per.where(F.col(c) > 0).select("company", F.col(c).alias("n"), F.lit(scope).alias("scope"))
+        .orderBy(F.desc("n"), F.asc("company")).limit(k)
+    )
+    return top("m", "matching").unionByName(top("n", "all")).crossJoin(F.broadcast(totals))  # the right side is one row
 
 
 def rejection_histogram(reasons: DataFrame, top: int = 3) -> DataFrame:

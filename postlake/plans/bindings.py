@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlake import fixed_values as V
-from postlake.functions.dates import precision_from_stored, ts
+from postlake.functions.dates import micros, precision_from_stored, ts
 from postlake.functions.jobs import (
     canonical_title,
     city_country,
@@ -256,8 +256,8 @@ def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posting-date texts in every shape the sources use, one per event."""
     n, stamp = F.col("event_id"), F.col("ts")
     fmt = lambda p: F.date_format(stamp, p)
-    seconds = F.floor(F.unix_micros(stamp.cast("timestamp")) / 1_000_000)
-    millis = F.floor(F.unix_micros(stamp.cast("timestamp")) / 1_000)
+    seconds = F.floor(micros(stamp) / 1_000_000)
+    millis = F.floor(micros(stamp) / 1_000)
     number = lambda k: (n % k + 1).cast("string")
     shapes = [
         F.concat(fmt("yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")), fmt("yyyy-MM-dd"), seconds.cast("string"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postlake.functions.dates import micros
 from postlake.functions.text import iso_text, pick
 from postlake.plans import bindings as B
 from postlake.session import written_once
@@ -68,7 +69,7 @@ def _greenhouse() -> Column:
 
 
 def _lever() -> Column:
-    millis = F.unix_millis(c("posted_date").cast("timestamp"))
+    millis = F.floor(micros(c("posted_date")) / 1000)
     return F.to_json(_obj(
         text=_title(), _company_slug=F.lit("globex-labs"), hostedUrl=c("apply_url"),
         categories=_obj(location=c("location_raw"), commitment=c("job_type_raw")),

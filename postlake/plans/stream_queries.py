@@ -21,7 +21,7 @@ c = F.col
 @query("stream_ingest")
 def _(spark, d):
     landed = P.landing(spark, d)
-    stream = spark.readStream.schema(landed.schema).parquet(landed.inputFiles()[0].rsplit("/", 1)[0])
+    stream = spark.readStream.schema(landed.schema).parquet(landed.inputFiles()[0].split("/source=")[0])
     stored = B.stored_jobs(spark, d)
     base = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/streams/ingest-{uuid.uuid4().hex[:8]}"
     empty = stored.select(*MERGE_COLUMNS, "ord").limit(0)

@@ -49,13 +49,14 @@ _written: dict[tuple[str, str], str] = {}
 def written_once(spark: SparkSession, name: str, build: Callable[[], DataFrame], by: list[str]) -> DataFrame:
     """Write a table into the shared folder the first time it is asked for and read it afterwards.
 
-    The rows are rebalanced by ``by``, so a value that holds a third of the table is split over
-    several files instead of landing in one task.
+    The table is partitioned by ``by``. The rows are rebalanced by it before the write, so a value
+    that holds a third of the table is split over several files instead of landing in one task,
+    and a rare value does not leave one small file per task.
     """
     key = (spark.sparkContext.applicationId, name)
     if key not in _written:
         path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}"
-        build().hint("rebalance", *by).write.mode("overwrite").parquet(path)
+        build().hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(path)
         _written[key] = path
     return spark.read.parquet(_written[key])
 

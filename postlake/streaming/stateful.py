@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from postlake.functions.dates import micros
 from postlake import fixed_values as V
 from postlake.functions.prompts import intent_columns
 
@@ -39,7 +40,7 @@ def cooldown(events: DataFrame, ttl_seconds: int = V.COOLDOWN_SECONDS) -> DataFr
         state.update((int(last),))
         yield pd.DataFrame({"key": key[0], "id": rows["id"], "accepted": accepted})
 
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    us = micros(F.col("ts"))
     return events.select("key", "id", us.alias("us")).groupBy("key").applyInPandasWithState(
         step, "key STRING, id BIGINT, accepted BOOLEAN", "last BIGINT", "append", _NO_TIMEOUT
     )
@@ -64,7 +65,7 @@ def daily_quota(calls: DataFrame) -> DataFrame:
         state.update((int(day), int(used)))
         yield pd.DataFrame({"source": key[0], "id": rows["id"], "used_before": before, "allowed": allowed})
 
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    us = micros(F.col("ts"))
     return calls.select("source", "id", us.alias("us")).groupBy("source").applyInPandasWithState(
         step, "source STRING, id BIGINT, used_before BIGINT, allowed BOOLEAN", "day BIGINT, used BIGINT", "append", _NO_TIMEOUT
     )
@@ -92,7 +93,7 @@ def session_carry(prompts: DataFrame, idle_minutes: int = V.SESSION_IDLE_MINUTES
         yield pd.DataFrame(out, columns=["session_id", "turn", "is_follow_up", *_FIELDS])
 
     fields = "query STRING, remote_only BOOLEAN, country STRING, min_salary DOUBLE, platform STRING"
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    us = micros(F.col("ts"))
     return (
         prompts.select("session_id", "turn", us.alias("us"), *[c.alias(k) for k, c in intent_columns(F.col("message")).items()])
         .groupBy("session_id")
@@ -126,7 +127,7 @@ def rolling_health(runs: DataFrame, window: int = 20) -> DataFrame:
         yield pd.DataFrame([(key[0], key[1], status, rate, sum(jobs) / len(jobs))],
                            columns=["method", "portal", "health_status", "success_rate", "avg_jobs"])
 
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    us = micros(F.col("ts"))
     won = F.coalesce(F.col("success") & (F.col("num_jobs_found") > 0), F.lit(False))
     return (
         runs.select("method", "portal", "run_id", "num_jobs_found", us.alias("us"), won.cast("int").alias("won"))
