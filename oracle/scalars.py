@@ -376,3 +376,7 @@ SELECT *, CASE bucket WHEN '12h' THEN 90 WHEN '24h' THEN 180 ELSE 1440 END AS se
   CASE WHEN bucket IN ('7d', '30d') THEN 24 END AS delta_hours,
   CASE bucket WHEN '7d' THEN 168 WHEN '30d' THEN 720 ELSE 24 END AS recency_hours FROM b""")
 O["impossible_date"] = J("SELECT id, coalesce(posted_date > scraped_at + INTERVAL 6 HOUR, false) AS impossible FROM jobs")
+_sk = S.tokens(S.norm("skills"), V.RELEVANCE_STOP_WORDS)
+O["tokens"] = J(f"SELECT id, (unnest(range(1, len({_sk}) + 1)) - 1)::INTEGER AS pos, unnest({_sk}) AS token FROM jobs")
+O["date_bucket"] = R(f"SELECT {S.bucket(S.minutes('date_posted'))} AS bucket, count(*) AS n FROM requests GROUP BY 1")
+O["cache_policy"] = f"SELECT request_id, serve_minutes, refresh_mode, delta_hours, recency_hours FROM ({O['window_minutes']})"

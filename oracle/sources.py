@@ -186,3 +186,4 @@ O["filter_portals"] = J(f"""
 SELECT id, source_platform AS portal, CASE WHEN source_platform = 'hired' THEN 'remote_staffing_vendors' ELSE 'remote_boards_aggregators' END AS category
 FROM jobs WHERE source_platform IN {S.in_list(_remote_portals)}""")
 del B
+O["default_company"] = T(f"SELECT ord, company FROM ({_connector('dice', 'US', 'us')}) WHERE company = 'Dice Employer'")

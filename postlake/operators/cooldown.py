@@ -25,7 +25,7 @@ def with_accepted(df: DataFrame, key: str, ts: str, id_col: str, ttl_seconds: Co
     rows = df.withColumn("_ttl", ttl_seconds.cast("bigint")).withColumns(
         {
             "_us": micros(F.col(ts)),
-            "_chunk": F.floor(micros(F.col(ts)) / 3_600_000_000),
+            "_chunk": F.floor(micros(F.col(ts)) / 60_000_000),
         }
     )
     slim = rows.select(key, id_col, "_us", "_chunk", "_ttl")
@@ -58,7 +58,7 @@ def _follow(chained: DataFrame, key: str, id_col: str) -> DataFrame | None:
         key, (F.col("_us") + F.col("_ttl") * 1_000_000).alias("_at"), F.lit(0).alias("_kind"), id_col, "_seg", "_head",
         F.lit(None).cast(events.schema["_node"].dataType).alias("_node"),
     )
-    both = events.unionByName(probes).withColumn("_c", F.floor(F.col("_at") / 3_600_000_000))
+    both = events.unionByName(probes).withColumn("_c", F.floor(F.col("_at") / 60_000_000))
     nearest = carry_last(both, [key], "_c", ["_at", "_kind", id_col], {"_found": F.col("_node")}, reverse=True)
     same_segment = F.col("_found._seg").eqNullSafe(F.col("_seg"))
     nxt = cut_lineage(

@@ -344,3 +344,24 @@ def _(spark, d):
 @query("impossible_date")
 def _(spark, d):
     return B.jobs(spark, d).select("id", dates.is_impossible(c("posted_date"), c("scraped_at")).alias("impossible"))
+
+
+@query("tokens")
+def _(spark, d):
+    """Meaningful words of the skills field, one row per posting and word."""
+    words = text.tokens_of(text.norm_text(c("skills")), V.RELEVANCE_STOP_WORDS)
+    return B.jobs(spark, d).select("id", F.posexplode(words).alias("pos", "token"))
+
+
+@query("date_bucket")
+def _(spark, d):
+    """Requests per cache bucket."""
+    bucket = dates.date_bucket(dates.window_minutes(c("date_posted")))
+    return B.requests(spark, d).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("cache_policy")
+def _(spark, d):
+    """Refresh policy in force for each request."""
+    policy = dates.cache_policy(dates.date_bucket(dates.window_minutes(c("date_posted"))))
+    return B.requests(spark, d).select("request_id", *[x.alias(k) for k, x in policy.items()])

@@ -178,3 +178,10 @@ def _(spark, d):
     return kept.agg(
         F.count(F.lit(1)).alias("kept"), F.count_if(c("company") == "Unknown Company").alias("default_company")
     )
+
+
+@query("default_company")
+def _(spark, d):
+    """Company shown where the source names none."""
+    rows = postings.connector(P.payload(spark, d, "dice"), B.as_of(), "dice", "US")
+    return rows.where(c("company") == "Dice Employer").select("ord", "company")
