@@ -34,7 +34,7 @@ class SnapshotStore:
     def read(self, batch_id: int) -> DataFrame:
         if batch_id < 0:
             return self.empty
-        # numbered again so that stored rows keep their order and stay ahead of landed ones
+        # any fixed number will do: it only decides which of several matching stored links is named
         rows = self.spark.read.parquet(f"{self.base}/snapshot/{batch_id}")
         return rows.withColumn("ord", F.xxhash64("apply_url").bitwiseAND(F.lit(2**62 - 1)))
 
