@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from llm.decontaminate import overlaps
 from llm.jaccard_join import jaccard_components
+from llm.toxicity import score, train
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,3 +34,14 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_ngram_jaccard_join")
 def op7(spark, sf_dir):
     return jaccard_components(documents(spark, sf_dir))
+
+
+@query("op4_benchmark_decontamination")
+def op4(spark, sf_dir):
+    return overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op2_toxicity")
+def op2(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
