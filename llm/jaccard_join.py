@@ -329,6 +329,17 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of one document of each group: that with the smallest doc_id (rows without doc_id stay)."""
-    drop = jaccard_components(docs, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(small(cut_lineage(drop)), "doc_id", "left_anti")
+    """The rows of one document of each group: that with the smallest doc_id. Rows without doc_id stay.
+
+    Of repeated rows with one doc_id, one stays (the smallest by a hash of the row).
+    """
+    found = cut_lineage(jaccard_components(docs, percent).select(F.col("doc_id").alias("id"), "component_id"))
+    drop = small(cut_lineage(found.where("component_id <> id").select("id").distinct()))
+    docs = docs.join(drop, docs["doc_id"] == drop["id"], "left_anti")
+    twice = cut_lineage(found.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    if twice.limit(1).count() == 0:
+        return docs
+    twice = small(twice)
+    same = docs.join(twice, docs["doc_id"] == twice["id"], "left_semi").select(F.struct("*").alias("row"), "doc_id")
+    first = same.groupBy("doc_id").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    return docs.join(twice, docs["doc_id"] == twice["id"], "left_anti").unionByName(first)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from llm.decontaminate import overlaps
 from llm.jaccard_join import jaccard_components
+from llm.mixing import mix
+from llm.personal_data import find
 from llm.toxicity import score, train
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,3 +47,13 @@ def op4(spark, sf_dir):
 def op2(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@query("op1_personal_data")
+def op1(spark, sf_dir):
+    return find(documents(spark, sf_dir))
+
+
+@query("op6_source_mixing")
+def op6(spark, sf_dir):
+    return mix(documents(spark, sf_dir))
