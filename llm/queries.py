@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from llm.decontaminate import overlaps
 from llm.jaccard_join import jaccard_components
+from llm.licenses import scan
 from llm.mixing import mix
 from llm.personal_data import find
+from llm.quality_rules import apply_policy, ledger
 from llm.toxicity import score, train
+from llm.url_filter import judge
+from llm.warc_archive import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,3 +61,36 @@ def op1(spark, sf_dir):
 @query("op6_source_mixing")
 def op6(spark, sf_dir):
     return mix(documents(spark, sf_dir))
+
+
+@query("op3_quality_rules")
+def op3(spark, sf_dir):
+    return apply_policy(ledger(documents(spark, sf_dir)))
+
+
+@query("op9_license_scan")
+def op9(spark, sf_dir):
+    return scan(documents(spark, sf_dir))
+
+
+@query("op10_url_filter")
+def op10(spark, sf_dir):
+    """Labelled pages are those with a row in labels; toxic or low-quality ones are to be blocked."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return judge(pages(spark, sf_dir), labels.selectExpr("doc_id AS page_id", "toxic = 1 OR quality = 0 AS blocked"))
+
+
+@query("op5_warc_archive")
+def op5(spark, sf_dir):
+    return round_trip(pages(spark, sf_dir))
+
+
+ORACLES["op5_warc_archive"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS n, sha256(html) AS sha FROM p),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY sha) AS least FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha AS payload_digest,
+  CASE WHEN n >= 100 AND page_id > least THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id > least THEN least END AS refers_to
+FROM g
+"""
