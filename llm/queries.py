@@ -10,6 +10,7 @@ from llm.decontaminate import overlaps
 from llm.jaccard_join import jaccard_components
 from llm.licenses import scan
 from llm.mixing import mix
+from llm.passage_chains import passages
 from llm.personal_data import find
 from llm.quality_rules import apply_policy, ledger
 from llm.toxicity import score, train
@@ -94,3 +95,8 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha AS payload_digest,
   CASE WHEN n >= 100 AND page_id > least THEN least END AS refers_to
 FROM g
 """
+
+
+@query("op8_substring_dedup")
+def op8(spark, sf_dir):
+    return passages(documents(spark, sf_dir))
