@@ -2,7 +2,7 @@
 
 How it works
     1. Every text becomes its set of distinct shingles, its 64-bit fingerprint and a point: the shingles
-       hashed into a power of two of groups (about half as many groups as shingles) and counted. Texts with the
+       hashed into a power of two of groups (as many groups as shingles or more) and counted. Texts with the
        same set are one node.
     2. Each node is routed to the shingles that stand first in one global order. Two sets with a
        similarity of t share one of their first n - ceil(t n) + 1 shingles, so every link meets in a bucket.
@@ -11,7 +11,8 @@ How it works
     3. A bucket of up to LEAF nodes is one leaf: its pairs go straight to the bound. Of a larger bucket,
        first only the pairs with its smallest node do; what these links already connect needs no more
        work. The nodes of different components in one large bucket are then searched through an R-tree,
-       in blocks of at most BLOCK nodes, so no task holds a whole bucket.
+       in blocks of at most BLOCK nodes, so no task holds a whole bucket: once for the likeliest partner of a node in each
+       other component, and, when these links are drawn, for every pair that is still of different components.
     4. The overlap of two sets, or of a set and any in a tree node, is at most the sum of the coordinate
        minima (the tree node's box has the maximum of each coordinate). Pairs that fail it, or the
        length filter, are dropped; the others are verified on the whole shingle sets.
@@ -50,8 +51,8 @@ def fits(inter, a, b, percent: int = PERCENT):
 
 
 def groups_for(n: int) -> int:
-    """How many groups the counts of a set of n shingles have: a power of two near n / 2."""
-    return 1 << min(12, max(6, int(n).bit_length() - 2))
+    """How many groups the counts of a set of n shingles have: a power of two from n to 2 n."""
+    return 1 << min(13, max(6, int(n).bit_length()))
 
 
 def point(shingles: np.ndarray) -> bytes:
@@ -111,7 +112,7 @@ def _common(docs: DataFrame) -> bytes:
 
 
 def nodes_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Per document: doc_id, th (hash of the text), sid (fingerprint of the set), n, point and routing keys.
+    """Per document: doc_id, th (hash of the text), sid (fingerprint of the set), n, point, routing keys and how many of these are not common.
 
     Within a task, later copies of a set carry no keys, so copies are combined before the shuffle.
     """
@@ -126,27 +127,27 @@ def nodes_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 for doc, th, s in zip(part["doc_id"], part["th"], shingle_sets(*word_hashes(part["text"]), WORDS), strict=True):
                     n = len(s)
                     if not n:
-                        rows.append((doc, th, None, 0, None, None))
+                        rows.append((doc, th, None, 0, None, None, 0))
                         continue
                     sid = int((mix(s ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64) ^ np.uint64(n)).astype(np.int64))
                     if sid in seen:
-                        rows.append((doc, th, sid, n, None, None))
+                        rows.append((doc, th, sid, n, None, None, 0))
                         continue
                     seen.add(sid)
                     late = common[(s & np.uint64((1 << _COMMON_BITS) - 1)).astype(np.int64)]
                     first = n - -(-percent * n // 100) + 1
                     keys = np.concatenate([s[~late], s[late]])[:first]
-                    rows.append((doc, th, sid, n, point(s), keys.astype(np.int64)))
-                out = pd.DataFrame(rows, columns=["doc_id", "th", "sid", "n", "point", "keys"])
+                    rows.append((doc, th, sid, n, point(s), keys.astype(np.int64), min(first, int((~late).sum()))))
+                out = pd.DataFrame(rows, columns=["doc_id", "th", "sid", "n", "point", "keys", "rare"])
                 yield out.astype({"doc_id": "Int64", "sid": "Int64"})
 
-    return docs.mapInPandas(build, "doc_id BIGINT, th BIGINT, sid BIGINT, n INT, point BINARY, keys ARRAY<BIGINT>")
+    return docs.mapInPandas(build, "doc_id BIGINT, th BIGINT, sid BIGINT, n INT, point BINARY, keys ARRAY<BIGINT>, rare INT")
 
 
 def _meet(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    """From rows (key, sid, n) sorted by key and sid: pairs to bound, and the members of large buckets.
+    """From rows (key, sid, n, before) sorted by key and sid: pairs to bound, and the members of large buckets.
 
-    Rows of kind 0 are pairs (a, b); of kind 1, a bucket a and its member b. Memory: a batch and one leaf.
+    Rows of kind 0 are pairs (a, b); of kind 1, a bucket a, its member b and the common key before. Memory: a batch and one leaf.
     """
     # the bucket being read: its first member, its latest, and its members while they fit into a leaf
     last_key, head, latest, held = None, None, None, []
@@ -154,16 +155,16 @@ def _meet(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame
     def leaf_pairs(members):
         for i in range(len(members)):
             for j in range(i):
-                (a, na), (b, nb) = members[j], members[i]
+                (a, na, _), (b, nb, _) = members[j], members[i]
                 if fits(min(na, nb), na, nb, percent):
-                    yield 0, a, b
+                    yield 0, a, b, 0
 
     def end():
         if held is not None and len(held) > 1:
             yield from leaf_pairs(held)
 
     for frame in frames:
-        key, sid, n = frame["key"].to_numpy(), frame["sid"].to_numpy(), frame["n"].to_numpy()
+        key, sid, n, before = (frame[c].to_numpy() for c in ("key", "sid", "n", "before"))
         if not len(key):
             continue
         new = np.r_[True, key[1:] != key[:-1]]
@@ -178,9 +179,9 @@ def _meet(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame
                 out.extend(end())
                 last_key, head, latest, held = k, None, None, []
             members = []
-            for s, m in zip(sid[lo:hi].tolist(), n[lo:hi].tolist(), strict=True):
+            for s, m, p in zip(sid[lo:hi].tolist(), n[lo:hi].tolist(), before[lo:hi].tolist(), strict=True):
                 if s != latest:
-                    members.append((s, m))
+                    members.append((s, m, p))
                     latest = s
             if head is None and members:
                 head = members[0]
@@ -190,15 +191,15 @@ def _meet(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame
                 if held:
                     members = held + members
                 held = None
-                for s, m in members:
-                    out.append((1, k, s))
+                for s, m, p in members:
+                    out.append((1, k, s, p))
                     if s != head[0] and fits(min(m, head[1]), m, head[1], percent):
-                        out.append((0, head[0], s))
+                        out.append((0, head[0], s, 0))
         if out:
-            yield pd.DataFrame(out, columns=["kind", "a", "b"])
+            yield pd.DataFrame(out, columns=["kind", "a", "b", "before"])
     rest = list(end())
     if rest:
-        yield pd.DataFrame(rest, columns=["kind", "a", "b"])
+        yield pd.DataFrame(rest, columns=["kind", "a", "b", "before"])
 
 
 def _bound(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -246,11 +247,14 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -
     return joined.mapInPandas(exact, "a BIGINT, b BIGINT")
 
 
-def tree_join(frame: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
+def tree_join(frame: pd.DataFrame, percent: int = PERCENT, every: bool = True) -> pd.DataFrame:
     """Pairs of different components between the two blocks of a group, found through an R-tree.
 
+    With ``every`` false, of the pairs of a node with one other component only that with the largest bound.
+
     The right block is packed into leaves of LEAF points, sorted by size and by the first group; a leaf's
-    box keeps the largest count of each group, its sizes' range and its component if it is but one.
+    box keeps the largest count of each group, its sizes' range and its component if it is but one. Boxes and a first
+    look at a leaf use the points folded to TREE_GROUPS groups, the last bound uses all groups.
     """
     left, right = frame[frame["own"] == frame["i"]], frame[frame["own"] == frame["j"]]
     if frame["i"].iloc[0] == frame["j"].iloc[0]:
@@ -262,7 +266,7 @@ def tree_join(frame: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
 
     lp, rp = stack(left), stack(right)
     ln, rn, ll, rl = (x.to_numpy() for x in (left["n"], right["n"], left["label"], right["label"]))
-    ls, rs = left["sid"].to_numpy(), right["sid"].to_numpy()
+    ls, rs, lb, rb = left["sid"].to_numpy(), right["sid"].to_numpy(), list(left["point"]), list(right["point"])
     out = []
     for lo in range(0, len(rs), LEAF):
         hi = min(lo + LEAF, len(rs))
@@ -277,27 +281,39 @@ def tree_join(frame: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
             continue
         bound = np.minimum(lp[at][:, None, :], rp[None, lo:hi, :]).sum(axis=2)
         good = fits(np.minimum(bound, np.minimum(ln[at][:, None], rn[None, lo:hi])), ln[at][:, None], rn[None, lo:hi], percent) & (ll[at][:, None] != rl[None, lo:hi])
-        for x, y in zip(*np.nonzero(good), strict=True):
-            a, b = int(ls[at[x]]), int(rs[lo + y])
-            out.append((min(a, b), max(a, b)))
-    return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
-
-
-def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame | None:
+        x, y = np.nonzero(good)
+        x, y = at[x], y + lo
+        bound = overlap_bound([lb[i] for i in x], [rb[i] for i in y])
+        fine = fits(bound, ln[x], rn[y], percent)
+        out.append(np.stack([x[fine], y[fine], bound[fine] * 1000 // (ln[x] + rn[y])[fine]], axis=1))
+    if not out:
+        return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+    x, y, share = np.concatenate(out).T
+    if not every:
+        order = np.lexsort((-share, rl[y], x))
+        x, y = x[order], y[order]
+        first = np.r_[True, (x[1:] != x[:-1]) | (rl[y][1:] != rl[y][:-1])][: len(x)]
+        x, y = x[first], y[first]
+    pairs = np.unique(np.stack([np.minimum(ls[x], rs[y]), np.maximum(ls[x], rs[y])], axis=1), axis=0)
+    return pd.DataFrame(pairs, columns=["a", "b"])
+
+
+def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, every: bool) -> DataFrame | None:
     """Candidate pairs between components that meet in a large bucket; None if there are none."""
     labelled = cut_lineage(
-        members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("label"))
-    )
-    open_ = cut_lineage(
-        labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "before", F.coalesce("label", "sid").alias("label"))
     )
+    # where all members have the same common key before this one, its bucket holds them all and finds their pairs
+    seen = labelled.groupBy("key").agg(*(f(c).alias(f"{n}_{c}") for c in ("label", "before") for n, f in (("lo", F.min), ("hi", F.max))), F.count("*").alias("m"))
+    seen = seen.where("lo_label <> hi_label").where("lo_before <> hi_before OR lo_before = 0")
+    open_ = cut_lineage(seen.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
     if open_.limit(1).count() == 0:
         return None
-    rows = labelled.join(open_, "key").join(nodes.select("sid", "n", "point"), "sid")
+    rows = labelled.drop("before").join(open_, "key").join(nodes.select("sid", "n", "point"), "sid")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
-    return rows.groupBy("key", "i", "j").applyInPandas(lambda f: tree_join(f, percent), "a BIGINT, b BIGINT").distinct()
+    return rows.groupBy("key", "i", "j").applyInPandas(lambda f: tree_join(f, percent, every), "a BIGINT, b BIGINT").distinct()
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -308,17 +324,24 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes = cut_lineage(
         rows.where("sid IS NOT NULL AND keys IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.min("th").alias("th"))
     )
-    keys = rows.where("keys IS NOT NULL").select("sid", "n", F.explode("keys").alias("key"))
-    met = keys.repartition("key").sortWithinPartitions("key", "sid").mapInPandas(lambda f: _meet(f, percent), "kind INT, a BIGINT, b BIGINT")
+    keys = rows.where("keys IS NOT NULL").select("sid", "n", "keys", "rare", F.posexplode("keys").alias("at", "key"))
+    # the common key that stands before a common key in a node's order, as a hash; 0 for others
+    before = F.when(F.col("at") > F.col("rare"), F.hash(F.get("keys", F.col("at") - 1))).otherwise(0)
+    keys = keys.select("sid", "n", "key", before.alias("before"))
+    met = keys.repartition("key").sortWithinPartitions("key", "sid").mapInPandas(lambda f: _meet(f, percent), "kind INT, a BIGINT, b BIGINT, before INT")
     met = cut_lineage(met.dropDuplicates(["kind", "a", "b"]))
     pairs = met.where("kind = 0").select("a", "b")
     links = cut_lineage(_verify(cut_lineage(_bound(pairs, nodes, percent)), docs, nodes, percent))
     labels = components(links)
-    more = _across(met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("sid")), labels, nodes, percent)
-    if more is not None:
-        found = cut_lineage(_verify(cut_lineage(_bound(more, nodes, percent)), docs, nodes, percent))
+    members = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("sid"), "before")
+    for every in (False, True):  # first the likeliest pair of a node with each component, then all that is left
+        more = _across(members, labels, nodes, percent, every)
+        if more is None:
+            break
+        found = cut_lineage(_verify(cut_lineage(more), docs, nodes, percent))
         if found.limit(1).count():
-            labels = components(links.union(found))
+            links = links.union(found)
+            labels = components(links)
     per_set = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"))
     named = cut_lineage(per_set.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid")))
     groups = named.groupBy("label").agg(F.min("least").alias("component_id"))
