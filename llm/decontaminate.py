@@ -11,7 +11,7 @@ How it works
     Items of fewer than SPAN words are sought whole and exactly; those of fewer than MIN_ITEM words are too
     common to prove anything and are left out.
 
-Defined results: null or empty texts and items contain nothing; an empty benchmark gives no rows; repeated items
+Defined results: null or empty texts and items contain nothing, and items without an id are left out; an empty benchmark gives no rows; repeated items
 with other ids are reported each; repeated document rows give one row each per item; further columns are ignored.
 """
 
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.steps import small
+from llm.steps import ids_as_text, small
 from llm.wordhash import gram_hashes, slices, word_hashes
 from postlake.session import cut_lineage
 
@@ -102,10 +102,9 @@ def _regions(docs: DataFrame, bitmap: bytes, short: list[int]) -> DataFrame:
                         d = doc[lo]
                         begin, end = max(off[d], at[lo] - MARGIN), min(off[d + 1], at[hi - 1] + SPAN + MARGIN)
                         rows.append((part["doc_id"].iloc[d], part["row"].iloc[d], int(begin - off[d]), h[begin:end].astype(np.int64), (at[lo:hi] - begin).astype(np.int32), mask[lo:hi].astype(np.int32), seed[lo:hi]))
-            out = pd.DataFrame(rows, columns=["doc_id", "row", "start", "words", "ats", "masks", "seeds"])
-            yield out.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "row", "start", "words", "ats", "masks", "seeds"])
 
-    return docs.mapInPandas(build, "doc_id BIGINT, row BIGINT, start INT, words ARRAY<BIGINT>, ats ARRAY<INT>, masks ARRAY<INT>, seeds ARRAY<BIGINT>")
+    return ids_as_text(docs, "doc_id").mapInPandas(build, "doc_id STRING, row BIGINT, start INT, words ARRAY<BIGINT>, ats ARRAY<INT>, masks ARRAY<INT>, seeds ARRAY<BIGINT>")
 
 
 def best_run(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[int, int, int] | None:
@@ -125,7 +124,7 @@ def best_run(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[int, int, int] |
 
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per document row and item with a leak: where it is, its length in words and how many agree."""
-    items = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    items = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL AND item_id IS NOT NULL")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     seeds = cut_lineage(_seeds(items))
     short = [r["mask"] - 100 for r in seeds.where("mask >= 100").select("mask").distinct().collect()]  # at most SPAN - MIN_ITEM lengths
@@ -152,17 +151,16 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
                         best = (*run, run[0] - shift)
                 if best:
                     rows.append((r.doc_id, r.row, r.item_id, r.start + best[0], best[1], best[2], best[3], len(r.item_words)))
-            out = pd.DataFrame(rows, columns=["doc_id", "row", "item_id", "doc_start", "length", "agree", "item_start", "item_length"])
-            yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "row", "item_id", "doc_start", "length", "agree", "item_start", "item_length"])
 
     # repeated document rows have the same row hash; one region each stands for them, and their number comes back at the end
     once = regions.groupBy("row", "start").agg(F.first("doc_id").alias("doc_id"), F.first("words").alias("words"), F.count("*").alias("copies"))
     checked = once.join(found, ["row", "start"]).join(item_words, "item_id").select("doc_id", "row", "item_id", "start", "words", "item_words", "shifts", "copies")
     numbered = checked.withColumn("start", F.col("start").cast("int"))
-    out = numbered.mapInPandas(verify, "doc_id BIGINT, row BIGINT, item_id BIGINT, doc_start INT, length INT, agree INT, item_start INT, item_length INT")
+    out = numbered.mapInPandas(verify, "doc_id STRING, row BIGINT, item_id BIGINT, doc_start INT, length INT, agree INT, item_start INT, item_length INT")
     best = out.groupBy("row", "item_id").agg(F.max_by(F.struct("doc_id", "doc_start", "length", "agree", "item_start", "item_length"), F.struct("agree", -F.col("doc_start"))).alias("m"))
     copies = once.groupBy("row").agg(F.max("copies").alias("copies"))
-    return best.join(copies, "row").select("m.doc_id", "item_id", "m.doc_start", "m.length", "m.agree", "m.item_start", "m.item_length", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    return best.join(copies, "row").select(F.col("m.doc_id").cast("bigint").alias("doc_id"), "item_id", "m.doc_start", "m.length", "m.agree", "m.item_start", "m.item_length", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:

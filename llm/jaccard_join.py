@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.steps import components, small
+from llm.steps import components, ids_as_numbers, ids_as_text, small
 from llm.wordhash import mix, shingle_sets, slices, word_hashes
 from postlake.session import cut_lineage
 
@@ -139,9 +139,11 @@ def nodes_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                     keys = np.concatenate([s[~late], s[late]])[:first]
                     rows.append((doc, th, sid, n, point(s), keys.astype(np.int64), min(first, int((~late).sum()))))
                 out = pd.DataFrame(rows, columns=["doc_id", "th", "sid", "n", "point", "keys", "rare"])
-                yield out.astype({"doc_id": "Int64", "sid": "Int64"})
+                out["sid"] = pd.array([r[2] for r in rows], dtype="Int64")
+                yield out
 
-    return docs.mapInPandas(build, "doc_id BIGINT, th BIGINT, sid BIGINT, n INT, point BINARY, keys ARRAY<BIGINT>, rare INT")
+    out = ids_as_text(docs, "doc_id").mapInPandas(build, "doc_id STRING, th BIGINT, sid BIGINT, n INT, point BINARY, keys ARRAY<BIGINT>, rare INT")
+    return ids_as_numbers(out, "doc_id")
 
 
 def _meet(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:

@@ -10,6 +10,15 @@ from postlake.session import cut_lineage
 BROADCAST_ROWS = 2_000_000
 
 
+def ids_as_text(df: DataFrame, *names: str) -> DataFrame:
+    """Number columns as text for a Python step: pandas would round large numbers in a column with nulls."""
+    return df.withColumns({n: F.col(n).cast("string") for n in names})
+
+
+def ids_as_numbers(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("bigint") for n in names})
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a written table of narrow rows for broadcast if it has at most ``rows``; else leave the join to Spark."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

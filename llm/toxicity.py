@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.steps import small
+from llm.steps import ids_as_numbers, ids_as_text, small
 from llm.wordhash import mix, slices
 from postlake.session import cut_lineage
 
@@ -179,12 +179,13 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshol
                 ranked = np.lexsort((-z, np.repeat(np.arange(len(part)), np.diff(first))))
                 bad = np.add.reduceat(np.r_[(z > np.log(threshold / (1 - threshold))).astype(np.int64), 0], first[:-1])
                 yield pd.DataFrame({
-                    "doc_id": part["doc_id"].astype("Int64"), "score": np.clip(p, 0.0, 1.0), "sentences": np.diff(first), "offending": bad,
+                    "doc_id": part["doc_id"], "score": np.clip(p, 0.0, 1.0), "sentences": np.diff(first), "offending": bad,
                     "worst_sentence": ranked[first[:-1]] - first[:-1],
                 })
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInPandas(build, "doc_id BIGINT, score DOUBLE, sentences BIGINT, offending BIGINT, worst_sentence BIGINT")
+    out = ids_as_text(rows, "doc_id").mapInPandas(build, "doc_id STRING, score DOUBLE, sentences BIGINT, offending BIGINT, worst_sentence BIGINT")
+    out = ids_as_numbers(out, "doc_id")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "sentences", "offending", "worst_sentence")
 
 

@@ -180,7 +180,9 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 def _frame(rows: list, schema: str) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
-    return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+    for column, at in (("page_id", 0), ("refers_to", 6)):  # exact, also beside missing ones
+        out[column] = pd.array([r[at] for r in rows], dtype="Int64")
+    return out
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
