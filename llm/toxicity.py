@@ -115,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
 
     totals = {r["toxic"] > 0: r["n"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     if not totals.get(True) or not totals.get(False):
-        return np.empty(0, np.int64), np.empty(0), -50.0
+        return np.empty(0, np.int64), np.empty(0), -np.inf
     counts = rows.mapInPandas(count, "bucket INT, clean BIGINT, toxic BIGINT").groupBy("bucket").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     # how far the share among toxic documents is from that among the others, in standard errors
     p1, p0, p = F.col("t") / totals[True], F.col("c") / totals[False], (F.col("t") + F.col("c")) / (totals[True] + totals[False])
