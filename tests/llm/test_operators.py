@@ -174,7 +174,7 @@ def test_quality_measurements_equal_brute_force(spark):
     from llm.quality_rules import BIT, ablation, apply_policy, ledger
 
     rng = random.Random(1)
-    texts = [*ODD, "a b c d e f g h a b c d e f g h", "the the " * 40, "#$% && ||", sentence(rng, 100), "x\ny\nx\n\n \n \nx", "ABC! " * 30, sentence(rng, 30) + "\n" + sentence(rng, 30)]
+    texts = [*ODD[:5], "a b c d e f g h a b c d e f g h", "the the " * 40, "#$% && ||", sentence(rng, 100), "x\ny\nx\n\n \n \nx", "ABC! " * 30, sentence(rng, 30) + "\n" + sentence(rng, 30)]
     texts.append(texts[-1])
     entries = apply_policy(ledger(table(spark, texts)))
     for r in entries.collect():
