@@ -268,11 +268,11 @@ def first_sig(text: str, sigs) -> str:
     return "CASE" + "".join(f" WHEN contains({text}, {S.q(s)}) THEN {S.q(s)}" for s in sigs)
 
 
-_low = f"lower(left(html, {V.BLOCK_SCAN_CHARS}))"
-_hay = f"lower(left(html, {V.VENDOR_SCAN_CHARS})) || ' ' || lower(headers)"
+_low = "lower(html)"
+_hay = "lower(html) || ' ' || lower(headers)"
 SIGNATURE = first_sig(_low, V.BLOCK_SIGNATURES) + " WHEN status IN (403, 429) THEN 'http_' || status END"
 VENDOR = (
-    f"CASE WHEN {S.any_of(f'lower(left(html, {V.PROXY_SCAN_CHARS}))', V.PROXY_DENY_SIGNATURES)} THEN 'LOCAL_PROXY_DENY'"
+    f"CASE WHEN {S.any_of('lower(html)', V.PROXY_DENY_SIGNATURES)} THEN 'LOCAL_PROXY_DENY'"
     + "".join(f" WHEN {S.any_of('(' + _hay + ')', sigs)} THEN {S.q(v)}" for v, sigs in V.BLOCK_VENDORS)
     + " WHEN status IN (403, 429) THEN 'http_' || status WHEN status >= 500 THEN 'server_' || status END"
 )

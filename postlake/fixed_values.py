@@ -228,6 +228,9 @@ COMPANY_DOMAINS = {
 }
 NAME_WINDOW = 150
 NAME_STOP_WORDS = ["email", "apply", "job", "career"]
+NAME_AFTER_CUE = r"(?:recruiter|hiring manager|contact|posted by|reach out to)\s*:\s*([A-Z][a-z]+\s+[A-Z][a-z]+)"
+NAME_BEFORE_ADDRESS = r"([A-Z][a-z]+\s+[A-Z][a-z]+)\s*[\(<]\s*{address}"
+NAME_AFTER_VERB = r"(?:reach out to|contact)\s+([A-Z][a-z]+\s+[A-Z][a-z]+)\b"
 
 # --- links -------------------------------------------------------------------------------------
 UNUSABLE_LINK_PARTS = [
@@ -310,13 +313,11 @@ PROXY_DENY_SIGNATURES = [
     "host not in allowlist", "host_not_allowed", "egress settings", "blocked by proxy", "proxy denied",
     "not permitted by policy",
 ]
-BLOCK_SCAN_CHARS = 120000
-VENDOR_SCAN_CHARS = 200000
-PROXY_SCAN_CHARS = 600
 JS_SHELL_WORDS = 250
 STATIC_CARD_MINIMUM = 5
 
 # --- dates -------------------------------------------------------------------------------------
+MAIL_ZONE_HOURS = {"est": -5, "edt": -4, "cst": -6, "cdt": -5, "mst": -7, "mdt": -6, "pst": -8, "pdt": -7}
 WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
 # filter value: window in minutes
 DATE_WINDOWS = {

@@ -15,8 +15,8 @@ _EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 _RFC = (
-    r"^(?:[a-z]{3,9},?\s+)?(\d{1,2})\s+([a-z]{3,9})\s+(\d{4})"
-    r"(?:\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*(z|gmt|utc|ut|[+-]\d{4})?)?$"
+    r"^(?:[a-z]{3,9},?\s+)?(\d{1,2})\s+([a-z]{3,9})\s+(\d{4}|\d{2})"
+    r"(?:\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*(z|gmt|utc|ut|[ecmp][sd]t|[+-]\d{4})?)?$"
 )
 _ISO = (
     r"^(\d{4})-(\d{2})-(\d{2})(?:[t ](\d{2}):(\d{2})(?::(\d{2})(?:\.(\d{1,6}))?)?\s*(z|[+-]\d{2}:?\d{2})?)?$"
@@ -60,7 +60,14 @@ def _month_number(word: Column) -> Column:
 def _offset_minutes(zone: Column) -> Column:
     digits = F.regexp_replace(zone, "[^0-9]", "")
     minutes = F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")
-    return F.when(zone.startswith("+"), minutes).when(zone.startswith("-"), -minutes).otherwise(F.lit(0))
+    hours = F.create_map(*(F.lit(x) for pair in V.MAIL_ZONE_HOURS.items() for x in pair))
+    named = F.coalesce(F.try_element_at(hours, zone), F.lit(0)) * 60
+    return F.when(zone.startswith("+"), minutes).when(zone.startswith("-"), -minutes).otherwise(named)
+
+
+def _full_year(y: Column) -> Column:
+    """Two-digit years of mail dates: 69 and later are of the last century."""
+    return F.when(y < 69, y + 2000).when(y < 100, y + 1900).otherwise(y)
 
 
 def _build(y: Column, mo: Column, d: Column, h: Column, mi: Column, sec: Column, zone: Column) -> Column:
@@ -82,7 +89,7 @@ def _calendar(text: Column) -> Column:
     return (
         F.when(
             text.rlike(_RFC),
-            _build(_int(rfc(3)), _month_number(rfc(2)), _int(rfc(1)), _int(rfc(4)), _int(rfc(5)), _int(rfc(6)), rfc(7)),
+            _build(_full_year(_int(rfc(3))), _month_number(rfc(2)), _int(rfc(1)), _int(rfc(4)), _int(rfc(5)), _int(rfc(6)), rfc(7)),
         )
         .when(
             text.rlike(_ISO),

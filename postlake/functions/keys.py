@@ -10,10 +10,22 @@ from postlake.functions.jobs import ledger_job_type
 from postlake.functions.text import keyword_key, strip
 
 
+_SHORT_ESCAPES = {"\n": "n", "\r": "r", "\t": "t", "\b": "b", "\f": "f"}
+
+
+def _escaped(ch: Column) -> Column:
+    """A character as JSON in ASCII; one beyond the basic plane becomes two escapes."""
+    out = F.when(ch.isin("\\", '"'), F.concat(F.lit("\\"), ch))
+    for raw, letter in _SHORT_ESCAPES.items():
+        out = out.when(ch == raw, F.lit("\\" + letter))
+    units = F.lower(F.hex(F.encode(ch, "UTF-16BE")))
+    return out.when(ch.between(" ", "~"), ch).otherwise(F.regexp_replace(units, "(.{4})", r"\\u$1"))
+
+
 def json_string(c: Column) -> Column:
     """JSON string literal, ASCII-only like the default Python encoder."""
-    escaped = F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', '\\\\"')
-    return F.concat(F.lit('"'), escaped, F.lit('"'))
+    text = F.when(c.rlike(r'[^ -~]|[\\"]'), F.array_join(F.transform(F.split(c, ""), _escaped), "")).otherwise(c)
+    return F.concat(F.lit('"'), text, F.lit('"'))
 
 
 def _scalar(c: Column) -> Column:

@@ -68,18 +68,18 @@ def detect_block(status: Column, body: Column) -> Column:
     def signature(head: Column) -> Column:
         return F.coalesce(*[F.when(head.contains(sig), F.lit(sig)) for sig in V.BLOCK_SIGNATURES])
 
-    head = F.lower(F.substring(F.coalesce(body, F.lit("")), 1, V.BLOCK_SCAN_CHARS))
+    head = F.lower(F.coalesce(body, F.lit("")))
     return F.coalesce(let(head, signature), _refused(status))
 
 
 def detect_block_vendor(status: Column, headers: Column, body: Column) -> Column:
     b = F.coalesce(body, F.lit(""))
-    denied = contains_any(F.lower(F.substring(b, 1, V.PROXY_SCAN_CHARS)), V.PROXY_DENY_SIGNATURES)
+    denied = contains_any(F.lower(b), V.PROXY_DENY_SIGNATURES)
 
     def vendor(hay: Column) -> Column:
         return F.coalesce(*[F.when(contains_any(hay, sigs), F.lit(name)) for name, sigs in V.BLOCK_VENDORS])
 
-    hay = F.concat_ws(" ", F.lower(F.substring(b, 1, V.VENDOR_SCAN_CHARS)), F.lower(headers))
+    hay = F.concat_ws(" ", F.lower(b), F.lower(headers))
     broken = F.when(status >= 500, F.concat(F.lit("server_"), status.cast("string")))
     return F.when(denied, F.lit("LOCAL_PROXY_DENY")).otherwise(F.coalesce(let(hay, vendor), _refused(status), broken))
 

@@ -1,10 +1,12 @@
 """Golden cases of the column functions."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from postlake import fixed_values as V
 from postlake.functions import contacts, dates, expansion, jobs, keys, links, prompts, relevance, text
 from postlake.operators import search
 from postlake.operators.guard import SearchRequest, with_reason
@@ -84,6 +86,9 @@ def test_contacts(spark):
         ("write careers@x.com", "Datadog", (None, "careers@x.com", None)),
         ("no mail", "Datadog", (None, "careers@datadoghq.com", None)),
         ("mail jane.doe@acme.com now", "", ("jane.doe@acme.com", None, "Jane Doe")),
+        ("Ann\tLee <Ann.lee@acme.com>", "", ("ann.lee@acme.com", None, "Ann\tLee")),
+        ("contact: Apply Now, or reach out to mary jones, mj@acme.com", "", ("mj@acme.com", None, "Mary Jones")),
+        ("contact Max Moritz " + "x " * 100 + "mm@acme.com", "", ("mm@acme.com", None, None)),
     ]
     df = spark.createDataFrame([(i, r[0], r[1]) for i, r in enumerate(rows)], "i INT, description STRING, company STRING")
     got = contacts.with_contacts(df).orderBy("i").collect()
@@ -120,6 +125,7 @@ def test_direct_url(one, portal, good, bad):
         ("30+ days ago", "2026-07-13 12:00:00"), ("2 weeks ago", "2026-07-29 12:00:00"), ("1 month ago", "2026-07-13 12:00:00"),
         ("a few days ago", None), ("Monday, 18 July 2026", "2026-07-18 00:00:00"), ("1754906400", "2025-08-11 10:00:00"),
         ("1754906400000", "2025-08-11 10:00:00"), ("Tue, 11 Aug 2026 10:00:00 +0000", "2026-08-11 10:00:00"),
+        ("Tue, 11 Aug 2026 10:00:00 EST", "2026-08-11 15:00:00"), ("11 Aug 26 10:00 PDT", "2026-08-11 17:00:00"), ("11 Aug 69", "1969-08-11 00:00:00"),
         ("2026-08-11", "2026-08-11 00:00:00"), ("2026-08-11T10:00:00+05:30", "2026-08-11 04:30:00"), ("junk", None), ("", None),
         ("July 18, 2026", "2026-07-18 00:00:00"), ("07/18/2026", "2026-07-18 00:00:00"), ("2026-13-40", None),
         ("99999999999999 years ago", None),
@@ -233,3 +239,13 @@ def test_intent(spark):
     a, b = df.select(*[c.alias(k) for k, c in prompts.intent_columns(F.col("m")).items()]).collect()
     assert a.remote_only and a.country == "US" and a.min_salary == 130000 and "python" in a.query
     assert b.country is None
+
+
+def test_json_strings_are_ascii(one):
+    for raw in ['plain', 'a "b" \\ c', "développeur", "tab\there\n", "\x7f\x01", "日本 😀"]:
+        assert one(keys.json_string, x=raw) == json.dumps(raw)
+
+
+def test_block_signatures_anywhere(one):
+    far = "x" * 250_000 + V.BLOCK_SIGNATURES[0]
+    assert one(lambda b: links.detect_block(F.lit(200), b), b=far) == V.BLOCK_SIGNATURES[0]
