@@ -253,6 +253,7 @@ def tree_join(frame: pd.DataFrame, percent: int = PERCENT, every: bool = True) -
     """Pairs of different components between the two blocks of a group, found through an R-tree.
 
     With ``every`` false, of the pairs of a node with one other component only that with the largest bound.
+    A pair that also meets in a group with a smaller key is left to that group.
 
     The right block is packed into leaves of LEAF points, sorted by size and by the first group; a leaf's
     box keeps the largest count of each group, its sizes' range and its component if it is but one. Boxes and a first
@@ -292,10 +293,14 @@ def tree_join(frame: pd.DataFrame, percent: int = PERCENT, every: bool = True) -
         return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
     x, y, share = np.concatenate(out).T
     if not every:
-        order = np.lexsort((-share, rl[y], x))
+        order = np.lexsort((rs[y], -share, rl[y], x))
         x, y = x[order], y[order]
         first = np.r_[True, (x[1:] != x[:-1]) | (rl[y][1:] != rl[y][:-1])][: len(x)]
         x, y = x[first], y[first]
+    key = int(frame["key"].iloc[0])
+    le, re = ([{k for k in places if k < key} for places in f["places"]] for f in (left, right))
+    here = np.array([le[i].isdisjoint(re[j]) for i, j in zip(x, y, strict=True)], dtype=bool)
+    x, y = x[here], y[here]
     pairs = np.unique(np.stack([np.minimum(ls[x], rs[y]), np.maximum(ls[x], rs[y])], axis=1), axis=0)
     return pd.DataFrame(pairs, columns=["a", "b"])
 
@@ -311,7 +316,10 @@ def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: in
     open_ = cut_lineage(seen.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
     if open_.limit(1).count() == 0:
         return None
-    rows = labelled.drop("before").join(open_, "key").join(nodes.select("sid", "n", "point"), "sid")
+    rows = labelled.drop("before").join(open_, "key")
+    # a node's open buckets, no more than its routing keys: two nodes make a pair in the first bucket that both are in
+    places = rows.groupBy("sid").agg(F.collect_set("key").alias("places"))
+    rows = rows.join(nodes.select("sid", "n", "point"), "sid").join(places, "sid")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
