@@ -174,7 +174,7 @@ O["debug_freshness_summary"] = J(
     f", dbg AS ({_debug}) SELECT freshness_field, freshness_precision, count(*) AS n, "
     "count(*) FILTER (passes) AS n_pass, count(*) FILTER (is_future) AS n_future FROM dbg GROUP BY ALL"
 )
-O["order_recent"] = J(f"SELECT id, posted_date, fetched_at FROM jobs ORDER BY {RECENT} LIMIT 100")
+O["order_recent"] = J(f"SELECT id, posted_date, fetched_at, row_number() OVER (ORDER BY {RECENT}) AS rank FROM jobs")
 _PY = ("senior python developer", ["python", "developer"])
 O["relevance_score"] = T(
     f", {score_cte('tjobs', [GROUPS[0], _PY])} SELECT id, relevance_score, relevance_reason, is_exact FROM score"
@@ -182,11 +182,11 @@ O["relevance_score"] = T(
 O["match_tier"] = T(f", {tier_cte('tjobs', CORE, STRONG, RELATED, SKILLS)} SELECT id, match_tier, matched_term FROM tier")
 O["rank_relevance"] = T(
     f", {score_cte('tjobs', [('python developer', ['python', 'developer'])])} SELECT id, title, relevance_score, "
-    f"relevance_reason, is_exact FROM score ORDER BY relevance_score DESC, {RECENCY} DESC NULLS LAST, ord LIMIT 200"
+    f"relevance_reason, is_exact, row_number() OVER (ORDER BY relevance_score DESC, {RECENCY} DESC NULLS LAST, ord) AS rank FROM score"
 )
 O["rank_tiered"] = T(
     f", {tier_cte('tjobs', CORE, STRONG, RELATED, SKILLS)}, {score_cte('tier', GROUPS)} "
-    f"SELECT id, title, match_tier, relevance_score FROM score ORDER BY {TIER_ORDER} LIMIT 200"
+    f"SELECT id, title, match_tier, relevance_score, row_number() OVER (ORDER BY {TIER_ORDER}) AS rank FROM score"
 )
 O["page"] = J(f"SELECT id, posted_date FROM jobs ORDER BY {RECENT} LIMIT 20 OFFSET 40")
 O["page_info"] = J(

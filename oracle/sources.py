@@ -20,17 +20,16 @@ def note(x: str) -> str:
     return f"left(list_filter({sent}, lambda s: {S.any_of('lower(s)', V.WORK_AUTH_PHRASES)})[1], 200)"
 
 
-def tail(source: str, country: str | None, base: str, cut=True, city_remote=False, platform=None) -> str:
+def tail(source: str, country: str | None, base: str, city_remote=False, platform=None) -> str:
     """``base`` selects ord, t, co, url, pl, de, rem, smin, smax, cur, jt, posted, prec."""
     dflt = S.q(country)
     ci, ct = S.place("pl", dflt)
-    de = "left(de, 2000)" if cut else "de"
     where = f"({ci})" if city_remote else "pl"
     return f"""SELECT ord, left(t, 255) AS title, {S.canonical_title('t')} AS canonical_title, left(co, 255) AS company,
   {ci} AS city, {ct} AS country, smin AS salary_min, smax AS salary_max, cur AS currency,
   coalesce(rem, false) OR {S.is_remote(f"t || ' ' || de || ' ' || coalesce({where}, '')")} AS remote_flag,
-  left(jt, 50) AS job_type, {S.q(source)} AS source_platform, url AS apply_url, md5(coalesce(nullif({de}, ''), '')) AS description,
-  posted AS posted_date, prec AS posted_date_precision, {note(de)} AS work_authorization_note
+  left(jt, 50) AS job_type, {S.q(source)} AS source_platform, url AS apply_url, md5(coalesce(nullif(de, ''), '')) AS description,
+  posted AS posted_date, prec AS posted_date_precision, {note('de')} AS work_authorization_note
 FROM ({base}) WHERE t <> '' AND coalesce(url, '') <> ''"""
 
 
@@ -40,11 +39,11 @@ BASES = {}
 BASES["adzuna"] = tail("adzuna", "US", f"""SELECT ord, {TITLE} AS t, coalesce(nullif(company, ''), 'Unknown Company') AS co,
   CASE WHEN ord % 9 <> 0 THEN apply_url END AS url, location_raw AS pl, {DESC} AS de, false AS rem, salary_min AS smin, salary_max AS smax,
   'USD' AS cur, CASE WHEN ord % 6 = 0 THEN 'full_time-permanent' WHEN ord % 3 = 0 THEN 'full_time' WHEN ord % 2 = 0 THEN 'permanent' ELSE 'full_time' END AS jt,
-  posted_date AS posted, {_exact} AS prec FROM tjobs""", cut=False)
+  posted_date AS posted, {_exact} AS prec FROM tjobs""")
 BASES["jsearch"] = tail("jsearch", "US", f"""SELECT ord, {TITLE} AS t, coalesce(nullif(company, ''), 'Backup Co') AS co,
   CASE WHEN ord % 3 < 2 OR ord % 6 = 2 THEN apply_url END AS url, location_raw AS pl, {DESC} AS de, remote_raw AS rem,
   salary_min AS smin, salary_max AS smax, CASE WHEN ord % 2 = 0 THEN 'EUR' ELSE 'USD' END AS cur,
-  coalesce(lower(job_type_raw), 'fulltime') AS jt, posted_date AS posted, {_exact} AS prec FROM tjobs""", cut=False, city_remote=True)
+  coalesce(lower(job_type_raw), 'fulltime') AS jt, posted_date AS posted, {_exact} AS prec FROM tjobs""", city_remote=True)
 _tok = "CASE WHEN ord % 5 = 0 THEN 'greenhouse board' ELSE lower(replace(company, ' ', '-')) END"
 _tcase = (f"array_to_string(list_transform(string_split({_tok}, '-'), lambda w: array_to_string(list_transform(string_split(w, ' '), "
           "lambda v: upper(left(v, 1)) || substr(v, 2)), ' ')), '-')")

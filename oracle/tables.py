@@ -114,8 +114,8 @@ O["repair_dates"] = J(f", {_fp} SELECT id, CASE WHEN NOT {_wrong} THEN posted_da
 O["repair_to_first_seen"] = J(f"SELECT id, CASE WHEN {_imp} THEN scraped_at ELSE posted_date END AS posted_date, CASE WHEN {_imp} THEN 'day' ELSE posted_date_precision END AS posted_date_precision FROM jobs")
 O["backfill_precision"] = J(f"SELECT id, posted_date, coalesce(posted_date_precision, {S.stored_precision('posted_date', 'source_platform')}) AS posted_date_precision FROM jobs")
 _c1, _k1 = S.place("coalesce(city, country)", "country")
-O["backfill_normalization"] = J(f"""SELECT id, {S.canonical_title('title')} AS canonical_title, {S.job_type('source_platform', "job_type || ' ' || title")} AS job_type,
-  CASE WHEN regexp_matches({_k1}, '^[A-Za-z]{{2}}$') THEN upper({_k1}) END AS country, coalesce(remote_flag, false) AS remote_flag FROM jobs""")
+O["backfill_normalization"] = T(f"""SELECT id, {S.canonical_title('title')} AS canonical_title, {S.job_type('source_platform', "concat_ws(' ', job_type, title, description)")} AS job_type,
+  CASE WHEN regexp_matches({_k1}, '^[A-Za-z]{{2}}$') THEN upper({_k1}) END AS country, coalesce(remote_flag, false) AS remote_flag FROM tjobs""")
 _c2, _k2 = S.place("nullif(concat_ws(', ', city, country), '')", "country")
 O["fix_locations"] = J(f", f AS (SELECT id, city, country, {_c2} AS new_city, {_k2} AS new_country FROM jobs) SELECT *, new_city IS DISTINCT FROM city OR new_country IS DISTINCT FROM country AS changed FROM f")
 
@@ -143,7 +143,7 @@ O["append_guard_audit"] = T(f""", {GUARDED} SELECT id AS job_id, sha256('{{"coun
   'Step 5 Validator' AS check_level, 'EXCLUDE' AS outcome, reason, {S.AS_OF} AS ts FROM guarded WHERE reason IS NOT NULL""")
 _mails = f"list_filter(list_transform(regexp_extract_all(description, {S.q(V.EMAIL_PATTERN)}), lambda e: lower(e)), lambda e: NOT list_contains({S.arr(V.GENERIC_MAILBOXES)}, split_part(e, '@', 1)))[1]"
 O["export_search_docs"] = T(f"""SELECT id, title, salary_max, CASE WHEN posted_date = date_trunc('second', posted_date) THEN strftime(posted_date, '%Y-%m-%dT%H:%M:%S') ELSE strftime(posted_date, '%Y-%m-%dT%H:%M:%S.%f') END AS posted_date,
-  {_mails} AS recruiter_email, md5(left(description, 2000)) AS snippet_md5, 17::BIGINT AS fields FROM tjobs""")
+  {_mails} AS recruiter_email, md5(description) AS snippet_md5, 17::BIGINT AS fields FROM tjobs""")
 O["copy_missing_by_id"] = J("SELECT id, title, company FROM jobs WHERE ord % 4 <> 0")
 PF = """, paid AS (SELECT ord, id, CASE WHEN ord % 4 = 0 THEN 'https://boards.greenhouse.io/acme/jobs/' || (ord // 40) ELSE apply_url END AS apply_url FROM jobs WHERE ord % 2 = 0),
 free AS (SELECT ord, id, CASE WHEN ord % 14 = 3 THEN '' WHEN ord % 10 = 1 THEN 'https://boards.greenhouse.io/acme/jobs/' || (ord // 30) ELSE apply_url END AS apply_url FROM jobs WHERE ord % 2 = 1)"""

@@ -116,7 +116,7 @@ def backfill_normalization(jobs: DataFrame) -> DataFrame:
     return jobs.withColumns(
         {
             "canonical_title": canonical_title(F.col("title")),
-            "job_type": normalize_job_type(F.col("source_platform"), F.col("job_type"), F.col("title"), F.lit("")),
+            "job_type": normalize_job_type(F.col("source_platform"), F.col("job_type"), F.col("title"), F.coalesce("description", F.lit(""))),
             "country": iso,
             "remote_flag": F.coalesce("remote_flag", F.lit(False)),
         }

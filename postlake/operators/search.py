@@ -31,6 +31,10 @@ def tiered(df: DataFrame, r: SearchRequest) -> DataFrame:
     )
 
 
+#: What the orders below read besides the relevance columns.
+ORDER_COLUMNS = ["posted_date", "scraped_at", "fetched_at", "ord"]
+
+
 def recency() -> Column:
     return F.coalesce(F.col("posted_date"), F.col("scraped_at"), F.col("fetched_at"))
 

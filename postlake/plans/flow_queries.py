@@ -70,7 +70,7 @@ def _(spark, d):
 @query("export_search_docs")
 def _(spark, d):
     j = contacts.with_contacts(B.jobs(spark, d, text=True)).withColumns(
-        {"description_snippet": F.substring("description", 1, 2000), "posted_date": iso_text(c("posted_date"))}
+        {"description_snippet": F.col("description"), "posted_date": iso_text(c("posted_date"))}
     )
     docs = merge.search_documents(j)
     field = lambda k: F.get_json_object("doc", f"$.{k}")

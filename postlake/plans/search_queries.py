@@ -10,6 +10,7 @@ from postlake.functions.text import term_groups_literal
 from postlake.operators import guard as G
 from postlake.operators import search as S
 from postlake.operators.guard import SearchRequest
+from postlake.operators.ordered import ranked
 from postlake.plans import bindings as B
 from postlake.plans.registry import query
 
@@ -146,7 +147,7 @@ def _(spark, d):
 
 @query("order_recent")
 def _(spark, d):
-    return B.jobs(spark, d).orderBy(*S.recent_order()).limit(100).select("id", "posted_date", "fetched_at")
+    return ranked(B.jobs(spark, d).select("id", "ord", "posted_date", "fetched_at"), S.recent_order()).drop("ord")
 
 
 @query("relevance_score")
@@ -163,18 +164,16 @@ def _(spark, d):
 
 @query("rank_relevance")
 def _(spark, d):
-    return (
-        S.scored(B.jobs(spark, d, text=True), "python developer").orderBy(*S.relevance_order()).limit(200)
-        .select("id", "title", "relevance_score", "relevance_reason", "is_exact")
-    )
+    shown = ["id", "title", "relevance_score", "relevance_reason", "is_exact"]
+    rows = S.scored(B.jobs(spark, d, text=True), "python developer").select(*shown, *S.ORDER_COLUMNS)
+    return ranked(rows, S.relevance_order()).select("rank", *shown)
 
 
 @query("rank_tiered")
 def _(spark, d):
-    return (
-        S.tiered(S.scored(B.jobs(spark, d, text=True), "cloud engineer"), FLAGSHIP)
-        .orderBy(*S.tier_order()).limit(200).select("id", "title", "match_tier", "relevance_score")
-    )
+    shown = ["id", "title", "match_tier", "relevance_score"]
+    rows = S.tiered(S.scored(B.jobs(spark, d, text=True), "cloud engineer"), FLAGSHIP).select(*shown, *S.ORDER_COLUMNS)
+    return ranked(rows, S.tier_order()).select("rank", *shown)
 
 
 @query("page")

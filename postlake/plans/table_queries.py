@@ -289,7 +289,7 @@ def _(spark, d):
 
 @query("backfill_normalization")
 def _(spark, d):
-    return A.backfill_normalization(B.jobs(spark, d)).select("id", "canonical_title", "job_type", "country", "remote_flag")
+    return A.backfill_normalization(B.jobs(spark, d, text=True)).select("id", "canonical_title", "job_type", "country", "remote_flag")
 
 
 @query("fix_locations")

@@ -28,7 +28,7 @@ def _parsed(landed: DataFrame, schema: str) -> DataFrame:
     return landed.select("ord", F.from_json("raw", schema).alias("r"))
 
 
-def _posting(df: DataFrame, source: str, as_of: Column, *, country: str | None, cut: bool = True,
+def _posting(df: DataFrame, source: str, as_of: Column, *, country: str | None,
              number_date: bool = False, remote_from_city: bool = False) -> DataFrame:
     """Common tail: required fields, lengths, place, dates, remote flag and the derived columns.
 
@@ -39,7 +39,6 @@ def _posting(df: DataFrame, source: str, as_of: Column, *, country: str | None,
     default = F.lit(country).cast("string")
     posted = parse_epoch(F.col("date_text")) if number_date else parse_posted_date(F.col("date_text"), as_of)
     raw_text = F.col("date_text").cast("string")
-    description = F.substring("description", 1, 2000) if cut else F.col("description")
     out = kept.withColumn("place", city_country(F.col("place_text"), default)).select(
         "ord",
         F.substring("title", 1, 255).alias("title"),
@@ -60,7 +59,7 @@ def _posting(df: DataFrame, source: str, as_of: Column, *, country: str | None,
         F.substring("job_type", 1, 50).alias("job_type"),
         F.lit(source).alias("source_platform") if source else F.col("source_platform"),
         "apply_url",
-        F.nullif(description, F.lit("")).alias("description"),
+        F.nullif(F.col("description"), F.lit("")).alias("description"),
         posted.alias("posted_date"),
         precision_from_raw(raw_text, F.lit(source or ""), F.lit(number_date)).alias("posted_date_precision"),
     )
@@ -91,7 +90,7 @@ def adzuna(landed: DataFrame, as_of: Column, country: str = "us") -> DataFrame:
         F.coalesce(F.nullif(kind, F.lit("")), F.lit("full_time")).alias("job_type"),
         F.col("r.created").alias("date_text"),
     )
-    return _posting(df, "adzuna", as_of, country=country, cut=False)
+    return _posting(df, "adzuna", as_of, country=country)
 
 
 def jsearch(landed: DataFrame, as_of: Column, country: str = "us") -> DataFrame:
@@ -119,7 +118,7 @@ def jsearch(landed: DataFrame, as_of: Column, country: str = "us") -> DataFrame:
         F.lower(F.coalesce(F.col("r.job_employment_type"), F.lit("FULLTIME"))).alias("job_type"),
         F.col("r.job_posted_at_datetime_utc").alias("date_text"),
     )
-    return _posting(df, "jsearch", as_of, country=country, cut=False, remote_from_city=True)
+    return _posting(df, "jsearch", as_of, country=country, remote_from_city=True)
 
 
 def _plain(df: DataFrame, **cols: Column) -> DataFrame:
