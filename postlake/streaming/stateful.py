@@ -47,27 +47,25 @@ def cooldown(events: DataFrame, ttl_seconds: int = V.COOLDOWN_SECONDS) -> DataFr
 
 
 def daily_quota(calls: DataFrame) -> DataFrame:
-    """``calls``: source, ts, id. The count of a source starts again every day."""
+    """``calls``: source, ts, id. The count of a source starts again every day.
+
+    The state is kept by source and day, so calls that arrive after the next day has begun still
+    count against their own day. It is one number for each of them and is not timed out.
+    """
     quotas, default = V.DAILY_QUOTAS, V.DEFAULT_DAILY_QUOTA
 
     def step(key, chunks, state: GroupState):
-        day, used = state.get if state.exists else (None, 0)
+        used = state.get[0] if state.exists else 0
         limit = quotas.get(key[0], default)
         rows = _batch(chunks, ["us", "id"])
-        before, allowed = [], []
-        for us in rows["us"]:
-            today = us // 86_400_000_000
-            if today != day:
-                day, used = today, 0
-            before.append(used)
-            allowed.append(used < limit)
-            used += used < limit
-        state.update((int(day), int(used)))
-        yield pd.DataFrame({"source": key[0], "id": rows["id"], "used_before": before, "allowed": allowed})
+        # calls are allowed until the limit is reached; none after that adds to the count
+        before = [min(used + i, max(limit, used)) for i in range(len(rows))]
+        state.update((min(used + len(rows), max(limit, used)),))
+        yield pd.DataFrame({"source": key[0], "id": rows["id"], "used_before": before, "allowed": [b < limit for b in before]})
 
     us = micros(F.col("ts"))
-    return calls.select("source", "id", us.alias("us")).groupBy("source").applyInPandasWithState(
-        step, "source STRING, id BIGINT, used_before BIGINT, allowed BOOLEAN", "day BIGINT, used BIGINT", "append", _NO_TIMEOUT
+    return calls.select("source", "id", us.alias("us"), F.expr("to_date(ts)").alias("day")).groupBy("source", "day").applyInPandasWithState(
+        step, "source STRING, id BIGINT, used_before BIGINT, allowed BOOLEAN", "used BIGINT", "append", _NO_TIMEOUT
     )
 
 

@@ -249,3 +249,14 @@ def test_json_strings_are_ascii(one):
 def test_block_signatures_anywhere(one):
     far = "x" * 250_000 + V.BLOCK_SIGNATURES[0]
     assert one(lambda b: links.detect_block(F.lit(200), b), b=far) == V.BLOCK_SIGNATURES[0]
+
+
+def test_note_behind_the_snippet_length(spark):
+    """The work authorisation note and the description come from the whole text."""
+    from postlake.sources import postings
+
+    body = "We build things. " * 200 + "No sponsorship is offered."
+    raw = json.dumps({"text": "Engineer", "hostedUrl": "https://jobs.lever.co/acme/1", "descriptionPlain": body})
+    landed = spark.createDataFrame([(1, raw)], "ord BIGINT, raw STRING")
+    row = postings.lever(landed, F.lit(AS_OF).cast("timestamp_ntz")).collect()[0]
+    assert row.description == body and "sponsorship" in row.work_authorization_note

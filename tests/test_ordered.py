@@ -85,3 +85,14 @@ def test_quota_denies_after_limit(spark):
     df = spark.createDataFrame(rows, "call_id BIGINT, source STRING, ts TIMESTAMP_NTZ")
     got = {r.call_id: (r.used_before, r.allowed) for r in budgets.quota_usage(df).collect()}
     assert got[149] == (149, True) and got[150] == (150, False) and got[151] == (150, False) and got[500] == (0, True)
+
+
+def test_ranked_counts_over_all_ranges(spark):
+    """Ties are broken by the last column; every row has its place in the whole order."""
+    from postlake.operators.ordered import ranked
+
+    df = spark.range(500, numPartitions=7).select("id", (F.col("id") % 3).alias("v"))
+    got = {r.id: r["rank"] for r in ranked(df, [F.desc("v"), F.asc("id")]).collect()}
+    want = sorted(range(500), key=lambda i: (-(i % 3), i))
+    assert got == {i: n + 1 for n, i in enumerate(want)}
+    assert ranked(df.where("id < 0"), [F.asc("id")]).count() == 0

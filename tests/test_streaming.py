@@ -82,3 +82,15 @@ def test_ingest_is_write_once_and_replay_safe(spark, tmp_path):
     snap, lg = ingest_batch(store.read(0), spark.createDataFrame(second, land), ["dice"], as_of)
     store.write(1, snap, lg)
     assert {r.apply_url[-1]: r.posted_date for r in store.read(1).collect()} == {k: r.posted_date for k, r in out.items()}
+
+
+def test_quota_counts_late_calls_on_their_own_day(spark, tmp_path):
+    """200 calls of one day around a call of the next, in three micro-batches: 150 are allowed."""
+    day = [0] * 133 + [1] + [0] * 67
+    rows = [("linkedin", T0 + dt.timedelta(days=d, seconds=i), i) for i, d in enumerate(day)]
+    df = spark.createDataFrame(rows, "source STRING, ts TIMESTAMP_NTZ, id BIGINT")
+    got = drain(stateful.daily_quota(_stream(spark, df, "id", str(tmp_path / "in"))), "t-quota").collect()
+    assert len(got) == 201
+    assert sum(r.allowed for r in got if r.id != 133) == 150
+    assert [r.used_before for r in got if r.id == 133] == [0]
+    assert sorted(r.used_before for r in got if r.id != 133) == sorted([*range(150), *[150] * 50])
