@@ -333,6 +333,32 @@ def test_passages_across_documents(spark):
     assert passages(docs.limit(0)).count() == 0
 
 
+def test_a_passage_is_found_beside_a_further_phrase(spark):
+    """One chain holds an exact passage, differing words and a shared phrase, so the chain as a whole agrees too little."""
+    from llm.passage_chains import passages
+
+    rng = random.Random(11)
+    fresh = (f"u{i}" for i in range(100_000))
+    new = lambda n: " ".join(next(fresh) for _ in range(n))
+    texts = []
+    for _ in range(40):
+        passage, phrase = new(60), new(rng.choice([10, 12, 14]))
+        texts += [f"{new(50)} {passage} {new(25)} {phrase} {new(50)}" for _ in range(2)]
+    got = [r for r in passages(table(spark, texts)).collect() if r["start_word"] == 50 and r["end_word"] == 110 and r["agree"] == 60]
+    assert len({r["doc_id"] // 2 for r in got}) == 40
+
+
+def test_stretches_of_an_alignment():
+    from llm.passage_chains import stretches
+
+    edges = lambda ok: (np.arange(len(ok) + 1), np.arange(len(ok) + 1), np.array(ok), 0, len(ok))
+    same, other = [True], [False]
+    assert list(stretches(*edges(same * 60 + other * 10 + same * 60))) == [(0, 130)]
+    assert sorted(stretches(*edges(same * 60 + other * 40 + same * 55))) == [(0, 60), (100, 155)]
+    assert list(stretches(*edges(same * 49 + other * 40 + same * 20))) == []
+    assert list(stretches(*edges((other * 1 + same * 4) * 10 + other * 60))) == [(0, 50)]
+
+
 def test_chain_equals_quadratic_program():
     from llm.passage_chains import GAP_COST, K, chain
 
