@@ -348,6 +348,22 @@ def test_a_passage_is_found_beside_a_further_phrase(spark):
     assert len({r["doc_id"] // 2 for r in got}) == 40
 
 
+def test_passages_with_substituted_words_are_found(spark):
+    """Every 10th word replaced (90 % agree), and 60 words of lines that also stand in other texts."""
+    from llm.passage_chains import passages
+
+    fresh = (f"v{i}" for i in range(100_000))
+    new = lambda n: [next(fresh) for _ in range(n)]
+    texts = []
+    for _ in range(40):
+        passage = new(60)
+        texts += [" ".join([*new(50), *passage, *new(50)]), " ".join([*new(50), *(next(fresh) if i % 10 == 5 else w for i, w in enumerate(passage)), *new(50)])]
+    lines = [new(12) for _ in range(5)]
+    texts += [" ".join([*new(40), *line, *new(40)]) for line in lines] + [" ".join([*new(40), *sum(lines, []), *new(40)]) for _ in range(2)]
+    pairs = {(min(r["doc_id"], r["other_doc_id"]), max(r["doc_id"], r["other_doc_id"])) for r in passages(table(spark, texts)).collect()}
+    assert pairs == {(2 * i, 2 * i + 1) for i in range(40)} | {(85, 86)}
+
+
 def test_stretches_of_an_alignment():
     from llm.passage_chains import stretches
 
