@@ -6,8 +6,9 @@ How it works
     it whole, and m is over 0.7 L, so the sets of SHINGLE-word shingles are similar. BANDS bands of one MinHash each
     miss such a window with a probability of (1 - similarity) ^ BANDS, see ``bands_for``. Windows that share a band with
     a template are verified: at least CONTAINED of the template's shingles must be in the window, and all its numbers.
-    Only windows with a word of GATES are hashed, and only documents with one are split. No match is lost by that: of
-    every template more than 1 - CONTAINED of the shingles hold such a word (tested), so no window without one can pass.
+    Only windows with a word of GATES that a template of their length has are hashed, and only documents with a word of GATES
+    are split. No match is lost by that: GATES is made so that less than a share CONTAINED of any template's shingles lack its
+    words (``gates``, tested), so a window without one of them cannot hold a share CONTAINED. Gates are whole words, split as the texts are.
 
 Defined results: null and empty texts have no notices; repeated rows give their own rows; of the windows of a
 document that hold a license the best, then first, stays and all are counted; further columns are ignored.
@@ -27,7 +28,6 @@ SHINGLE = 3
 CONTAINED = 0.8
 LENGTHS = (6, 8, 11, 16, 22, 32, 45, 64, 90, 128)
 MISS = 1e-4
-GATES = ("licens", "copyright", "permission", "redistribut", "warrant", "notice", "free software", "all rights")
 #: Public notices.
 TEMPLATES = {
     "Apache-2.0": [
@@ -56,6 +56,42 @@ TEMPLATES = {
     "Proprietary": ["All rights reserved. No part of this work may be reproduced without permission."],
 }
 
+#: Words too common to tell a notice from other text; they become gates only where a template has no others.
+COMMON = frozenset("a above all an and any are as at be but by can for from if in is it may name no not of on one or other out part person prior so source such that the these they this to under use used was which will with without work you your".split())
+
+
+def template_words(text: str) -> list[str]:
+    return re.findall(r"[^\W_]+", text.lower())
+
+
+def lacking(text: str, gate: frozenset[str] | set[str]) -> float:
+    """The share of a template's distinct shingles without any word of the gate."""
+    w = template_words(text)
+    grams = {tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)}
+    return sum(not gate & set(g) for g in grams) / len(grams)
+
+
+def gates() -> tuple[str, ...]:
+    """Words such that of no template a share CONTAINED of the shingles lack them: the least lacking, then longest ones, template by template."""
+    chosen: set[str] = set()
+    for text in (t for texts in TEMPLATES.values() for t in texts):
+        while lacking(text, chosen) >= CONTAINED:
+            chosen.add(min(set(template_words(text)) - chosen, key=lambda w: (w in COMMON or w.isdigit(), lacking(text, chosen | {w}), -len(w), w)))
+    return tuple(sorted(chosen))
+
+
+GATES = gates()
+
+
+def gates_of(length: int) -> list[str]:
+    """The gates that templates of a window class have."""
+    found = {w for texts in TEMPLATES.values() for t in texts if window_class(t) == length for w in template_words(t)}
+    return sorted(found & set(GATES))
+
+
+def window_class(text: str) -> int:
+    return min(n for n in LENGTHS if n >= len(template_words(text)))
+
 
 def bands_for(similarity: float, miss: float = MISS) -> int:
     """Bands of one row each so that sets of this similarity share a band but for a chance of ``miss``."""
@@ -87,8 +123,7 @@ def _numbers(w: Column) -> Column:
 
 def lengths_used() -> list[int]:
     """The window classes that templates fall into."""
-    sizes = [len(re.findall(r"[^\W_]+", t)) for texts in TEMPLATES.values() for t in texts]
-    return sorted({min(n for n in LENGTHS if n >= m) for m in sizes})
+    return sorted({window_class(t) for texts in TEMPLATES.values() for t in texts})
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -107,20 +142,16 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per document row and license: doc_id, license, start_word, n_words, contained."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    low = F.lower("text")
-    gate = F.lit(False)
-    for g in GATES:
-        gate = gate | low.contains(g)
-    rows = rows.where(gate).select("doc_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
+    held = F.lower("text").rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(GATES) + r")(?![\p{L}\p{N}])")
+    rows = rows.where(held).select("doc_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
     # few documents are left: deal them out again
     rows = cut_lineage(rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row"))
     places = [F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(n // 2)), _window(n)) for n in lengths_used()]
     windows = rows.select("doc_id", "row", "w", F.explode(F.flatten(F.array(*places))).alias("x"))
     windows = windows.select("doc_id", "row", "x.start", "x.length", F.slice("w", F.col("x.start") + 1, F.expr("x.length * 3 div 2").cast("int")).alias("w"))
-    joined = F.array_join("w", " ")
     held = F.lit(False)
-    for g in GATES:
-        held = held | joined.contains(g)
+    for n in lengths_used():
+        held = held | ((F.col("length") == n) & F.arrays_overlap("w", F.array(*map(F.lit, gates_of(n)))))
     windows = windows.where(held).select("doc_id", "row", "start", "length", F.size("w").alias("n"), _numbers(F.col("w")).alias("numbers"), _shingles(F.col("w")).alias("shingles"))
     banded = _with_bands(windows.where("shingles IS NOT NULL"))
     keys = templates(spark).select("license", "length", "t_shingles", "t_numbers", F.posexplode("bands").alias("band", "value"))
