@@ -26,7 +26,7 @@ from postlake.session import cut_lineage
 
 SHINGLE = 3
 CONTAINED = 0.8
-LENGTHS = (6, 8, 11, 16, 22, 32, 45, 64, 90, 128)
+LENGTHS = (3, 4, 6, 8, 11, 16, 22, 32, 45, 64, 90, 128)
 MISS = 1e-4
 #: Public notices.
 TEMPLATES = {
@@ -39,23 +39,63 @@ TEMPLATES = {
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "LGPL": ["This library is licensed under the GNU Lesser General Public License."],
+    "LGPL": [
+        "This library is licensed under the GNU Lesser General Public License.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    ],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "MPL-2.0": [
+        "Licensed under the Mozilla Public License, Version 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+    ],
+    "EPL-2.0": [
+        "Licensed under the Eclipse Public License, Version 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    ],
+    "ISC": [
+        "Licensed under the ISC License.",
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "Unlicense": [
+        "Released under the Unlicense.",
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "CC0-1.0": [
+        "Licensed under CC0 1.0.",
+        "This work is licensed under a Creative Commons CC0 1.0 Universal License.",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
     "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Released under the BSD License.",
+        "Licensed under the BSD License.",
     ],
+    "All-Rights-Reserved": ["All rights reserved."],
     "Proprietary": ["All rights reserved. No part of this work may be reproduced without permission."],
 }
 
+#: Phrases of three words that tell licenses of nearly the same words apart: a window with another's and without its own is not the license's.
+FAMILY = {"GPL-3.0": "gnu general public", "GPL-2.0": "gnu general public", "LGPL": "gnu lesser general", "AGPL-3.0": "gnu affero general"}
+
+
 #: Words too common to tell a notice from other text; they become gates only where a template has no others.
 COMMON = frozenset("a above all an and any are as at be but by can for from if in is it may name no not of on one or other out part person prior so source such that the these they this to under use used was which will with without work you your".split())
 
@@ -135,7 +175,12 @@ def templates(spark: SparkSession) -> DataFrame:
     for n in reversed(LENGTHS):
         length = F.when(F.size("w") <= n, F.lit(n)).otherwise(length)
     rows = rows.withColumn("length", length).withColumn("shingles", _shingles(F.col("w")))
-    return _with_bands(rows).select("license", "length", F.col("shingles").alias("t_shingles"), _numbers(F.col("w")).alias("t_numbers"), "bands")
+    phrase = lambda p: F.get(_shingles(F.split(F.lit(p), " ")), F.lit(0))
+    own = rivals = F.array().cast("array<bigint>")
+    for name, p in FAMILY.items():
+        own = F.when(F.col("license") == name, F.array(phrase(p))).otherwise(own)
+        rivals = F.when(F.col("license") == name, F.array(*(phrase(q) for q in sorted(set(FAMILY.values()) - {p})))).otherwise(rivals)
+    return _with_bands(rows).select("license", "length", F.col("shingles").alias("t_shingles"), _numbers(F.col("w")).alias("t_numbers"), own.alias("own"), rivals.alias("rivals"), "bands")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -154,11 +199,12 @@ def scan(docs: DataFrame) -> DataFrame:
         held = held | ((F.col("length") == n) & F.arrays_overlap("w", F.array(*map(F.lit, gates_of(n)))))
     windows = windows.where(held).select("doc_id", "row", "start", "length", F.size("w").alias("n"), _numbers(F.col("w")).alias("numbers"), _shingles(F.col("w")).alias("shingles"))
     banded = _with_bands(windows.where("shingles IS NOT NULL"))
-    keys = templates(spark).select("license", "length", "t_shingles", "t_numbers", F.posexplode("bands").alias("band", "value"))
+    keys = templates(spark).select("license", "length", "t_shingles", "t_numbers", "own", "rivals", F.posexplode("bands").alias("band", "value"))
     seen = banded.select("doc_id", "row", "start", "length", "shingles", "numbers", "n", F.posexplode("bands").alias("band", "value"))
     met = seen.join(F.broadcast(keys), ["length", "band", "value"])  # the templates are a fixed list
     share = F.size(F.array_intersect("t_shingles", "shingles")) / F.size("t_shingles")
-    good = met.where(F.size(F.array_except("t_numbers", "numbers")) == 0).withColumn("contained", share).where(F.col("contained") >= CONTAINED)
+    other = F.arrays_overlap("rivals", "shingles") & ~F.arrays_overlap("own", "shingles")
+    good = met.where(F.size(F.array_except("t_numbers", "numbers")) == 0).where(~other).withColumn("contained", share).where(F.col("contained") >= CONTAINED)
     best = F.max_by(F.struct("start", "n", "contained"), F.struct("contained", -F.col("n"), -F.col("start"))).alias("b")
     once = good.groupBy("doc_id", "row", "license").agg(best, F.count_distinct("start", "n").alias("windows"))
     return once.select("doc_id", "license", F.col("b.start").alias("start_word"), F.col("b.n").alias("n_words"), F.col("b.contained").alias("contained"), "windows")

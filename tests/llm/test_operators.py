@@ -427,6 +427,21 @@ def test_license_gate_loses_no_match(spark):
     assert got == {(0, "CC-BY-NC-4.0"), (1, "CC-BY-SA-4.0")}
 
 
+def test_license_notices_of_their_own(spark):
+    from llm.licenses import scan
+
+    rng = random.Random(12)
+    notices = {
+        "All rights reserved.": "All-Rights-Reserved", "Licensed under the Mozilla Public License, Version 2.0.": "MPL-2.0", "Released under the ISC License.": "ISC", "Licensed under CC0 1.0.": "CC0-1.0",
+        "This is free and unencumbered software released into the public domain.": "Unlicense", "Licensed under the Eclipse Public License, Version 2.0.": "EPL-2.0",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "BSD",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "AGPL-3.0",
+    }
+    texts = [f"{sentence(rng, rng.randrange(60))}\n{n}\n{sentence(rng, rng.randrange(3))}" for n in notices for _ in range(5)]
+    got = {(r["doc_id"], r["license"]) for r in scan(table(spark, texts)).collect()}
+    assert got == {(5 * i + k, name) for i, name in enumerate(notices.values()) for k in range(5)}
+
+
 def test_url_filter(spark):
     from llm.url_filter import judge
 
