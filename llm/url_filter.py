@@ -2,9 +2,12 @@
 
 How it works
     Fixed rules (host suffix and path prefix) come first; the longest that fits wins. For the rest, a URL is a
-    basket of at most nine tokens (top domain, domain, further host labels, first path part, file ending, first query keys, scheme).
-    FP-growth over the baskets of labelled pages, each with its label as one more item, finds frequent combinations;
-    rules "combination -> block" stay with MIN_CONFIDENCE and MIN_SUPPORT, unless a part of the combination
+    basket of tokens: top domain, domain, all further host labels, all path parts, file ending, all query keys and values, scheme;
+    numbers count as 0. Tokens on fewer than the least number of blocked pages are dropped by one aggregation. Over the
+    baskets of labelled pages, combinations are counted level by level, up to MAX_ITEMS tokens: one is made longer only if all
+    its parts were kept. It is not kept if too few blocked pages have it, if it stands on the same pages as a part of it, or
+    if a part is always right; none of its extensions could then be a rule, since a part of each is at least as sure.
+    Rules "combination -> block" stay with MIN_CONFIDENCE and MIN_SUPPORT, unless a part of the combination
     is a rule that is at least as sure. Rules match by an inverted index from token to rules: a rule
     fires where as many tokens arrive as it has. Distinct baskets are matched, not pages, and the same index
     prunes the rules.
@@ -15,7 +18,8 @@ rules say otherwise; without labels nothing is mined; repeated rows give one row
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +31,8 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 MIN_SUPPORT = 0.001
 MIN_CONFIDENCE = 0.6
 MIN_PAGES = 20
-BLOCK = "label=block"
+#: The most tokens of a mined rule; baskets have no limit.
+MAX_ITEMS = 4
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -49,18 +54,25 @@ def fixed_rule(host: Column, path: Column) -> tuple[Column, Column]:
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """The basket of a URL: distinct, sorted, at most nine tokens."""
+    """The basket of a URL: distinct, sorted tokens of all its parts; numbers as 0."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    first = F.regexp_replace(F.get(F.split(path, "/"), F.lit(1)), "[0-9]+", "0")
-    keys = F.regexp_extract_all(F.coalesce(url, F.lit("")), F.lit(r"[?&]([^=&#?]+)="), F.lit(1))
+    even = lambda value: F.regexp_replace(value, "[0-9]+", "0")
     tag = lambda name, value: F.when(value.isNotNull() & (value != ""), F.concat(F.lit(name + "="), value))
+    folders = F.split(path, "/")
+    pairs = F.split(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^[^?#]*\?([^#]*)", 1), "&")
+    key = lambda pair: F.regexp_extract(pair, r"(?s)^([^=]*)", 1)
     items = [
-        tag("top", F.get(labels, n - 1)), tag("domain", F.when(n >= 2, F.concat_ws(".", F.get(labels, n - 2), F.get(labels, n - 1)))),
-        tag("label", F.get(labels, n - 3)), tag("sub", F.get(labels, n - 4)), tag("dir", first), tag("ending", F.regexp_extract(path, r"\.([A-Za-z]{1,5})$", 1)),
-        tag("key", F.get(keys, F.lit(0))), tag("key", F.get(keys, F.lit(1))), tag("scheme", F.regexp_extract(F.coalesce(url, F.lit("")), "^([A-Za-z]+)://", 1)),
+        tag("top", F.get(labels, n - 1)), tag("domain", F.when(n >= 2, F.concat_ws(".", F.get(labels, n - 2), F.get(labels, n - 1)))), tag("label", F.get(labels, n - 3)),
+        tag("dir", even(F.get(folders, F.lit(1)))), tag("ending", even(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))), tag("scheme", F.regexp_extract(F.coalesce(url, F.lit("")), "^([A-Za-z]+)://", 1)),
+    ]
+    further = [
+        F.transform(F.slice(labels, 1, F.greatest(n - 3, F.lit(0))), lambda x: tag("sub", even(x))),
+        F.transform(folders, lambda x: tag("part", even(x))),
+        F.transform(pairs, lambda x: tag("key", even(key(x)))),
+        F.transform(pairs, lambda x: F.when(x.contains("=") & (key(x) != ""), tag("value", even(x)))),
     ]
-    return F.sort_array(F.array_distinct(F.filter(F.array(*items), lambda x: x.isNotNull())))
+    return F.sort_array(F.array_distinct(F.filter(F.concat(F.array(*items), *further), lambda x: x.isNotNull())))
 
 
 def matches(baskets: DataFrame, rules: DataFrame) -> DataFrame:
@@ -70,18 +82,41 @@ def matches(baskets: DataFrame, rules: DataFrame) -> DataFrame:
     return found.groupBy("tokens", "rule").agg(F.count("*").alias("n"), F.first("needed").alias("needed"), F.first("confidence").alias("confidence")).where("n = needed").select("tokens", "rule", "confidence")
 
 
+def _without(i: int):
+    return lambda _, k: k != i
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (rule, items, confidence, support) from rows of (tokens, blocked)."""
-    baskets = cut_lineage(labelled.select(F.when(F.col("blocked"), F.array_append("tokens", F.lit(BLOCK))).otherwise(F.col("tokens")).alias("items")))
-    empty = baskets.sparkSession.range(0).select(F.col("id").alias("rule"), F.array().cast("array<string>").alias("items"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support"))
-    if baskets.where(F.array_contains("items", BLOCK)).limit(1).count() == 0:
-        return empty
-    least = max(min_support, MIN_PAGES / baskets.count())  # a rule rests on MIN_PAGES pages at least
-    if least > 1:
+    pages, blocked = labelled.agg(F.count("*"), F.count_if("blocked")).first()
+    empty = labelled.sparkSession.range(0).select(F.col("id").alias("rule"), F.array().cast("array<string>").alias("items"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support"))
+    need = max(math.ceil(min_support * pages - 1e-9), MIN_PAGES)  # a rule rests on MIN_PAGES pages at least
+    if blocked < need:
         return empty
-    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.get("consequent", F.lit(0)) == BLOCK)
-    rules = cut_lineage(rules.select(F.xxhash64(F.sort_array("antecedent")).alias("rule"), F.sort_array("antecedent").alias("items"), "confidence", "support"))
+    rows = cut_lineage(labelled.select(F.monotonically_increasing_id().alias("page"), "blocked", "tokens"))
+    known = rows.where("blocked").select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= need)
+    known = small(cut_lineage(known.select("token")))
+    counted = lambda held: held.groupBy("items").agg(F.count("*").alias("total"), F.count_if("blocked").alias("hits")).where(F.col("hits") >= need)
+    held = cut_lineage(rows.select("page", "blocked", F.explode("tokens").alias("token")).join(known, "token"))
+    baskets = cut_lineage(held.groupBy("page").agg(F.sort_array(F.collect_list("token")).alias("tokens")))
+    held = held.select("page", "blocked", F.array("token").alias("items"))
+    found = cut_lineage(counted(held))
+    rules = found
+    for length in range(2, MAX_ITEMS + 1):
+        longer = cut_lineage(found.where("hits < total").where(F.col("total") < pages))
+        open_ = held.join(small(longer.select("items")), "items").join(baskets, "page")
+        held = open_.select("page", "blocked", "items", F.explode(F.filter("tokens", lambda x: x > F.element_at("items", -1))).alias("token"))
+        held = cut_lineage(held.select("page", "blocked", F.array_append("items", F.col("token")).alias("items")))
+        made = counted(held)
+        part = made.select("items", "total", F.explode(F.array(*(F.filter("items", _without(i)) for i in range(length)))).alias("part"))
+        parts_ = small(longer.select(F.col("items").alias("part"), F.col("total").alias("wider")))
+        kept = part.join(parts_, "part").groupBy("items").agg(F.count("*").alias("n"), F.min("wider").alias("wider"), F.first("total").alias("total")).where((F.col("n") == length) & (F.col("total") < F.col("wider")))
+        found = cut_lineage(made.join(small(cut_lineage(kept.select("items"))), "items"))
+        if found.limit(1).count() == 0:
+            break
+        rules = rules.unionByName(found)
+    rules = rules.select(F.xxhash64("items").alias("rule"), "items", (F.col("hits") / F.col("total")).alias("confidence"), (F.col("hits") / F.lit(pages)).alias("support"))
+    rules = cut_lineage(rules.where(F.col("confidence") >= min_confidence))
     general = matches(rules.select(F.col("items").alias("tokens")), rules).select(F.col("tokens").alias("items"), F.col("rule").alias("part"), F.col("confidence").alias("sure"))
     beaten = rules.join(general, "items").where("part <> rule AND sure >= confidence").select("rule").distinct()
     return cut_lineage(rules.join(beaten, "rule", "left_anti"))

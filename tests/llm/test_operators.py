@@ -469,6 +469,35 @@ def test_url_filter(spark):
     assert judge(df, marked.limit(0)).where("verdict = 'block'").count() == 2 and judge(df.limit(0), marked).count() == 0
 
 
+def test_url_rules_rest_on_every_part_of_a_url(spark):
+    """Signs in the second path part, the third key, a value and a fifth host label; two that only count together."""
+    from llm.url_filter import judge, mine
+
+    rng = random.Random(13)
+    bad = ["https://x.example.com/en/casino/{i}", "https://x.example.com/en/{i}?a=1&b=2&spam=3", "https://x.example.com/en/{i}?kind=adult", "https://ads.a.b.example.com/en/{i}", "https://x.example.com/en/{i}.download", "https://x.example.com/en/left/right/{i}"]
+    good = ["https://x.example.com/en/{i}?a=1&b=2&c=3", "https://x.example.com/en/{i}?kind=news", "https://news.a.b.example.com/en/{i}", "https://x.example.com/en/{i}", "https://x.example.com/en/left/{i}", "https://x.example.com/en/right/{i}"]
+    pages = [(i, (bad if i % 2 else good)[i // 2 % 6].replace("{i}", str(rng.randrange(10**6)))) for i in range(720)]
+    df = spark.createDataFrame(pages, "page_id BIGINT, url STRING")
+    marked = spark.createDataFrame([(i, i % 2 == 1) for i in range(0, 720)], "page_id BIGINT, blocked BOOLEAN")
+    got = {r["page_id"]: r for r in judge(df, marked).collect()}
+    surest = {i: r["confidence"] for i, r in got.items()}
+    assert all(surest[i] == 1 for i in range(720) if i % 2)
+    assert all(surest[i] is None or surest[i] < 1 for i in range(720) if not i % 2)
+    # brute force: what a combination's pages say
+    rows = [(sorted({rng.choice("abcdef") for _ in range(5)} | {"all"}), rng.random() < 0.5) for _ in range(300)]
+    from itertools import combinations
+
+    want = {}
+    for n in range(1, 5):
+        for c in combinations([*"abcdef"] + ["all"], n):
+            on = [y for t, y in rows if set(c) <= set(t)]
+            if sum(on) >= 20 and sum(on) / len(on) >= 0.5:
+                want[tuple(sorted(c))] = sum(on) / len(on)
+    want = {c: v for c, v in want.items() if not any(set(d) < set(c) and want[d] >= v for d in want)}
+    rules = {tuple(r["items"]): r["confidence"] for r in mine(spark.createDataFrame(rows, "tokens ARRAY<STRING>, blocked BOOLEAN"), min_confidence=0.5).collect()}
+    assert rules == pytest.approx(want)
+
+
 def test_pipeline_keeps_columns_and_clean_documents(spark):
     import corpus_pipeline as p
     from llm.decontaminate import overlaps
