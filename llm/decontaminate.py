@@ -8,8 +8,9 @@ How it works
     side without gaps, and the best-scoring run (+1 a word that agrees, -2 one that doesn't) is kept. It is a leak if
     it has MIN_AGREE agreeing words, or FULL of the item, and at least IDENTITY of its words agree. Any run of
     12 words with one or two substitutions at most every few words keeps a seed; so does each exact one.
-    Items of fewer than SPAN words are sought whole and exactly; those of fewer than MIN_ITEM words are too
-    common to prove anything and are left out.
+    Items of MIN_ITEM to SPAN - 1 words have masks of their own, one for every choice of words that may differ in a run which
+    passes the check: FULL of the whole item agrees, and at least MIN_ITEM words (``short_masks``). So none is missed. Items of
+    fewer than MIN_ITEM words are too common to prove anything and are left out.
 
 Defined results: null or empty texts and items contain nothing, and items without an id are left out; an empty benchmark gives no rows; repeated items
 with other ids are reported each; repeated document rows give one row each per item; further columns are ignored.
@@ -17,7 +18,9 @@ with other ids are reported each; repeated document rows give one row each per i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -38,12 +41,27 @@ MARGIN = 96
 _BITS = 24
 
 
-def _patterns(short: list[int]) -> list[list[int]]:
-    return [[i for i, c in enumerate(m) if c == "1"] for m in MASKS] + [list(range(n)) for n in short]
+def short_masks(n: int) -> list[list[int]]:
+    """Places of an item of n words, fewer than SPAN: every set of as many words as a leak must have at least."""
+    return [list(c) for c in combinations(range(n), least(n))]
+
+
+def least(n: int) -> int:
+    """How many words of an item of n words, fewer than SPAN, must agree."""
+    return max(MIN_ITEM, math.ceil(FULL * n))
+
+
+def _patterns(lengths: list[int]) -> list[tuple[int, list[int], int]]:
+    """(mask, places, words that a window spans) of the fixed masks and of those for short items of these lengths."""
+    fixed = [(m, [i for i, c in enumerate(mask) if c == "1"], SPAN) for m, mask in enumerate(MASKS)]
+    return fixed + [(100 * n + k, places, n) for n in lengths for k, places in enumerate(short_masks(n))]
 
 
 def _seeds(items: DataFrame) -> DataFrame:
-    """(item_id, mask, seed, at): every seed of every item; masks after the fixed ones are whole short items."""
+    """(item_id, mask, seed, at): every seed of every item. Masks from 100 on are those of short items: 100 times the length, and a number.
+
+    A mask's places count from its first one, so that it also fits where a text begins or ends within the item; ``at`` is where that stands in the item.
+    """
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -53,12 +71,15 @@ def _seeds(items: DataFrame) -> DataFrame:
                     n = hi - lo
                     if n < MIN_ITEM:
                         continue
-                    for m, places in enumerate(_patterns([n] if n < SPAN else [])):
-                        width = n if n < SPAN else SPAN
-                        if m < len(MASKS) and n < SPAN:
+                    for m, places, width in _patterns([n] if n < SPAN else []):
+                        if n < SPAN and m < 100:
                             continue
-                        s = gram_hashes(np.append(h[lo:hi], np.zeros(width - places[-1] - 1, np.uint64)), places, salt=m if n >= SPAN else 100 + n)[: n - width + 1]
-                        yield pd.DataFrame({"item_id": item, "mask": m if n >= SPAN else 100 + n, "seed": s.astype(np.int64), "at": np.arange(len(s), dtype=np.int32)})
+                        if n < SPAN:
+                            s, at = gram_hashes(h[lo:hi], [p - places[0] for p in places], salt=m)[places[0] : places[0] + 1], np.array([places[0]], dtype=np.int32)
+                        else:
+                            s = gram_hashes(np.append(h[lo:hi], np.zeros(width - places[-1] - 1, np.uint64)), places, salt=m)[: n - width + 1]
+                            at = np.arange(len(s), dtype=np.int32)
+                        yield pd.DataFrame({"item_id": item, "mask": m, "seed": s.astype(np.int64), "at": at})
 
     return items.mapInPandas(build, "item_id BIGINT, mask INT, seed BIGINT, at INT")
 
@@ -75,7 +96,7 @@ def _bitmap(seeds: DataFrame) -> bytes:
 
 def _regions(docs: DataFrame, bitmap: bytes, short: list[int]) -> DataFrame:
     """Parts of documents with hits: doc_id, row (a hash of the row), start, words and the hits (at, mask, seed)."""
-    masks = [(m, p, SPAN) for m, p in enumerate(_patterns([]))] + [(100 + n, list(range(n)), n) for n in short]
+    masks = [(m, places, width) if m < 100 else (m, [p - places[0] for p in places], places[-1] - places[0] + 1) for m, places, width in _patterns(short)]
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells = np.frombuffer(bitmap, np.uint64)
@@ -122,12 +143,19 @@ def best_run(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[int, int, int] |
     return lo + begin, end - begin, int(agree[begin:end].sum())
 
 
+def whole(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[int, int, int] | None:
+    """As ``best_run``, but from the first word that agrees to the last: a short item counts as a whole, wherever words of it differ."""
+    lo, hi = max(0, shift), min(len(a), len(b) + shift)
+    at = np.flatnonzero(a[lo:hi] == b[lo - shift : hi - shift]) if hi > lo else []
+    return (lo + int(at[0]), int(at[-1] - at[0]) + 1, len(at)) if len(at) else None
+
+
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per document row and item with a leak: where it is, its length in words and how many agree."""
     items = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL AND item_id IS NOT NULL")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     seeds = cut_lineage(_seeds(items))
-    short = [r["mask"] - 100 for r in seeds.where("mask >= 100").select("mask").distinct().collect()]  # at most SPAN - MIN_ITEM lengths
+    short = [r["n"] for r in seeds.where("mask >= 100").select(F.expr("mask div 100").cast("int").alias("n")).distinct().collect()]  # at most SPAN - MIN_ITEM lengths
     regions = cut_lineage(_regions(docs, _bitmap(seeds), sorted(short)))
     hits = regions.select("row", "start", F.explode(F.arrays_zip("ats", "masks", "seeds")).alias("h")).select("row", "start", F.col("h.ats").alias("pos"), F.col("h.masks").alias("mask"), F.col("h.seeds").alias("seed"))
     found = hits.join(seeds, ["mask", "seed"]).select("row", "start", "item_id", (F.col("pos") - F.col("at")).alias("shift"))
@@ -146,7 +174,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
             for r in f.itertuples(index=False):
                 best = None
                 for shift in sorted(int(x) for x in r.shifts):
-                    run = best_run(r.words, r.item_words, shift)
+                    run = (best_run if len(r.item_words) >= SPAN else whole)(r.words, r.item_words, shift)
                     if run and run[2] >= IDENTITY * run[1] and (run[2] >= MIN_AGREE or run[2] >= max(MIN_ITEM, FULL * len(r.item_words))) and (best is None or run[2] > best[2]):
                         best = (*run, run[0] - shift)
                 if best:

@@ -216,6 +216,28 @@ def test_decontamination_finds_planted_passages_only(spark):
     assert overlaps(docs, bench.limit(0)).count() == 0 and overlaps(docs.limit(0), bench).count() == 0
 
 
+def test_short_items_with_replaced_words_are_found(spark):
+    """Items of 5 to 9 words, every choice of words replaced: found where FULL of the item agrees, and only there."""
+    from itertools import combinations
+
+    from llm.decontaminate import FULL, MIN_ITEM, clean, overlaps
+
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in range(3, 10)}
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id BIGINT, text STRING")
+    texts, want = [], set()
+    for n, w in items.items():
+        for gone in (g for k in range(4) for g in combinations(range(n), k)):
+            for before, after in (("", ""), ("so it was ", " and more")):
+                if n - len(gone) >= max(MIN_ITEM, FULL * n):
+                    want.add((len(texts), n))
+                texts.append(before + " ".join("other" if k in gone else x for k, x in enumerate(w)) + after)
+    texts += [" ".join(items[9][2:]), " ".join(items[9][:7]), " ".join(items[9][3:])]
+    want |= {(len(texts) - 3, 9), (len(texts) - 2, 9)}
+    docs = table(spark, texts)
+    assert set(rows(overlaps(docs, bench), "doc_id", "item_id")) == want
+    assert clean(docs, bench).count() == len(texts) - len(want)
+
+
 def test_toxicity_on_held_out_rows_and_odd_texts(spark):
     from llm.toxicity import keep_clean, score, train
 
