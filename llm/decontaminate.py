@@ -152,6 +152,11 @@ def whole(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[int, int, int] | No
 
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per document row and item with a leak: where it is, its length in words and how many agree."""
+    return _overlaps(docs, items).drop("row")
+
+
+def _overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``overlaps`` with row, a hash of the document row."""
     items = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL AND item_id IS NOT NULL")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     seeds = cut_lineage(_seeds(items))
@@ -188,10 +193,11 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     out = numbered.mapInPandas(verify, "doc_id STRING, row BIGINT, item_id BIGINT, doc_start INT, length INT, agree INT, item_start INT, item_length INT")
     best = out.groupBy("row", "item_id").agg(F.max_by(F.struct("doc_id", "doc_start", "length", "agree", "item_start", "item_length"), F.struct("agree", -F.col("doc_start"))).alias("m"))
     copies = once.groupBy("row").agg(F.max("copies").alias("copies"))
-    return best.join(copies, "row").select(F.col("m.doc_id").cast("bigint").alias("doc_id"), "item_id", "m.doc_start", "m.length", "m.agree", "m.item_start", "m.item_length", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    return best.join(copies, "row").select("row", F.col("m.doc_id").cast("bigint").alias("doc_id"), "item_id", "m.doc_start", "m.length", "m.agree", "m.item_start", "m.item_length", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of documents without a leak. Rows without a doc_id are kept only if no such row leaks."""
-    leaks = cut_lineage(overlaps(docs, items).select(F.col("doc_id").cast("bigint").alias("leak")).distinct())
-    return docs.join(small(leaks), docs["doc_id"].eqNullSafe(F.col("leak")), "left_anti")
+    """The rows without a leak, each by its own doc_id and text."""
+    leaks = cut_lineage(_overlaps(docs, items).select(F.col("row").alias("leak"), F.col("doc_id").alias("leak_id")).distinct())
+    row = F.xxhash64(docs["doc_id"].cast("bigint"), docs["text"].cast("string"))
+    return docs.join(small(leaks), (row == F.col("leak")) & docs["doc_id"].cast("bigint").eqNullSafe(F.col("leak_id")), "left_anti")

@@ -328,6 +328,11 @@ def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: in
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
+    return _components(docs, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _components(docs: DataFrame, percent: int) -> DataFrame:
+    """``jaccard_components`` with th, a hash of the text, and group, which two groups never share even if their smallest ids are equal."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("th", F.xxhash64("text"))
     rows = cut_lineage(nodes_of(docs, percent))
@@ -355,24 +360,28 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     per_set = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"))
     named = cut_lineage(per_set.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid")))
     groups = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    final = cut_lineage(named.join(groups, "label").select("sid", "component_id"))
-    return rows.select("doc_id", "sid", "n").join(final, "sid", "left").select(
-        "doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+    final = cut_lineage(named.join(groups, "label").select("sid", "label", "component_id"))
+    return rows.select("doc_id", "th", "sid", "n").join(final, "sid", "left").select(
+        "doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "th", F.coalesce("label", "th").alias("group")
     )
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of one document of each group: that with the smallest doc_id. Rows without doc_id stay.
 
-    Of repeated rows with one doc_id, one stays (the smallest by a hash of the row).
+    Of several rows of a group with that doc_id, one stays (the smallest by a hash of the row). Rows with one doc_id in
+    different groups are judged each in its own.
     """
-    found = cut_lineage(jaccard_components(docs, percent).select(F.col("doc_id").alias("id"), "component_id"))
-    drop = small(cut_lineage(found.where("component_id <> id").select("id").distinct()))
-    docs = docs.join(drop, docs["doc_id"] == drop["id"], "left_anti")
-    twice = cut_lineage(found.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    found = cut_lineage(_components(docs, percent).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "th", "group", "component_id"))
+    of = lambda t: (docs["doc_id"].cast("bigint") == t["id"]) & (F.xxhash64(docs["text"].cast("string")) == t["th"])
+    drop = small(cut_lineage(found.where("component_id <> id").select("id", "th").distinct()))
+    kept = found.where("component_id = id")
+    many = kept.groupBy("id", "group").agg(F.count("*").alias("n")).where("n > 1").select("id", "group")
+    twice = cut_lineage(kept.join(many, ["id", "group"]).select("id", "th", "group").distinct())
+    left = docs.join(drop, of(drop), "left_anti")
     if twice.limit(1).count() == 0:
-        return docs
+        return left
     twice = small(twice)
-    same = docs.join(twice, docs["doc_id"] == twice["id"], "left_semi").select(F.struct("*").alias("row"), "doc_id")
-    first = same.groupBy("doc_id").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
-    return docs.join(twice, docs["doc_id"] == twice["id"], "left_anti").unionByName(first)
+    same = docs.join(twice, of(twice)).select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), twice["id"], twice["group"])
+    first = same.groupBy("id", "group").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    return left.join(twice, of(twice), "left_anti").unionByName(first)

@@ -161,6 +161,11 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
     """Per document row: doc_id, held_out, score, predicted, sentences, offending sentences and the number of the worst."""
+    return _scored(docs, model, threshold).drop("th")
+
+
+def _scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
+    """``score`` with th, a hash of the text."""
     buckets, weights, bias = model
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,18 +184,19 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshol
                 ranked = np.lexsort((-z, np.repeat(np.arange(len(part)), np.diff(first))))
                 bad = np.add.reduceat(np.r_[(z > np.log(threshold / (1 - threshold))).astype(np.int64), 0], first[:-1])
                 yield pd.DataFrame({
-                    "doc_id": part["doc_id"], "score": np.clip(p, 0.0, 1.0), "sentences": np.diff(first), "offending": bad,
+                    "doc_id": part["doc_id"], "th": part["th"], "score": np.clip(p, 0.0, 1.0), "sentences": np.diff(first), "offending": bad,
                     "worst_sentence": ranked[first[:-1]] - first[:-1],
                 })
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = ids_as_text(rows, "doc_id").mapInPandas(build, "doc_id STRING, score DOUBLE, sentences BIGINT, offending BIGINT, worst_sentence BIGINT")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    out = ids_as_text(rows, "doc_id").mapInPandas(build, "doc_id STRING, th BIGINT, score DOUBLE, sentences BIGINT, offending BIGINT, worst_sentence BIGINT")
     out = ids_as_numbers(out, "doc_id")
-    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "sentences", "offending", "worst_sentence")
+    return out.select("doc_id", "th", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "sentences", "offending", "worst_sentence")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of documents that the model does not reject."""
+    """The rows that the model does not reject, each by its own doc_id and text."""
     model = train(docs, labels)
-    rejected = cut_lineage(score(docs, model).where("predicted = 1").select(F.col("doc_id").alias("rejected")).distinct())
-    return docs.join(small(rejected), docs["doc_id"] == F.col("rejected"), "left_anti")
+    rejected = cut_lineage(_scored(docs, model).where("predicted = 1").select(F.col("doc_id").alias("rejected"), F.col("th").alias("rejected_th")).distinct())
+    same = docs["doc_id"].cast("bigint").eqNullSafe(F.col("rejected")) & (F.xxhash64(docs["text"].cast("string")) == F.col("rejected_th"))
+    return docs.join(small(rejected), same, "left_anti")

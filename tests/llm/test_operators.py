@@ -520,6 +520,27 @@ def test_url_rules_rest_on_every_part_of_a_url(spark):
     assert rules == pytest.approx(want)
 
 
+def test_rows_are_judged_each_by_its_own_text(spark):
+    """Null and repeated doc_ids: only the rows that were judged go."""
+    from llm.decontaminate import clean
+    from llm.jaccard_join import keep_one
+    from llm.toxicity import keep_clean
+
+    rng = random.Random(14)
+    a, b, c, d = (sentence(rng, 40) for _ in range(4))
+    bench = spark.createDataFrame([(1, a)], "item_id BIGINT, text STRING")
+    ids, texts = [None, None, 7, 7, 8], [a, b, a, c, d]
+    assert sorted(r["text"] for r in clean(table(spark, texts, ids), bench).collect()) == sorted([b, c, d])
+    ids, texts = [5, 5, 5, 6, None], [a, b, b, b, b]
+    assert sorted(((r["doc_id"], r["text"]) for r in keep_one(table(spark, texts, ids)).collect()), key=repr) == sorted([(5, a), (5, b), (None, b)], key=repr)
+    many = [". ".join(sentence(rng, 12) for _ in range(6)) + (" you villainous scoundrel fool." if i % 3 == 0 else "") for i in range(400)]
+    bad, good = sentence(rng, 12) + ". you villainous scoundrel fool.", sentence(rng, 30)
+    docs = table(spark, [*many, bad, good, bad, good], [*range(400), None, None, 900, 900])
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(400)], "doc_id BIGINT, quality INT, toxic INT")
+    kept = keep_clean(docs, labels).where("doc_id IS NULL OR doc_id = 900").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted([(None, good), (900, good)], key=repr)
+
+
 def test_pipeline_keeps_columns_and_clean_documents(spark):
     import corpus_pipeline as p
     from llm.decontaminate import overlaps
