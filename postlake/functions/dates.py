@@ -35,6 +35,11 @@ def micros(t: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), t)
 
 
+def from_micros(us: Column) -> Column:
+    """The UTC wall-clock stamp that many microseconds after the epoch."""
+    return F.timestamp_add("MICROSECOND", us, F.expr(_EPOCH))
+
+
 def add_minutes(t: Column, minutes: Column | int) -> Column:
     return F.timestamp_add("MINUTE", minutes if isinstance(minutes, Column) else F.lit(minutes), t)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from postlake.functions.dates import cache_policy, date_bucket, seconds_between, window_minutes
 from postlake.functions.keys import cache_key_json
 from postlake.operators.cooldown import with_accepted
+from postlake.session import cut_lineage
 
 
 def keyed_requests(requests: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def decisions(requests: DataFrame) -> DataFrame:
     A refresh stamps the ledger and a hit does not, so a request is a refresh exactly when the
     cool-down rule with the serve window as TTL accepts it.
     """
-    keyed = keyed_requests(requests)
+    keyed = cut_lineage(keyed_requests(requests))  # read by every pass of the chain
     out = with_accepted(keyed, "cache_key", "ts", "request_id", F.col("serve_minutes") * 60)
     age = seconds_between(F.col("ts"), F.col("last_accepted_at")) / 60
     hit = ~F.col("accepted")

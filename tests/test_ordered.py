@@ -3,9 +3,10 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from postlake.operators import budgets
+from postlake.operators import budgets, cooldown
 from postlake.operators.cooldown import with_accepted
 from postlake.operators.ordered import carry_last, running_sum
 
@@ -54,6 +55,31 @@ def test_cooldown_chain(spark):
     assert got == want
 
 
+@pytest.mark.parametrize(("chunk", "fan", "gaps"), [(1, 2, [1, 5, 20, 60, 400]), (2, 3, [90]), (1, 4, [0, 0, 1, 179, 180, 181]), (4, 2, [30_000, 100])])
+def test_cooldown_over_many_chunks(spark, monkeypatch, chunk, fan, gaps):
+    """Exit maps composed over several levels; regular gaps never let chains meet; null keys, null times and ties."""
+    monkeypatch.setattr(cooldown, "CHUNK", chunk)
+    monkeypatch.setattr(cooldown, "FAN", fan)
+    rng = random.Random(chunk)
+    rows, t = [], T0
+    for i in range(600):
+        t += dt.timedelta(seconds=rng.choice(gaps))
+        rows.append((rng.choice(["hot", "hot", "hot", "b", None]), t, i, "x"))
+    last, want = {}, {}
+    for k, t, i, _ in rows:
+        ok = k not in last or (t - last[k]).total_seconds() >= 180
+        want[i] = (ok, last.get(k))
+        if ok:
+            last[k] = t
+    rows += [("hot", None, 1000, "x"), (None, None, 1001, "x")]
+    want |= {1000: (False, None), 1001: (False, None)}
+    df = spark.createDataFrame(rows, "key STRING, ts TIMESTAMP_NTZ, id BIGINT, note STRING")
+    out = with_accepted(df, "key", "ts", "id", F.lit(180))
+    assert out.columns == [*df.columns, "accepted", "last_accepted_at"]
+    assert {r.id: (r.accepted, r.last_accepted_at) for r in out.collect()} == want
+    assert with_accepted(df.limit(0), "key", "ts", "id", F.lit(180)).collect() == []
+
+
 def test_call_budget(spark):
     rng = random.Random(3)
     rows, t = [], T0
