@@ -148,11 +148,11 @@ O["extract_contacts"] = (
     f"SELECT doc_id, {_rec('text')} AS recruiter_email, {_com('text')} AS company_email, len({_mails('text')}) AS emails FROM documents"
 )
 _word = "trim(regexp_replace(lower(coalesce(company, '')), '[^\\w\\s]', '', 'g'))"
-_guess = (
+CONTACT_GUESS = (
     f"'careers@' || CASE {_word}" + "".join(f" WHEN {S.q(k)} THEN {S.q(v)}" for k, v in V.COMPANY_DOMAINS.items())
     + f" ELSE CASE WHEN length({_word}) > 2 AND NOT contains({_word}, ' ') THEN {_word} || '.com' END END"
 )
-O["company_contact_email"] = J(f"SELECT id, {_guess} AS guess FROM jobs")
+O["company_contact_email"] = J(f"SELECT id, {CONTACT_GUESS} AS guess FROM jobs")
 _cue = "(?i)(?:recruiter|hiring manager|contact|posted by|reach out to)\\s*:\\s*([A-Z][a-z]+\\s+[A-Z][a-z]+)"
 _pl = "(?i)(?:reach out to|contact)\\s+([A-Z][a-z]+\\s+[A-Z][a-z]+)\\b"
 _okname = lambda n: f"CASE WHEN {n} <> '' AND length({n}) <= 50 AND NOT {S.any_of(f'lower({n})', V.NAME_STOP_WORDS)} THEN {n} END"
@@ -171,10 +171,10 @@ fin AS (SELECT *, CASE WHEN found IS NOT NULL THEN array_to_string(list_transfor
   END AS recruiter FROM named)"""
 O["recruiter_name"] = T(NAMES + " SELECT id, mail, recruiter AS name FROM fin WHERE mail IS NOT NULL")
 O["enrich_contacts"] = T(
-    NAMES + f" SELECT id, mail AS recruiter_email, coalesce(cmail, {_guess}) AS company_contact_email, recruiter AS recruiter_name FROM fin"
+    NAMES + f" SELECT id, mail AS recruiter_email, coalesce(cmail, {CONTACT_GUESS}) AS company_contact_email, recruiter AS recruiter_name FROM fin"
 )
 O["enrichment_report"] = T(NAMES + f""",
-e AS (SELECT mail AS a, coalesce(cmail, {_guess}) AS b, recruiter AS n FROM fin)
+e AS (SELECT mail AS a, coalesce(cmail, {CONTACT_GUESS}) AS b, recruiter AS n FROM fin)
 SELECT count(*) AS total, count(a) AS recruiter_emails, count(b) AS company_emails, count(n) AS recruiter_names,
   count(*) FILTER (a IS NOT NULL OR b IS NOT NULL OR n IS NOT NULL) AS enriched,
   round(100.0 * count(*) FILTER (a IS NOT NULL OR b IS NOT NULL OR n IS NOT NULL) / count(*), 2)::DOUBLE AS hit_rate FROM e""")

@@ -249,7 +249,7 @@ FROM sg l JOIN cp ON cp.a = l.ck JOIN sg r ON r.ck = cp.b JOIN tp ON tp.a = l.tk
 # Sequential resolution: stored postings and merged re-scrapes are taken first by order; the remaining
 # rows are folded signature by signature in order of first appearance (a signature blocks its own repeats,
 # and the links of these rows are all different).
-_FUZZY = f""", al AS (SELECT ord, apply_url, company, title, posted_date, 0 AS new FROM stored UNION ALL SELECT ord, apply_url, company, title, posted_date, 1 FROM incoming),
+FUZZY = f""", al AS (SELECT ord, apply_url, company, title, posted_date, 0 AS new FROM stored UNION ALL SELECT ord, apply_url, company, title, posted_date, 1 FROM incoming),
 kj AS (SELECT *, {match_key('company')} AS ck, {match_key('title')} AS tk FROM al), {_pairs('kj', 'tk', 'tp', V.TITLE_MATCH_THRESHOLD)}, {_pairs('kj', 'ck', 'cp', V.COMPANY_MATCH_THRESHOLD)},
 k2 AS (SELECT *, CASE WHEN ck <> '' AND tk <> '' THEN ck || '|' || tk END AS sig FROM kj),
 sg AS (SELECT DISTINCT ck, tk, sig FROM k2 WHERE sig IS NOT NULL),
@@ -266,8 +266,8 @@ fo AS (SELECT list_reduce(list_prepend([]::VARCHAR[], list_transform(list({{'s':
 rs AS (SELECT nw.ord, CASE WHEN known THEN 'merge' WHEN nw.sig IS NULL THEN 'kept' WHEN fr.sig IS NOT NULL AND fr.o = nw.ord AND list_contains((SELECT kept FROM fo), nw.sig) THEN 'kept' ELSE 'fuzzy' END AS outcome,
   mt.url, nw.posted_date FROM nw LEFT JOIN mt ON mt.sig = nw.sig LEFT JOIN fr ON fr.sig = nw.sig),
 res AS (SELECT ord, outcome, CASE WHEN outcome = 'fuzzy' THEN url END AS refresh_url, posted_date FROM rs)"""
-O["greedy_dedup"] = N(_FUZZY + " SELECT ord, outcome, refresh_url FROM res")
-O["refresh_candidates"] = N(_FUZZY + """, rc AS (SELECT r.ord, r.refresh_url, r.posted_date AS new_date, s.posted_date AS old_date FROM res r JOIN stored s ON s.apply_url = r.refresh_url)
+O["greedy_dedup"] = N(FUZZY + " SELECT ord, outcome, refresh_url FROM res")
+O["refresh_candidates"] = N(FUZZY + """, rc AS (SELECT r.ord, r.refresh_url, r.posted_date AS new_date, s.posted_date AS old_date FROM res r JOIN stored s ON s.apply_url = r.refresh_url)
 SELECT *, CASE WHEN old_date IS NULL AND new_date IS NOT NULL AND ord = min(ord) FILTER (old_date IS NULL AND new_date IS NOT NULL) OVER (PARTITION BY refresh_url) THEN 'refreshed' ELSE 'skipped' END AS action FROM rc""")
-O["ingest_metrics"] = N(_FUZZY + """ SELECT count(*) AS normalised, count(*) FILTER (outcome = 'fuzzy') AS duplicates, count(*) FILTER (outcome = 'kept') AS inserted, count(*) FILTER (outcome = 'merge') AS reconfirmed,
+O["ingest_metrics"] = N(FUZZY + """ SELECT count(*) AS normalised, count(*) FILTER (outcome = 'fuzzy') AS duplicates, count(*) FILTER (outcome = 'kept') AS inserted, count(*) FILTER (outcome = 'merge') AS reconfirmed,
   round(100.0 * count(*) FILTER (outcome = 'fuzzy') / count(*), 1)::DOUBLE AS dedup_pct, round(100.0 * count(*) FILTER (outcome <> 'fuzzy') / count(*), 1)::DOUBLE AS clean_pct FROM res""")

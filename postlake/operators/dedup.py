@@ -63,30 +63,49 @@ def prepare_strings(df: DataFrame, id_col: str, text: str, threshold: float) ->
 
     Together this is exact for thresholds above 75; no partner is capped or sampled.
     """
+    part, loss = _may_differ(threshold)
+    base = cut_lineage(_keyed_words(df, id_col, text).withColumn("_grams", _bigrams(F.col("_words"))))
+    freq = lambda c: base.select(F.explode(c).alias("_i")).groupBy("_i").agg(F.count(F.lit(1)).alias("_n"))
+    words = _by_rarity(base, id_col, "_words", freq("_words")).withColumnRenamed("_words", "_rare_words")
+    grams = _by_rarity(base, id_col, "_grams", freq("_grams")).withColumnRenamed("_grams", "_rare_grams")
+    out = base.join(words, id_col).join(grams, id_col)
+    return cut_lineage(out.withColumns(_heads(part, loss)).drop("_rare_words", "_rare_grams"))
+
+
+def _may_differ(threshold: float) -> tuple[float, float]:
+    """The part of a side's letters that may be missing from a partner, and the bigrams a letter that may."""
     if threshold <= 75:
         raise ValueError("candidate search is exact for thresholds above 75 only")
     e = 1 - threshold / 100
     dominated = 2 * e / (1 - e)
-    part = dominated / (1 + dominated)
     loss = (1.5 * e + 0.5) + (1 - e) / (1 + e) * (1.5 * e - 0.5)
     # a little slack so that rounding never loses a pair
-    part, loss = part + 1e-9, loss + 1e-9
-    base = cut_lineage(_keyed_words(df, id_col, text).withColumn("_grams", _bigrams(F.col("_words"))))
-    freq = lambda c: base.select(F.explode(c).alias("_i")).groupBy("_i").agg(F.count(F.lit(1)).alias("_n"))
-    words = _by_rarity(base, id_col, "_words", freq("_words")).withColumnRenamed("_words", "_rare_words")
-    grams = _by_rarity(base, id_col, "_grams", freq("_grams")).withColumnRenamed("_grams", "_rare_grams")
-    out = base.join(words, id_col).join(grams, id_col)
+    return dominated / (1 + dominated) + 1e-9, loss + 1e-9
+
+
+def _heads(part: float, loss: float) -> dict[str, Column]:
     # shortest run of rare words whose letters exceed the part that may be missing
     reach = lambda k: F.aggregate(F.slice("_rare_words", 1, k), F.lit(0), lambda acc, w: acc + F.length(w))
     steps = F.filter(F.sequence(F.lit(1), F.size("_rare_words")), lambda k: reach(k) >= F.col("_len") * part)
-    return cut_lineage(
-        out.withColumns(
-            {
-                "_head_words": F.slice("_rare_words", F.lit(1), F.coalesce(F.get(steps, F.lit(0)), F.size("_rare_words"))),
-                "_head_grams": F.slice("_rare_grams", F.lit(1), (F.floor(F.col("_len") * loss) + 1).cast("int")),
-            }
-        ).drop("_rare_words", "_rare_grams")
-    )
+    return {
+        "_head_words": F.slice("_rare_words", F.lit(1), F.coalesce(F.get(steps, F.lit(0)), F.size("_rare_words"))),
+        "_head_grams": F.slice("_rare_grams", F.lit(1), (F.floor(F.col("_len") * loss) + 1).cast("int")),
+    }
+
+
+def index_items(names: DataFrame, text: str, threshold: float = V.COMPANY_MATCH_THRESHOLD, probe: bool = False) -> DataFrame:
+    """(item, text): the items by which a stored index finds every similar string; ``probe`` gives a searcher's items.
+
+    As in ``prepare_strings``, but ordered by a hash instead of by rarity, so the items of a string never change
+    as strings are added: similar strings share a head word with the other's words, or a head bigram.
+    """
+    by_hash = lambda c: F.transform(F.array_sort(F.transform(c, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), lambda s: s["x"])
+    base = _keyed_words(names, text, text).withColumn("_grams", _bigrams(F.col("_words")))
+    base = base.withColumns({"_rare_words": by_hash("_words"), "_rare_grams": by_hash("_grams")}).withColumns(_heads(*_may_differ(threshold)))
+    own, other = ("h:", "w:") if not probe else ("w:", "h:")
+    marked = lambda mark, c: F.transform(c, lambda x: F.concat(F.lit(mark), x))
+    items = F.concat(marked(own, "_head_words"), marked(other, "_words"), marked("g:", "_head_grams"))
+    return base.select(F.explode(items).alias("item"), text)
 
 
 def _probe(left: DataFrame, right: DataFrame, lid: str, rid: str, equal: list[str], a: str, b: str, lengths: bool,

@@ -13,6 +13,9 @@ MERGE_COLUMNS = [
 ]
 
 
+_MERGED = ["apply_url", "posted_date", "posted_date_precision", "fetched_at", "scraped_at"]
+
+
 def first_per(df: DataFrame, key: str, order: str = "ord") -> DataFrame:
     """Smallest ``order`` row of every key, as a map-side combinable aggregate (a hot key sends one row per task)."""
     rest = [c for c in df.columns if c != key]
@@ -20,8 +23,8 @@ def first_per(df: DataFrame, key: str, order: str = "ord") -> DataFrame:
     return picked.select(*[F.col(key) if c == key else F.col(f"_r.{c}").alias(c) for c in df.columns])
 
 
-def merge_write_once(stored: DataFrame, incoming: DataFrame, as_of: Column) -> DataFrame:
-    """Snapshot after a batch.
+def merge_write_once(stored: DataFrame, incoming: DataFrame, as_of: Column, columns: list[str] = MERGE_COLUMNS) -> DataFrame:
+    """Snapshot after a batch, of the given stored columns.
 
     By ``apply_url``: absent rows are inserted; present rows only fill a missing posting date
     (never move one), always bump ``fetched_at`` and keep ``scraped_at``. ``action`` tells them apart.
@@ -29,16 +32,16 @@ def merge_write_once(stored: DataFrame, incoming: DataFrame, as_of: Column) -> D
     # Several landed rows of one URL: the first inserts, the first dated one fills the blank.
     dated = F.struct("posted_date", "posted_date_precision")
     first = incoming.groupBy("apply_url").agg(
-        F.min_by(F.struct(*[c for c in MERGE_COLUMNS if c != "apply_url"]), F.col("ord")).alias("n"),
+        F.min_by(F.struct(*[c for c in columns if c != "apply_url"]), F.col("ord")).alias("n"),
         F.min_by(dated, F.when(F.col("posted_date").isNotNull(), F.col("ord"))).alias("d"),
         F.max("posted_date").alias("latest"),
     )
-    s = stored.select(*MERGE_COLUMNS).alias("s")
+    s = stored.select(*columns).alias("s")
     j = s.join(first, F.col("s.apply_url") == first["apply_url"], "full_outer")
     old = F.col("s.apply_url").isNotNull()
     new = F.col("n").isNotNull()
     fills = old & F.col("s.posted_date").isNull() & F.col("d.posted_date").isNotNull()
-    plain = [c for c in ("id", "title", "company", "source_platform")]
+    plain = [c for c in columns if c not in _MERGED]
     return j.select(
         *[F.when(old, F.col(f"s.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in plain],
         F.coalesce(F.col("s.apply_url"), first["apply_url"]).alias("apply_url"),

@@ -1,60 +1,92 @@
-"""Continuous ingest: landed payloads to the stored table, one snapshot per micro-batch."""
+"""Continuous ingest: landed payloads to the stored table, one version of it per micro-batch."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from postlake.functions.contacts import with_contacts
 from postlake.operators import dedup, merge
-from postlake.sources.postings import normalize_batch
-
-
-def posting_rows(normal: DataFrame, as_of: Column) -> DataFrame:
-    return normal.withColumns({"id": F.sha2("apply_url", 256), "fetched_at": as_of, "scraped_at": as_of})
-
-
-def ingest_batch(stored: DataFrame, landed: DataFrame, sources: list[str], as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """(new snapshot, run log) of one landed batch: normalise, resolve duplicates, merge write-once."""
-    rows = posting_rows(normalize_batch(landed, sources, as_of), as_of)
-    outcome = dedup.resolve(stored, rows)
-    used = rows.join(outcome.where(F.col("outcome").isin("kept", "merge")).select("ord"), "ord", "left_semi")
-    snapshot = merge.merge_write_once(stored, used, as_of)
-    targets = landed.sparkSession.createDataFrame([(s,) for s in sources], "portal STRING")
+from postlake.session import cut_lineage
+from postlake.sources.postings import POSTING_COLUMNS, normalize_batch
+from postlake.streaming.store import JobStore
+
+CONTACTS = ["recruiter_name", "recruiter_email", "company_contact_email"]
+STORED = [c for c in POSTING_COLUMNS if c != "ord"] + [*CONTACTS, "id", "fetched_at", "scraped_at", "ord"]
+_TYPES = {
+    "salary_min": T.DoubleType(), "salary_max": T.DoubleType(), "remote_flag": T.BooleanType(), "posted_date": T.TimestampNTZType(),
+    "fetched_at": T.TimestampNTZType(), "scraped_at": T.TimestampNTZType(), "ord": T.LongType(),
+}
+SCHEMA = T.StructType([T.StructField(c, _TYPES.get(c, T.StringType())) for c in STORED])
+BATCH_STEP = 1_000_000_000_000  # order numbers: earlier versions first
+
+
+def posting_rows(normal: DataFrame, as_of: Column, version: int) -> DataFrame:
+    """Normalised postings as whole stored rows: with contacts, numbered after all earlier versions."""
+    rows = with_contacts(cut_lineage(normal))  # one plan per source ends here
+    added = {"id": F.sha2("apply_url", 256), "fetched_at": as_of, "scraped_at": as_of, "ord": F.col("ord") + F.lit(version * BATCH_STEP)}
+    return rows.withColumns(added).select(*STORED)
+
+
+def load(store: JobStore, landed: DataFrame, sources: list[str], as_of: Column) -> None:
+    """Fill an empty store (version 0): the first row of every link, duplicates by name included."""
+    rows = cut_lineage(merge.first_per(posting_rows(normalize_batch(landed, sources, as_of), as_of, 0), "apply_url"))
+    store.rows.add(0, rows)
+    store.add_signatures(0, rows, store.signatures.read(-1))
+
+
+def _dates_to_fill(store: JobStore, version: int, resolved: DataFrame, rows: DataFrame) -> DataFrame:
+    """(apply_url, new_date, new_precision): stored postings without a date that a fuzzy duplicate dates."""
+    dated = rows.where("posted_date IS NOT NULL").select("ord", F.col("posted_date").alias("new_date"), F.col("posted_date_precision").alias("new_precision"))
+    cand = resolved.where("refresh_url IS NOT NULL").select("ord", F.col("refresh_url").alias("apply_url")).join(dated, "ord")
+    first = cut_lineage(cand.groupBy("apply_url").agg(F.min_by(F.struct("new_date", "new_precision"), F.col("ord")).alias("n")).select("apply_url", "n.*"))
+    old = store.rows.read(version, store.rows.touched(first.select("apply_url"))).select("apply_url", "posted_date")
+    return cut_lineage(first.join(old.where("posted_date IS NULL").select("apply_url"), "apply_url", "left_semi"))
+
+
+def ingest_batch(store: JobStore, version: int, normal: DataFrame, sources: list[str], as_of: Column) -> None:
+    """One batch of normalised postings as version ``version`` of the store, from version - 1.
+
+    Fuzzy duplicates of stored postings first fill their missing dates (and bump ``fetched_at`` where they do), then
+    new links are inserted with contacts and known ones are merged write-once. Reads and rewrites touch the buckets of
+    the batch's links, of the postings it dates, and of the index items and companies it names.
+    """
+    rows = cut_lineage(posting_rows(normal, as_of, version))
+    near = cut_lineage(store.matching(version - 1, rows))
+    at_links = store.rows.touched(rows.select("apply_url"))
+    known = store.rows.read(version - 1, at_links).join(rows.select("apply_url").distinct(), "apply_url", "left_semi")
+    named = ["ord", "apply_url", "company", "title"]
+    resolved = cut_lineage(dedup.resolve(near.select(*named).unionByName(known.select(*named)).distinct(), rows))
+    fills = _dates_to_fill(store, version - 1, resolved, rows)
+    used = cut_lineage(rows.join(resolved.where(F.col("outcome").isin("kept", "merge")).select("ord"), "ord", "left_semi"))
+    buckets = sorted({*store.rows.touched(used.select("apply_url")), *store.rows.touched(fills.select("apply_url"))})
+    old = store.rows.read(version - 1, buckets).join(fills, "apply_url", "left")
+    filled = F.col("new_date").isNotNull()
+    old = old.withColumns({
+        "posted_date": F.coalesce("posted_date", "new_date"),
+        "posted_date_precision": F.when(filled, F.coalesce("new_precision", "posted_date_precision")).otherwise(F.col("posted_date_precision")),
+        "fetched_at": F.when(filled, as_of).otherwise(F.col("fetched_at")),
+    })
+    store.rows.rewrite(version, merge.merge_write_once(old, used, as_of, STORED), buckets)
+    store.add_signatures(version, rows.join(resolved.where("outcome = 'kept'").select("ord"), "ord", "left_semi"), near)
+    targets = normal.sparkSession.createDataFrame([(s,) for s in sources], "portal STRING")
     log = merge.append_runlog(rows.select(F.col("source_platform").alias("portal")), targets, "5-Tier", as_of)
-    return snapshot, log
-
-
-class SnapshotStore:
-    """Snapshots by batch number. Batch n reads n-1 and writes n, so a replay is harmless and no
-    folder is overwritten while it is read."""
-
-    def __init__(self, spark: SparkSession, base: str, empty: DataFrame) -> None:
-        self.spark, self.base, self.empty = spark, base, empty
-
-    def read(self, batch_id: int) -> DataFrame:
-        if batch_id < 0:
-            return self.empty
-        # any fixed number will do: it only decides which of several matching stored links is named
-        rows = self.spark.read.parquet(f"{self.base}/snapshot/{batch_id}")
-        return rows.withColumn("ord", F.xxhash64("apply_url").bitwiseAND(F.lit(2**62 - 1)))
-
-    def write(self, batch_id: int, snapshot: DataFrame, log: DataFrame) -> None:
-        snapshot.write.mode("overwrite").parquet(f"{self.base}/snapshot/{batch_id}")
-        log.write.mode("overwrite").parquet(f"{self.base}/runlog/{batch_id}")
+    log.write.mode("overwrite").parquet(f"{store.base}/runlog/{version}")
 
 
-def run_ingest(landing: DataFrame, store: SnapshotStore, sources: list[str], as_of: Column) -> DataFrame:
-    """Drain the landing stream into the store; returns the last snapshot."""
-    last = {"id": -1}
+def run_ingest(normal: DataFrame, store: JobStore, sources: list[str], as_of: Column) -> DataFrame:
+    """Drain a stream of normalised postings (``normalize_batch`` of the landing stream, which Spark runs per micro-batch)
+    into the store; micro-batch n writes version n + 1. Returns the last version's rows."""
+    last = {"version": 0}
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        snapshot, log = ingest_batch(store.read(batch_id - 1), batch, sources, as_of)
-        store.write(batch_id, snapshot, log)
-        last["id"] = batch_id
+        ingest_batch(store, batch_id + 1, batch, sources, as_of)
+        last["version"] = batch_id + 1
 
     query = (
-        landing.writeStream.option("checkpointLocation", f"{store.base}/checkpoint").trigger(availableNow=True)
+        normal.writeStream.option("checkpointLocation", f"{store.base}/checkpoint").trigger(availableNow=True)
         .foreachBatch(step).start()
     )
     query.awaitTermination()
-    return store.read(last["id"])
+    return store.rows.read(last["version"])

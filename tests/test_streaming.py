@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from postlake.functions.dates import ts
 from postlake.operators.cooldown import with_accepted
-from postlake.operators.merge import MERGE_COLUMNS
 from postlake.operators.sessions import carried_intent
 from postlake.plans import bindings as B
+from postlake.sources.postings import normalize_batch
 from postlake.streaming import stateful
-from postlake.streaming.ingest import SnapshotStore, run_ingest
+from postlake.streaming.ingest import SCHEMA, ingest_batch, load, run_ingest
 from postlake.streaming.run import drain
+from postlake.streaming.store import JobStore
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -48,40 +49,63 @@ def test_session_parity(spark, tmp_path):
     assert sorted(map(str, got.select(*cols).collect())) == sorted(map(str, carried_intent(df).select(*cols).collect()))
 
 
-def test_ingest_is_write_once_and_replay_safe(spark, tmp_path):
+def _item(url, title, date, company="Acme", text=""):
+    return f'{{"title":"{title}","url":"{url}","company":"{company}","postedAt":{date},"description":"{text}"}}'
+
+
+def test_ingest_is_write_once_refreshes_and_replay_safe(spark, tmp_path):
     land = "ord BIGINT, source STRING, raw STRING"
-    item = lambda url, title, date: f'{{"title":"{title}","url":"{url}","company":"Acme","postedAt":{date}}}'
-    first = [(1, "dice", item("https://x.com/job/1", "Nurse", "null")), (2, "dice", item("https://x.com/job/2", "Pilot", '"2024-01-02"'))]
+    first = [
+        (1, "dice", _item("https://x.com/job/1", "Nurse", "null")), (2, "dice", _item("https://x.com/job/2", "Pilot", '"2024-01-02"')),
+        (3, "dice", _item("https://x.com/job/4", "Welder", "null", "Globex LLC", "Ask jane.doe@globex.com")),
+    ]
     second = [
-        (3, "dice", item("https://x.com/job/1", "Nurse", '"2024-01-05"')),  # fills the blank
-        (4, "dice", item("https://x.com/job/2", "Pilot", '"2024-01-09"')),  # bump: ignored
-        (5, "dice", item("https://x.com/job/3", "Baker", "null")),
-        (6, "dice", item("https://x.com/job/9", "Pilot", "null")),  # fuzzy duplicate of a stored posting
+        (3, "dice", _item("https://x.com/job/1", "Nurse", '"2024-01-05"')),  # fills the blank
+        (4, "dice", _item("https://x.com/job/2", "Pilot", '"2024-01-09"')),  # bump: ignored
+        (5, "dice", _item("https://x.com/job/3", "Baker", "null")),
+        (6, "dice", _item("https://x.com/job/9", "Pilot", "null")),  # fuzzy duplicate of a stored posting without a date to give
+        (7, "dice", _item("https://x.com/job/8", "Welder", "null", "Globex")),  # likewise
+        (8, "dice", _item("https://x.com/job/7", "Welder", '"2024-01-07"', "Globex")),  # dates the stored posting
+        (9, "dice", _item("https://x.com/job/6", "Welder", '"2024-01-01"', "Globex")),  # too late: it has a date
     ]
-    df = spark.createDataFrame(first + second, land)
+    third = [(1, "dice", _item("https://x.com/job/5", "Baker", '"2024-01-11"')), (2, "dice", _item("https://x.com/job/7", "Diver", "null", "Globex"))]
     path = str(tmp_path / "land")
-    import time
-
-    for part in (first, second):
+    store = JobStore(spark, str(tmp_path / "store"), SCHEMA, buckets=8)
+    begin, as_of = ts("2024-01-30 00:00:00"), ts("2024-01-31 00:00:00")
+    load(store, spark.createDataFrame(first, land), ["dice"], begin)
+    for part in (second, third):
         spark.createDataFrame(part, land).coalesce(1).write.mode("append").parquet(path)
-        time.sleep(1.1)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    kinds = {"posted_date": "timestamp_ntz", "fetched_at": "timestamp_ntz", "scraped_at": "timestamp_ntz"}
-    empty = spark.createDataFrame([], ", ".join(f"{c} {kinds.get(c, 'string')}" for c in MERGE_COLUMNS) + ", ord BIGINT")
-    store = SnapshotStore(spark, str(tmp_path / "store"), empty)
-    as_of = ts("2024-01-31 00:00:00")
-    out = {r.apply_url[-1]: r for r in run_ingest(stream, store, ["dice"], as_of).collect()}
-    assert sorted(out) == ["1", "2", "3"]
+        rows = run_ingest(normalize_batch(spark.readStream.schema(land).parquet(path), ["dice"], as_of), store, ["dice"], as_of)
+    out = {r.apply_url[-1]: r for r in rows.collect()}
+    assert sorted(out) == ["1", "2", "3", "4", "7"]
     assert out["1"].posted_date == dt.datetime(2024, 1, 5) and out["1"].posted_date_precision == "day"
-    assert out["2"].posted_date == dt.datetime(2024, 1, 2)
+    assert out["2"].posted_date == dt.datetime(2024, 1, 2) and out["2"].fetched_at == dt.datetime(2024, 1, 31)
+    assert out["3"].posted_date == dt.datetime(2024, 1, 11)  # a link of the first batch, dated by a duplicate of the second
+    assert out["4"].posted_date == dt.datetime(2024, 1, 7) and out["4"].fetched_at == dt.datetime(2024, 1, 31)
+    assert out["4"].recruiter_email == "jane.doe@globex.com" and out["4"].recruiter_name == "Jane Doe"
+    assert {r.scraped_at for r in (out["1"], out["4"])} == {dt.datetime(2024, 1, 30)}
     log = {r.portal: r.num_jobs_found for r in spark.read.parquet(f"{store.base}/runlog/1").collect()}
-    assert log == {"dice": 4.0}
-    # a replayed batch writes the same snapshot again
-    from postlake.streaming.ingest import ingest_batch
+    assert log == {"dice": 7.0}
+    # a replayed batch writes the same version again; untouched buckets keep their older files
+    before = {r.apply_url: r.posted_date for r in store.rows.read(1).collect()}
+    ingest_batch(store, 1, normalize_batch(spark.createDataFrame(second, land), ["dice"], as_of), ["dice"], as_of)
+    assert {r.apply_url: r.posted_date for r in store.rows.read(1).collect()} == before
+    assert 0 in store.rows._versions(2).values() or len(store.rows._versions(2)) < 8
+
 
-    snap, lg = ingest_batch(store.read(0), spark.createDataFrame(second, land), ["dice"], as_of)
-    store.write(1, snap, lg)
-    assert {r.apply_url[-1]: r.posted_date for r in store.read(1).collect()} == {k: r.posted_date for k, r in out.items()}
+def test_batch_reads_and_rewrites_only_touched_buckets(spark, tmp_path):
+    """One landed row in a store of 2,000: one bucket of links is written anew."""
+    land = "ord BIGINT, source STRING, raw STRING"
+    store = JobStore(spark, str(tmp_path / "store"), SCHEMA, buckets=16)
+    many = [(i, "dice", _item(f"https://x.com/job/{i}", f"Role w{i % 97} v{i % 89}", "null", f"Firm q{i % 53}")) for i in range(2000)]
+    load(store, spark.createDataFrame(many, land), ["dice"], ts("2024-01-30 00:00:00"))
+    as_of = ts("2024-01-31 00:00:00")
+    one = spark.createDataFrame([(1, "dice", _item("https://x.com/job/new", "Astronaut", "null", "Zyx Orbital"))], land)
+    ingest_batch(store, 1, normalize_batch(one, ["dice"], as_of), ["dice"], as_of)
+    at = store.rows._versions(1)
+    assert sorted(at.values()).count(1) == 1 and len(at) == 16
+    assert store.rows.read(1).count() == 2001
+    assert sorted(store.signatures._versions(1).values()).count(1) == 1
 
 
 def test_quota_counts_late_calls_on_their_own_day(spark, tmp_path):
