@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 PIECE = 1 << 18  # characters that are read at once; pieces end at white space
 OUT_CHARS = 1 << 21  # characters of text behind one batch of results
-KEPT_WORDS = 200_000  # words whose ids a task keeps
+KEPT_WORDS = 400_000  # runs whose ids a task keeps: those of the latest so many, and of the so many before them
 KEPT_PAIRS = 1_000_000  # token pairs whose compatibility a task keeps
 BASE = 512  # symbols: a byte, or 256 + a byte that ends the word
 
@@ -93,15 +93,17 @@ class Vocabulary:
         numbers = {s: r for r, s in enumerate(strings) if made[r]}
         self.size = [len(s) for s in strings]
         self.shorter = [-1] * len(strings)
-        longest = ahocorasick.Automaton()
+        longest, greedy = ahocorasick.Automaton(), ahocorasick.Automaton()
         for s, r in numbers.items():
             longest.add_word(s[::-1], r)
+            greedy.add_word(s, r)
             for n in range(len(s) - 1, 0, -1):
                 if s[:n] in numbers:
                     self.shorter[r] = numbers[s[:n]]
                     break
         longest.make_automaton()
-        self.longest = longest
+        greedy.make_automaton()
+        self.longest, self.greedy = longest, greedy
         added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.added = added
         self.added_re = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
@@ -109,7 +111,8 @@ class Vocabulary:
         coded = [(names[i] + " ").encode() if i in names else b"" for i in range(max(names) + 1)]
         self.blob = np.frombuffer(b"".join(coded), dtype=np.uint8)
         self.offsets = np.cumsum([0] + [len(c) for c in coded])
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _uncrossed(self, a: int, b: int, limit: int) -> bool:
         """Whether no merge of a rank below ``limit`` crosses the boundary of a and b while they are made.
@@ -141,10 +144,18 @@ class Vocabulary:
         return answer
 
     def encode_word(self, word: bytes) -> list[int]:
-        """The ids of one word, given as bytes."""
+        """The ids of one word, given as bytes: its longest tokens from the left if they are compatible, else by backtracking."""
+        compatible, ids = self.compatible, self.id_of
+        taken = [r for _, r in self.greedy.iter_long(word[:-1].decode("latin-1") + chr(256 + word[-1]))]
+        for k in range(1, len(taken)):
+            if not compatible(taken[k - 1], taken[k]):
+                break
+        else:
+            return [ids[r] for r in taken]
+        return [ids[r] for r in self._backtrack(word)]
+
+    def _backtrack(self, word: bytes) -> array:
         n = len(word)
-        if n == 1:
-            return [self.id_of[256 + word[0]]]
         symbols = chr(256 + word[-1]) + word[-2::-1].decode("latin-1")
         size, shorter, compatible = self.size, self.shorter, self.compatible
         reach = array("i", bytes(4 * n))
@@ -168,41 +179,39 @@ class Vocabulary:
                 dead[at] = 1
                 token = taken.pop()
                 at -= size[token]
-        ids = self.id_of
-        return [ids[r] for r in taken]
+        return taken
 
-    def _run(self, run: str, by_library: bool) -> tuple[int, ...]:
-        """The ids of a run without white space, already normalised."""
-        found = self.kept.get(run)
+    def _run(self, run: str, by_library: bool) -> bytes:
+        """The ids of a run without white space, already normalised, as 32-bit numbers."""
+        found = self.kept.get(run) or self.older.get(run)
         if found is None:
             if by_library:
                 letters = self.letters
                 words = [bytes(letters[c] for c in w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(run)]
             else:
                 words = [w.encode() for w in self.words_of.findall(run)]
-            found = tuple(i for w in words for i in self.encode_word(w))
-            if len(run) <= 64:
-                if len(self.kept) >= KEPT_WORDS:
-                    self.kept.clear()
-                self.kept[run] = found
+            found = array("i", [i for w in words for i in self.encode_word(w)]).tobytes()
+        if len(run) <= 64:
+            if len(self.kept) >= KEPT_WORDS:
+                self.older, self.kept = self.kept, {}
+            self.kept[run] = found
         return found
 
-    def _part(self, part: str, out: array) -> None:
+    def _part(self, part: str, out: bytearray) -> None:
         if _OTHER.search(part):
             normal = self.library.normalizer.normalize_str(part)
             for run in normal.split(" "):
                 if run:
-                    out.extend(self._run(run, True))
+                    out += self._run(run, True)
             return
         if not part.isascii():
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-        kept = self.kept
         for run in part.lower().split():
-            found = kept.get(run)
-            out.extend(found if found is not None else self._run(run, False))
+            out += self.kept.get(run) or self._run(run, False)
 
-    def encode(self, text: str | None) -> array:
-        out, at = array("i"), 0
+    def encode(self, text: str | None) -> np.ndarray:
+        """The ids of a text, as 32-bit numbers."""
+        out, at = bytearray(), 0
         while text and at < len(text):
             cut = _SPACE.search(text, at + PIECE)
             end = cut.start() if cut else len(text)
@@ -212,10 +221,10 @@ class Vocabulary:
                 continue
             for k, part in enumerate(self.added_re.split(piece)):
                 if k % 2:
-                    out.append(self.added[part])
+                    out += array("i", [self.added[part]]).tobytes()
                 elif part:
                     self._part(part, out)
-        return out
+        return np.frombuffer(out, dtype=np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """Token texts joined by a space; ids that the vocabulary lacks are passed over."""
@@ -262,7 +271,7 @@ def _map(df: DataFrame, path: str, key: str, text: str, with_ids: bool, with_dec
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in _batches(texts):
-                coded = [np.frombuffer(tables.encode(t), dtype=np.int32) if t else np.empty(0, np.int32) for t in texts[lo:hi]]
+                coded = [tables.encode(t) for t in texts[lo:hi]]
                 columns, names = [batch.column(0).slice(lo, hi - lo)], ["key"]
                 if with_ids:
                     offsets = np.cumsum([0] + [len(c) for c in coded]).astype(np.int32)
