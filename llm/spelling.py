@@ -34,11 +34,13 @@ from postlake.session import cut_lineage
 
 SHORTEST_WORD, LEAST_COUNT, DELETE_EVERY, RATIO = 7, 2, 31, 10
 LONGEST, FREQUENT, DICTIONARY = 5, 64, 250_000
-LIST = 400
+LIST = 1024
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+PART = 20_000
 _COUNTED = 200_000  # grams that a task counts before it hands them on
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64)  # one number a letter
 _BASE = np.uint64(0x2545F4914F6CDD1D)
+_TOP = np.uint64(44)
 _BACK = np.uint64(pow(0x2545F4914F6CDD1D, -1, 2**64))
 
 
@@ -61,6 +63,11 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
         yield from batch.column(0).to_pylist()
 
 
+def _spread(df: DataFrame, rows: int, name: str = "word") -> DataFrame:
+    """Rows dealt to a Python step in parts of about PART, however few files hold them."""
+    return df.repartition(rows // PART + 1, name)
+
+
 def frequent_grams(vocabulary: DataFrame) -> dict[str, int]:
     """The grams of 2 to LONGEST letters that stand more than T times in the words, at most DICTIONARY of them."""
 
@@ -81,9 +88,9 @@ def frequent_grams(vocabulary: DataFrame) -> dict[str, int]:
         if counts:
             yield rows()
 
-    places = vocabulary.agg(F.sum(F.length("word") + 1)).first()[0] or 0
+    places, rows = vocabulary.agg(F.coalesce(F.sum(F.length("word") + 1), F.lit(0)), F.count(F.lit(1))).first()
     least = max(FREQUENT, places * (LONGEST - 1) // DICTIONARY)
-    counts = vocabulary.select("word").mapInArrow(count, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = _spread(vocabulary.select("word"), rows).mapInArrow(count, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     table = counts.where(F.col("n") > least).toArrow()
     return dict(zip(table["gram"].to_pylist(), table["n"].to_pylist(), strict=True))
 
@@ -156,7 +163,7 @@ def _postings(vocabulary: DataFrame, frequent: dict[str, int]) -> DataFrame:
                     [pa.array(keys, type=pa.string()), part.column(0).take(at), part.column(1).take(at), pa.array(totals, type=pa.int64()).take(at)],
                     names=["name", "word", "n", "total"])
 
-    made = vocabulary.mapInArrow(run, "name string, word string, n bigint, total bigint")
+    made = _spread(vocabulary, vocabulary.count()).mapInArrow(run, "name string, word string, n bigint, total bigint")
     return made.select(F.xxhash64("name").alias("key"), "word", "n", "total")
 
 
@@ -171,6 +178,8 @@ def _one_letter() -> np.ndarray:
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Near words within each list of an index that is sorted by key."""
     edits = _one_letter()
+    likely = np.zeros(1 << 20, bool)  # by 20 bits of a difference, whether it may be one of the edits'
+    likely[edits.view(np.uint64) >> _TOP] = True
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
         key, total = table["key"].to_numpy(), table["total"].to_numpy()
@@ -184,10 +193,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = at[left[at] > step]
             if not len(at):
                 break
-            other = at + step
-            diff = total[at] - total[other]
+            diff = total[at] - total[at + step]
+            some = likely[diff.view(np.uint64) >> _TOP]
+            near, diff = at[some], diff[some]
             place = np.minimum(np.searchsorted(edits, diff), len(edits) - 1)
-            for i in at[(np.abs(size[at] - size[other]) <= 1) & (edits[place] == diff)].tolist():
+            for i in near[(np.abs(size[near] - size[near + step]) <= 1) & (edits[place] == diff)].tolist():
                 x, y = words[i], words[i + step]
                 if one_edit(x, y):
                     swap = x > y
@@ -236,7 +246,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _of_long_lists(crowded: DataFrame) -> DataFrame:
     """Near pairs among the words (word, n) of lists that are too long to be compared within."""
     words = cut_lineage(crowded.withColumn("id", F.xxhash64("word")))
-    cut = cut_lineage(words.select("word", "id").mapInArrow(_without_one, "key bigint, kind byte, id bigint"))
+    cut = cut_lineage(_spread(words.select("word", "id"), words.count()).mapInArrow(_without_one, "key bigint, kind byte, id bigint"))
     same, less, full = (cut.where(F.col("kind") == k).select("key", F.col("id").alias(n)) for k, n in ((0, "a"), (1, "a"), (2, "b")))
     met = same.join(same.withColumnRenamed("a", "b"), "key").where("a < b").union(less.join(full, "key").where("a <> b"))
     ids = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
