@@ -41,6 +41,7 @@ MIN_DOCS = 5
 THRESHOLD = 0.3
 MAX_BYTES = 4_096
 TRAIN_PARTITIONS = 12
+SLICE = 1 << 18  # characters at a time: some 100 bytes of working memory each
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 _ENDS = np.zeros(256, dtype=bool)
@@ -75,6 +76,7 @@ def sentence_grams(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             whole = sentence[:m] == sentence[n - 1 :]
             bucket = (mix(code[whole] + np.uint64(n << 56)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
             found.append(sentence[:m][whole] << BUCKET_BITS | bucket)
+            del code, whole, bucket
     pairs = np.concatenate(found) if found else np.empty(0, dtype=np.int64)
     return pairs & ((1 << BUCKET_BITS) - 1), pairs >> BUCKET_BITS, first
 
@@ -104,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for part in slices(f):
+            for part in slices(f, limit=SLICE):
                 buckets, sentence, first = sentence_grams(part["text"])
                 text = np.searchsorted(first, sentence, side="right") - 1
                 pairs = np.unique(text << BUCKET_BITS | buckets)
@@ -127,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
         slot = np.full(1 << BUCKET_BITS, -1, dtype=np.int32)
         slot[buckets] = np.arange(len(buckets))
         for f in frames:
-            for part in slices(f):
+            for part in slices(f, limit=SLICE):
                 b, sentence, first = sentence_grams(part["text"])
                 pairs = np.unique((sentence << BUCKET_BITS | slot[b])[slot[b] >= 0])
                 yield pd.DataFrame({"sentence": [(pairs >> BUCKET_BITS).astype(np.int32).tobytes()], "feature": [(pairs & ((1 << BUCKET_BITS) - 1)).astype(np.int32).tobytes()], "first": [first.astype(np.int32).tobytes()], "toxic": [part["toxic"].to_numpy(np.float64).tobytes()]})
@@ -173,7 +175,7 @@ def _scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], thresh
         weight[buckets] = weights
         used = weight != 0
         for f in frames:
-            for part in slices(f):
+            for part in slices(f, limit=SLICE):
                 b, sentence, first = sentence_grams(part["text"])
                 hit = used[b]
                 pairs = np.unique(sentence[hit] << BUCKET_BITS | b[hit])
