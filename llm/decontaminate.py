@@ -198,6 +198,6 @@ def _overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows without a leak, each by its own doc_id and text."""
-    leaks = cut_lineage(_overlaps(docs, items).select(F.col("row").alias("leak"), F.col("doc_id").alias("leak_id")).distinct())
+    leaks = small(cut_lineage(_overlaps(docs, items).select("row", "doc_id").distinct()))
     row = F.xxhash64(docs["doc_id"].cast("bigint"), docs["text"].cast("string"))
-    return docs.join(small(leaks), (row == F.col("leak")) & docs["doc_id"].cast("bigint").eqNullSafe(F.col("leak_id")), "left_anti")
+    return docs.join(leaks, (row == leaks["row"]) & docs["doc_id"].cast("bigint").eqNullSafe(leaks["doc_id"]), "left_anti")

@@ -140,10 +140,13 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """The documents of the mix with all their columns, and how many copies and words of each it takes."""
+    """The documents of the mix with all their columns, and how many copies and words of each it takes.
+
+    Columns of the documents that are themselves called ``copies`` or ``taken`` are replaced by the computed ones.
+    """
     rows = docs.select(
         F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size")
     )
     taken = mixed(rows).where("copies > 0").select("row", "copies", "taken")
-    names = {c.lower() for c in docs.columns}
-    return taken.select("row.*", *(F.col(c) for c in ("copies", "taken") if c not in names))
+    own = [c for c in docs.columns if c.lower() not in ("copies", "taken")]
+    return taken.select(*(F.col("row").getField(c).alias(c) for c in own), "copies", "taken")

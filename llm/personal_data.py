@@ -238,8 +238,6 @@ def redact(docs: DataFrame) -> DataFrame:
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     cleaned = F.aggregate("chosen", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
     chosen = chosen.withColumn("clean", F.when(F.size("chosen") == 0, F.col("row")["text"]).otherwise(cleaned))
-    out = chosen.select("row.*", F.col("clean").alias("__clean"))
-    out = out.withColumn("text", F.col("__clean"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    length = F.when(F.col("clean").isNotNull(), F.length("clean"))
+    new = {"text": F.col("clean"), "n_chars": F.coalesce(length, F.col("row").getField("n_chars")) if "n_chars" in docs.columns else None}
+    return chosen.select(*(new.get(f.name, F.col("row").getField(f.name)).cast(f.dataType).alias(f.name) for f in docs.schema))

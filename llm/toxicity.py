@@ -199,6 +199,6 @@ def _scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], thresh
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that the model does not reject, each by its own doc_id and text."""
     model = train(docs, labels)
-    rejected = cut_lineage(_scored(docs, model).where("predicted = 1").select(F.col("doc_id").alias("rejected"), F.col("th").alias("rejected_th")).distinct())
-    same = docs["doc_id"].cast("bigint").eqNullSafe(F.col("rejected")) & (F.xxhash64(docs["text"].cast("string")) == F.col("rejected_th"))
-    return docs.join(small(rejected), same, "left_anti")
+    rejected = small(cut_lineage(_scored(docs, model).where("predicted = 1").select("doc_id", "th").distinct()))
+    same = docs["doc_id"].cast("bigint").eqNullSafe(rejected["doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == rejected["th"])
+    return docs.join(rejected, same, "left_anti")
