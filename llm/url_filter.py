@@ -1,16 +1,18 @@
-"""URL verdicts by fixed domain rules and mined association rules, in DataFrame operations only.
+"""URL verdicts by fixed domain rules and association rules of Spark's FP-growth, in DataFrame operations only.
 
 How it works
     Fixed rules (host suffix and path prefix) come first; the longest that fits wins. For the rest, a URL is a
     basket of tokens: top domain, domain, all further host labels, all path parts, file ending, all query keys and values, scheme;
-    numbers count as 0. Tokens on fewer than the least number of blocked pages are dropped by one aggregation. Over the
-    baskets of labelled pages, combinations are counted level by level, up to MAX_ITEMS tokens: one is made longer only if all
-    its parts were kept. It is not kept if too few blocked pages have it, if it stands on the same pages as a part of it, or
-    if a part is always right; none of its extensions could then be a rule, since a part of each is at least as sure.
-    Rules "combination -> block" stay with MIN_CONFIDENCE and MIN_SUPPORT, unless a part of the combination
-    is a rule that is at least as sure. Rules match by an inverted index from token to rules: a rule
-    fires where as many tokens arrive as it has. Distinct baskets are matched, not pages, and the same index
-    prunes the rules.
+    numbers count as 0. One aggregation drops tokens on fewer than the least number of blocked pages and puts tokens that stand on
+    the same labelled pages (by count and two 64-bit sums of page hashes) under one name; a token that is always right, or on all
+    pages, is judged alone, since no longer combination with it can be a better rule. FP-growth mines the remaining baskets of all
+    labelled pages with the class as one more item, without a limit on length: a set with the class gives the hits, the same set
+    without it the total. Rules "combination -> block" stay with MIN_CONFIDENCE and MIN_SUPPORT, unless a part of the combination is
+    at least as sure; the surest part is carried from shorter to longer sets, so each set only looks at those one token shorter.
+    Rules match by an inverted index from their rarest token; the rest of a rule is verified on the baskets found, and
+    distinct baskets are matched, not pages. A token stands for all tokens under its name.
+
+    The driver sees no rows; FP-growth itself gathers the frequent tokens there, at most a basket's length / MIN_SUPPORT of them.
 
 Defined results: a null url, or one without "://", has an empty host and path, fits no rule and is allowed unless mined
 rules say otherwise; without labels nothing is mined; repeated rows give one row each; further columns are ignored.
@@ -20,10 +22,10 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.steps import small
 from postlake.session import cut_lineage
 
 #: Verdict, host and path of the rules.
@@ -31,8 +33,8 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 MIN_SUPPORT = 0.001
 MIN_CONFIDENCE = 0.6
 MIN_PAGES = 20
-#: The most tokens of a mined rule; baskets have no limit.
-MAX_ITEMS = 4
+#: The item that marks a blocked page; a token is never empty.
+BLOCKED = ""
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -76,50 +78,72 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 
 
 def matches(baskets: DataFrame, rules: DataFrame) -> DataFrame:
-    """(tokens, rule, confidence) for every rule all of whose items are in the basket. baskets: distinct ``tokens``; rules: rule, items, confidence."""
-    index = small(cut_lineage(rules.select("rule", "confidence", F.size("items").alias("needed"), F.explode("items").alias("token"))))
+    """(tokens, rule, confidence) for every rule all of whose items are in the basket. baskets: distinct ``tokens``; rules as of ``mine``."""
+    index = cut_lineage(rules.select("rule", "confidence", "alike", F.explode(F.element_at("alike", 1)).alias("token")))
     found = baskets.select("tokens", F.explode("tokens").alias("token")).join(index, "token")
-    return found.groupBy("tokens", "rule").agg(F.count("*").alias("n"), F.first("needed").alias("needed"), F.first("confidence").alias("confidence")).where("n = needed").select("tokens", "rule", "confidence")
-
-
-def _without(i: int):
-    return lambda _, k: k != i
+    return found.where(F.forall("alike", lambda names: F.arrays_overlap(names, F.col("tokens")))).select("tokens", "rule", "confidence").distinct()
+
+
+def known_tokens(rows: DataFrame, need: int) -> DataFrame:
+    """(item, alike, total, hits): tokens on at least ``need`` blocked pages; those on the same pages are one item. rows: page, blocked, tokens."""
+    one = rows.select("blocked", F.xxhash64("page").alias("_a"), F.xxhash64("page", F.lit("second")).alias("_b"), F.explode("tokens").alias("token"))
+    counts = one.groupBy("token").agg(F.count("*").alias("total"), F.count_if("blocked").alias("hits"), F.bit_xor("_a").alias("_a"), F.bit_xor("_b").alias("_b"))
+    same = counts.where(F.col("hits") >= need).groupBy("total", "hits", "_a", "_b").agg(F.sort_array(F.collect_set("token")).alias("alike"))
+    return same.select(F.element_at("alike", 1).alias("item"), "alike", "total", "hits")
+
+
+def frequent_sets(rows: DataFrame, items: DataFrame, pages: int, need: int) -> DataFrame:
+    """(items, hits, total) of all combinations on at least ``need`` blocked pages, by FP-growth with the class as an item."""
+    names = items.select("item", F.explode("alike").alias("token"))
+    held = rows.select("page", "blocked", F.explode_outer("tokens").alias("token")).join(names, "token", "left")
+    baskets = held.groupBy("page").agg(F.max("blocked").alias("blocked"), F.collect_set("item").alias("items"))
+    marked = F.when(F.col("blocked"), F.array_append("items", F.lit(BLOCKED))).otherwise(F.col("items"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # half a page below the limit, so that rounding never asks for one more
+    growth = FPGrowth(itemsCol="items", minSupport=(need - 0.5) / pages, numPartitions=tasks)
+    sets = growth.fit(cut_lineage(baskets.select(marked.alias("items")))).freqItemsets
+    sets = cut_lineage(sets.select(F.sort_array("items").alias("items"), "freq"))
+    of_class = F.array_contains("items", BLOCKED)
+    hits = sets.where(of_class & (F.size("items") > 1)).select(F.array_remove("items", BLOCKED).alias("items"), F.col("freq").alias("hits"))
+    return hits.join(sets.where(~of_class).withColumnRenamed("freq", "total"), "items")
+
+
+def better_than_parts(sets: DataFrame) -> DataFrame:
+    """Sets (items, hits, total, confidence) that are surer than each of their parts. All parts of a set are sets too."""
+    longest = sets.agg(F.max(F.size("items"))).first()[0] or 0
+    out = level = sets.where(F.size("items") == 1).withColumn("best", F.lit(0.0))
+    for length in range(2, longest + 1):
+        shorter = level.select(F.col("items").alias("part"), F.greatest("confidence", "best").alias("sure"))
+        drop_one = lambda i: F.filter("items", lambda _, k: k != i)
+        parts_ = sets.where(F.size("items") == length).withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.lit(length - 1)), drop_one)))
+        level = parts_.join(shorter, "part").groupBy("items").agg(*(F.first(c).alias(c) for c in ("hits", "total", "confidence")), F.max("sure").alias("best"))
+        level = cut_lineage(level)
+        out = out.unionByName(level)
+    return out.where("confidence > best").drop("best")
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rules (rule, items, confidence, support) from rows of (tokens, blocked)."""
+    """Rules (rule, items, alike, confidence, support) from rows of (tokens, blocked).
+
+    ``items`` is sorted; an item stands for all tokens on the same labelled pages and is named by the least of them. ``alike`` lists
+    these tokens item by item, the rarest item first. Without enough blocked pages there are no rules.
+    """
     pages, blocked = labelled.agg(F.count("*"), F.count_if("blocked")).first()
-    empty = labelled.sparkSession.range(0).select(F.col("id").alias("rule"), F.array().cast("array<string>").alias("items"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support"))
     need = max(math.ceil(min_support * pages - 1e-9), MIN_PAGES)  # a rule rests on MIN_PAGES pages at least
     if blocked < need:
-        return empty
-    rows = cut_lineage(labelled.select(F.monotonically_increasing_id().alias("page"), "blocked", "tokens"))
-    known = rows.where("blocked").select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= need)
-    known = small(cut_lineage(known.select("token")))
-    counted = lambda held: held.groupBy("items").agg(F.count("*").alias("total"), F.count_if("blocked").alias("hits")).where(F.col("hits") >= need)
-    held = cut_lineage(rows.select("page", "blocked", F.explode("tokens").alias("token")).join(known, "token"))
-    baskets = cut_lineage(held.groupBy("page").agg(F.sort_array(F.collect_list("token")).alias("tokens")))
-    held = held.select("page", "blocked", F.array("token").alias("items"))
-    found = cut_lineage(counted(held))
-    rules = found
-    for length in range(2, MAX_ITEMS + 1):
-        longer = cut_lineage(found.where("hits < total").where(F.col("total") < pages))
-        open_ = held.join(small(longer.select("items")), "items").join(baskets, "page")
-        held = open_.select("page", "blocked", "items", F.explode(F.filter("tokens", lambda x: x > F.element_at("items", -1))).alias("token"))
-        held = cut_lineage(held.select("page", "blocked", F.array_append("items", F.col("token")).alias("items")))
-        made = counted(held)
-        part = made.select("items", "total", F.explode(F.array(*(F.filter("items", _without(i)) for i in range(length)))).alias("part"))
-        parts_ = small(longer.select(F.col("items").alias("part"), F.col("total").alias("wider")))
-        kept = part.join(parts_, "part").groupBy("items").agg(F.count("*").alias("n"), F.min("wider").alias("wider"), F.first("total").alias("total")).where((F.col("n") == length) & (F.col("total") < F.col("wider")))
-        found = cut_lineage(made.join(small(cut_lineage(kept.select("items"))), "items"))
-        if found.limit(1).count() == 0:
-            break
-        rules = rules.unionByName(found)
-    rules = rules.select(F.xxhash64("items").alias("rule"), "items", (F.col("hits") / F.col("total")).alias("confidence"), (F.col("hits") / F.lit(pages)).alias("support"))
-    rules = cut_lineage(rules.where(F.col("confidence") >= min_confidence))
-    general = matches(rules.select(F.col("items").alias("tokens")), rules).select(F.col("tokens").alias("items"), F.col("rule").alias("part"), F.col("confidence").alias("sure"))
-    beaten = rules.join(general, "items").where("part <> rule AND sure >= confidence").select("rule").distinct()
-    return cut_lineage(rules.join(beaten, "rule", "left_anti"))
+        return labelled.sparkSession.createDataFrame([], "rule BIGINT, items ARRAY<STRING>, alike ARRAY<ARRAY<STRING>>, confidence DOUBLE, support DOUBLE")
+    rows = labelled.select(F.monotonically_increasing_id().alias("page"), F.coalesce("blocked", F.lit(False)).alias("blocked"), F.array_remove("tokens", BLOCKED).alias("tokens"))
+    rows = cut_lineage(rows)
+    known = cut_lineage(known_tokens(rows, need))
+    alone = (F.col("hits") == F.col("total")) | (F.col("total") == pages)
+    sure = F.col("hits") / F.col("total")
+    sets = cut_lineage(frequent_sets(rows, known.where(~alone), pages, need).withColumn("confidence", sure))
+    single = known.where(alone).select(F.array("item").alias("items"), "hits", "total", sure.alias("confidence"))
+    rules = single.unionByName(better_than_parts(sets)).where(F.col("confidence") >= min_confidence)
+    rules = cut_lineage(rules.select(F.xxhash64("items").alias("rule"), "items", "confidence", (F.col("hits") / F.lit(pages)).alias("support")))
+    named = rules.select("rule", F.explode("items").alias("item")).join(known, "item")
+    named = named.groupBy("rule").agg(F.sort_array(F.collect_list(F.struct("total", "item", "alike"))).alias("alike"))
+    return cut_lineage(rules.join(named.select("rule", F.col("alike.alike").alias("alike")), "rule").select("rule", "items", "alike", "confidence", "support"))
 
 
 def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -133,9 +157,9 @@ def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
     rows = rows.select("page_id", "url", host.alias("host"), path.alias("path"))
     rows = cut_lineage(rows.select("page_id", "host", "path", tokens(url, F.col("host"), F.col("path")).alias("tokens")))
     marked = labels.where("page_id IS NOT NULL").groupBy("page_id").agg(F.max("blocked").alias("blocked"))
-    rules = mine(rows.join(marked, "page_id").select("tokens", "blocked"))
+    rules = mine(rows.join(marked, "page_id").select("tokens", "blocked"))  # without a label a page teaches nothing
     fired = matches(rows.select("tokens").distinct(), rules).groupBy("tokens").agg(F.max("confidence").alias("confidence"))
-    fired = small(cut_lineage(fired))
+    fired = cut_lineage(fired)
     name, fixed = fixed_rule(F.col("host"), F.col("path"))
     out = rows.join(fired, "tokens", "left")
     mined = F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))

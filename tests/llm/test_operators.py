@@ -510,7 +510,7 @@ def test_url_rules_rest_on_every_part_of_a_url(spark):
     from itertools import combinations
 
     want = {}
-    for n in range(1, 5):
+    for n in range(1, 8):
         for c in combinations([*"abcdef"] + ["all"], n):
             on = [y for t, y in rows if set(c) <= set(t)]
             if sum(on) >= 20 and sum(on) / len(on) >= 0.5:
@@ -520,6 +520,29 @@ def test_url_rules_rest_on_every_part_of_a_url(spark):
     assert rules == pytest.approx(want)
 
 
+def test_url_rules_of_any_length_and_tokens_of_the_same_pages(spark):
+    """Six tokens that only together block; tokens on the same pages are one item that any of them fires."""
+    from itertools import combinations
+
+    from llm.url_filter import matches, mine
+
+    full = [*"abcdef"]
+    rows = [(full + ["g", "twin"], True)] * 40
+    rows += [(list(c) + ["g", "twin"], False) for c in combinations(full, 5) for _ in range(30)] + [(["other"], False)] * 50
+    rules = mine(spark.createDataFrame(rows, "tokens ARRAY<STRING>, blocked BOOLEAN"), min_confidence=0.9).collect()
+    assert [(r["items"], r["confidence"]) for r in rules] == [(full, 1.0)]
+    rows = [(["x", "y", "z"] if i % 3 else ["w"], i % 3 > 0) for i in range(120)] + [(["z"], False)] * 40 + [([], True), (None, None)]
+    mined = mine(spark.createDataFrame(rows, "tokens ARRAY<STRING>, blocked BOOLEAN"))
+    found = {tuple(r["items"]): (r["alike"], r["confidence"]) for r in mined.collect()}
+    assert found == {("x",): ([["x", "y"]], 1.0), ("z",): ([["z"]], pytest.approx(80 / 120))}
+    baskets = spark.createDataFrame([(["x"],), (["q", "y"],), (["z"],), (["w"],), ([],)], "tokens ARRAY<STRING>")
+    fired = {(tuple(r["tokens"]), r["confidence"]) for r in matches(baskets, mined).collect()}
+    assert fired == {(("x",), 1.0), (("q", "y"), 1.0), (("z",), 80 / 120)}
+    everywhere = [(["all", "k"] if i % 2 else ["all"], i % 2 == 1 or i % 4 == 0) for i in range(100)]
+    rules = mine(spark.createDataFrame(everywhere, "tokens ARRAY<STRING>, blocked BOOLEAN"), min_confidence=0.5).collect()
+    assert {tuple(r["items"]): r["confidence"] for r in rules} == {("all",): 0.75, ("k",): 1.0}
+
+
 def test_rows_are_judged_each_by_its_own_text(spark):
     """Null and repeated doc_ids: only the rows that were judged go."""
     from llm.decontaminate import clean
