@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import html
 import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from postlake import fixed_values as V
+from postlake.functions.entities import unescape
 
 _BLANK = " \t\n\r\f\u000b "
 
@@ -52,23 +50,26 @@ def pick(items: list, index: Column) -> Column:
     return F.get(arr, F.pmod(index, F.lit(len(items))).cast("int"))
 
 
-_TAG = re.compile("<[^>]*>")
+# Blanks as Python's str.split sees them.
+_SPACES = "".join(chr(n) for n in [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 
 
-@F.pandas_udf(StringType())
-def _plain_text(s: pd.Series) -> pd.Series:
-    # The full entity table is the standard library's; once the text is in Python the tags and
-    # blanks go in the same pass. Arrow batches, one call per batch.
-    return s.map(lambda x: " ".join(_TAG.sub("", html.unescape(x)).split()), na_action="ignore")
+def even_blanks(c: Column) -> Column:
+    """Every run of blanks of any kind as one space, none at the ends. A pattern runs only where two spaces meet."""
 
+    def single(t: Column) -> Column:
+        return F.trim(F.when(t.contains("  "), F.regexp_replace(t, " {2,}", " ")).otherwise(t))
 
-# Declared non-deterministic so that a filter on the result does not run it a second time.
-_plain_text_once = _plain_text.asNondeterministic()
+    return let(F.translate(c, _SPACES, " " * len(_SPACES)), single)
 
 
 def strip_html(c: Column) -> Column:
     """Entities first, then tags, then blanks; NULL becomes the empty string."""
-    return _plain_text_once(F.coalesce(c, F.lit("")))
+
+    def plain(t: Column) -> Column:
+        return even_blanks(F.when(t.contains("<"), F.regexp_replace(t, "<[^>]*>", "")).otherwise(t))
+
+    return let(F.coalesce(c, F.lit("")), lambda raw: let(unescape(raw), plain))
 
 
 def clean_for_match(c: Column) -> Column:
