@@ -102,6 +102,10 @@ l3 AS (SELECT *, CASE WHEN cum_exact >= 12 THEN 'satisfied' WHEN cum_exact >= 5
 l4 AS (SELECT *, decision IN ('satisfied', 'sufficient') AS stop FROM l3),
 ladder AS (SELECT *, NOT coalesce(bool_or(stop) OVER (PARTITION BY source_platform ORDER BY tier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS runs FROM l4)"""
 O["escalation_ladder"] = T(LADDER + " SELECT * FROM ladder")
+O["escalation_ladder_no_query"] = J(""", l0 AS (SELECT source_platform, ((ord // 10) % 4)::INTEGER AS tier, count(*) AS n, count(*) AS exact FROM jobs GROUP BY 1, 2),
+l1 AS (SELECT *, (sum(n) OVER w)::BIGINT AS cum_n, (sum(exact) OVER w)::BIGINT AS cum_exact, 1.0::DOUBLE AS match_yield FROM l0 WINDOW w AS (PARTITION BY source_platform ORDER BY tier)),
+l2 AS (SELECT *, CASE WHEN cum_n >= 5 THEN 'no_query_sufficient_rows' ELSE 'no_query_too_few_rows' END AS decision, cum_n >= 5 AS stop FROM l1)
+SELECT *, coalesce(lag(cum_n) OVER (PARTITION BY source_platform ORDER BY tier), 0) < 5 AS runs FROM l2""")
 O["ladder_stats"] = T(LADDER + """, p AS (SELECT source_platform, bool_or(tier = 0 AND stop) AS free, bool_or(tier = 1 AND runs) AS t1, bool_or(tier = 2 AND runs) AS t2, bool_or(tier = 3 AND runs) AS t3 FROM ladder GROUP BY 1)
 SELECT count(*) AS portals, count(*) FILTER (free) AS answered_free, count(*) FILTER (NOT free) AS escalated, round(100.0 * count(*) FILTER (free) / count(*), 1)::DOUBLE AS free_coverage_pct,
   count(*) FILTER (t1) AS tier1_calls, count(*) FILTER (t2) AS tier2_calls, count(*) FILTER (t3) AS tier3_calls FROM p""")

@@ -162,10 +162,11 @@ def enrichment_report(enriched: DataFrame) -> DataFrame:
 # --- source choice ---------------------------------------------------------------------------------
 
 
-def escalation_ladder(rows: DataFrame) -> DataFrame:
+def escalation_ladder(rows: DataFrame, query: str | None) -> DataFrame:
     """Per portal and tier: what has accumulated and whether the gate was already satisfied before.
 
-    ``rows`` carries source_platform, tier (0 free, then the paid tiers) and is_exact.
+    ``rows`` carries source_platform, tier (0 free, then the paid tiers) and is_exact. Without a query
+    (none, empty or blank) every row is a valid answer, so the number of rows alone decides.
     """
     per = rows.groupBy("source_platform", "tier").agg(n_rows().alias("n"), F.count_if("is_exact").alias("exact"))
     upto = W.partitionBy("source_platform").orderBy("tier").rowsBetween(W.unboundedPreceding, 0)  # at most four rows
@@ -178,7 +179,10 @@ def escalation_ladder(rows: DataFrame) -> DataFrame:
         .when(F.col("cum_exact") < V.MIN_EXACT, F.lit("too_few_exact"))
         .otherwise(F.lit("low_yield"))
     )
-    acc = acc.withColumns({"decision": reason, "stop": reason.isin("satisfied", "sufficient")})
+    if not (query or "").strip():
+        enough = F.col("cum_n") >= V.MIN_EXACT
+        reason = F.when(enough, F.lit("no_query_sufficient_rows")).otherwise(F.lit("no_query_too_few_rows"))
+    acc = acc.withColumns({"decision": reason, "stop": reason.isin("satisfied", "sufficient", "no_query_sufficient_rows")})
     ended = F.coalesce(F.bool_or("stop").over(before), F.lit(False))
     return acc.withColumn("runs", ~ended)
 

@@ -242,9 +242,9 @@ def _(spark, d):
     return T.cache_fallback(live.drop("layer"), cache, dims.portals(spark)).select("id", "source_platform", "stale")
 
 
-def _ladder(spark, d):
-    rows = S.scored(B.jobs(spark, d, text=True), "nurse practitioner").withColumn("tier", (F.floor(c("ord") / 10) % 4).cast("int"))
-    return T.escalation_ladder(rows)
+def _ladder(spark, d, query="nurse practitioner"):
+    rows = S.scored(B.jobs(spark, d, text=True), query).withColumn("tier", (F.floor(c("ord") / 10) % 4).cast("int"))
+    return T.escalation_ladder(rows, query)
 
 
 @query("escalation_ladder")
@@ -252,6 +252,11 @@ def _(spark, d):
     return _ladder(spark, d)
 
 
+@query("escalation_ladder_no_query")
+def _(spark, d):
+    return _ladder(spark, d, "")
+
+
 @query("ladder_stats")
 def _(spark, d):
     return T.ladder_stats(_ladder(spark, d))
