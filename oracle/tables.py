@@ -85,6 +85,12 @@ O["portal_diagnostics"] = f"""{_both}, k AS (SELECT source_platform, count(*) AS
   {cause('d.portal')} AS cause FROM dim d LEFT JOIN last_run l ON l.portal = d.portal LEFT JOIN k ON k.source_platform = d.portal)
 SELECT portal, portal_name, ts AS last_attempt, layer_used AS last_layer, success AS last_success, coalesce(num_jobs_found, 0) AS last_jobs_found, error_message AS last_error, cause AS diagnosed_cause,
   cause IN ('MISSING_PYTHON_DEPENDENCY', 'NEVER_RUN', 'HEALTHY', 'ZERO_RESULTS_OR_CONNECTOR_ISSUE') AS fixable_in_code, coalesce(stored, 0) AS jobs_in_db FROM x"""
+_cause1 = f"CASE WHEN d.portal = 'usajobs' AND {cause('d.portal')} <> 'NEEDS_PARTNER_API_KEY' THEN 'MISSING_CREDENTIALS' ELSE {cause('d.portal')} END"
+O["portal_diagnostics_credentials"] = f"""{_both}, k AS (SELECT source_platform, count(*) AS stored FROM jobs GROUP BY 1), x AS (SELECT d.portal, portal_name, ts, layer_used, success, num_jobs_found, error_message, stored,
+  {_cause1} AS cause FROM dim d LEFT JOIN last_run l ON l.portal = d.portal LEFT JOIN k ON k.source_platform = d.portal)
+SELECT portal, portal_name, ts AS last_attempt, layer_used AS last_layer, success AS last_success, coalesce(num_jobs_found, 0) AS last_jobs_found, error_message AS last_error, cause AS diagnosed_cause,
+  cause IN ('MISSING_PYTHON_DEPENDENCY', 'NEVER_RUN', 'HEALTHY', 'ZERO_RESULTS_OR_CONNECTOR_ISSUE') AS fixable_in_code, coalesce(stored, 0) AS jobs_in_db,
+  CASE portal WHEN 'weworkremotely' THEN '' WHEN 'linkedin' THEN 'serp_search' WHEN 'usajobs' THEN 'usajobs_key,usajobs_email' ELSE 'serp_search,page_crawl' END AS missing_credentials FROM x"""
 LAYERS = """, live AS (SELECT *, CASE WHEN source_platform = 'dice' THEN 2 ELSE ord % 3 + 1 END::INTEGER AS layer FROM jobs WHERE ord % 4 <> 0 AND source_platform NOT IN ('hired', 'careerbuilder')),
 cache AS (SELECT * FROM jobs WHERE ord % 4 = 0 AND source_platform NOT IN (SELECT source_platform FROM live)),
 best AS (SELECT source_platform, min(layer) AS layer FROM live GROUP BY 1)"""

@@ -85,9 +85,18 @@ METHOD_ROUTES = [
 ]
 FALLBACK_METHOD = (3, "Self-Hosted Fallback Scraper")
 
+# A portal needs one of these; with an empty list it needs none.
 REQUIRED_CREDENTIALS = {
-    "linkedin": 2, "indeed": 3, "glassdoor": 3, "dice": 3, "ziprecruiter": 3,
-    "usajobs": 2, "careerbuilder": 3, "simplyhired": 3, "weworkremotely": 0, "hired": 3,
+    "linkedin": ["serp_search", "actor_runs"],
+    "indeed": ["serp_search", "actor_runs", "page_crawl"],
+    "glassdoor": ["serp_search", "actor_runs", "page_crawl"],
+    "dice": ["serp_search", "actor_runs", "page_crawl"],
+    "ziprecruiter": ["serp_search", "actor_runs", "page_crawl"],
+    "usajobs": ["usajobs_key", "usajobs_email"],
+    "careerbuilder": ["serp_search", "actor_runs", "page_crawl"],
+    "simplyhired": ["serp_search", "actor_runs", "page_crawl"],
+    "weworkremotely": [],
+    "hired": ["serp_search", "actor_runs", "page_crawl"],
 }
 
 # Company index: (company, applicant tracking system)

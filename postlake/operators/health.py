@@ -95,10 +95,20 @@ def portal_status(portals: DataFrame, runs: DataFrame, jobs: DataFrame, as_of: C
     )
 
 
-def portal_diagnostics(portals: DataFrame, runs: DataFrame, jobs: DataFrame) -> DataFrame:
+def missing_credentials(portal: Column, held: list[str]) -> Column:
+    """Credentials of a portal that are not held, comma-joined in their order; empty without any."""
+    out = F.lit("")
+    for p, names in V.REQUIRED_CREDENTIALS.items():
+        out = F.when(portal == p, F.lit(",".join(n for n in names if n not in held))).otherwise(out)
+    return out
+
+
+def portal_diagnostics(portals: DataFrame, runs: DataFrame, jobs: DataFrame, held: list[str] | None = None) -> DataFrame:
+    """Why each portal is silent. ``held`` names the credentials at hand (None: all); one of a portal's list is enough."""
     counts = jobs.groupBy(F.col("source_platform").alias("portal")).agg(F.count(F.lit(1)).alias("stored"))
     j = portals.select("portal", "portal_name").join(latest_runs(runs), "portal", "left").join(counts, "portal", "left")
-    cause = run_cause(F.col("portal"), F.col("error_message"), F.col("success"), F.lit(True))
+    short = [p for p, names in V.REQUIRED_CREDENTIALS.items() if held is not None and names and not set(names) & set(held)]
+    cause = run_cause(F.col("portal"), F.col("error_message"), F.col("success"), ~F.col("portal").isin(short) if short else F.lit(True))
     fixable = cause.isin("MISSING_PYTHON_DEPENDENCY", "NEVER_RUN", "HEALTHY", "ZERO_RESULTS_OR_CONNECTOR_ISSUE")
     return j.select(
         "portal", "portal_name", F.col("ts").alias("last_attempt"), F.col("layer_used").alias("last_layer"),

@@ -48,11 +48,12 @@ def display_columns(as_of: Column) -> dict[str, Column]:
     }
 
 
-def provenance(df: DataFrame) -> DataFrame:
+def provenance(df: DataFrame, teaser_only: tuple[str, ...] = ()) -> DataFrame:
+    """Constant tags of a posting's source; ``teaser_only`` names the portals that are set up to show teasers only."""
     p = F.col("source_platform")
     return df.withColumns(
         {
-            "data_completeness": F.when(p == "hired", F.lit("limited")),
+            "data_completeness": F.when(p.isin(*teaser_only), F.lit("teaser_only")).when(p == "hired", F.lit("limited")),
             "low_yield": p == "hired",
             "source_note": F.when(p.isin(V.AGGREGATED_ONLY_PORTALS), F.lit(V.AGGREGATED_NOTE)),
             "country_code": F.when(p == "usajobs", F.lit("US")),

@@ -214,6 +214,14 @@ def _(spark, d):
     return H.portal_diagnostics(dims.portals(spark), B.runs(spark, d), B.jobs(spark, d))
 
 
+@query("portal_diagnostics_credentials")
+def _(spark, d):
+    """The same with only one credential at hand."""
+    held = ["actor_runs"]
+    rows = H.portal_diagnostics(dims.portals(spark), B.runs(spark, d), B.jobs(spark, d), held)
+    return rows.withColumn("missing_credentials", H.missing_credentials(c("portal"), held))
+
+
 def _layers(spark, d):
     down = ["hired", "careerbuilder"]
     live = B.jobs(spark, d).where((c("ord") % 4 != 0) & ~c("source_platform").isin(down)).withColumn(
