@@ -249,81 +249,177 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -
     return joined.mapInPandas(exact, "a BIGINT, b BIGINT")
 
 
-def tree_join(frame: pd.DataFrame, percent: int = PERCENT, every: bool = True) -> pd.DataFrame:
-    """Pairs of different components between the two blocks of a group, found through an R-tree.
+def _stack(points: list[bytes]) -> np.ndarray:
+    """The points of a block folded to TREE_GROUPS groups; one without counts allows everything."""
+    out = np.full((len(points), TREE_GROUPS), 1 << 20, dtype=np.int32)
+    sizes = np.array([len(p) for p in points])
+    for g in set(sizes.tolist()) - {0}:
+        at = np.flatnonzero(sizes == g)
+        out[at] = fold(np.frombuffer(b"".join(points[i] for i in at), np.uint8).reshape(-1, g), TREE_GROUPS)
+    return out
+
 
-    With ``every`` false, of the pairs of a node with one other component only that with the largest bound.
-    A pair that also meets in a group with a smaller key is left to that group.
+class Block:
+    """A node of the tree above the leaves: at most BLOCK members of one bucket, sorted by component and size.
 
-    The right block is packed into leaves of LEAF points, sorted by size and by the first group; a leaf's
-    box keeps the largest count of each group, its sizes' range and its component if it is but one. Boxes and a first
-    look at a leaf use the points folded to TREE_GROUPS groups, the last bound uses all groups.
+    Its leaves are runs of LEAF members. The box of a leaf, and of the block, has the largest count of each of
+    TREE_GROUPS groups, the range of the sizes and the component if it is but one.
     """
-    left, right = frame[frame["own"] == frame["i"]], frame[frame["own"] == frame["j"]]
-    if frame["i"].iloc[0] == frame["j"].iloc[0]:
-        right = left
-    right = right.sort_values(["n", "label"])
 
-    def stack(f):
-        return np.array([fold(np.frombuffer(p, np.uint8).reshape(1, -1), TREE_GROUPS)[0] if p else np.full(TREE_GROUPS, 1 << 20) for p in f["point"]], dtype=np.int32).reshape(-1, TREE_GROUPS)
+    def __init__(self, sid, n, label, points):
+        self.sid, self.n, self.label, self.points = np.asarray(sid), np.asarray(n, dtype=np.int64), np.asarray(label), list(points)
+        self.folded = _stack(self.points)
+        self.starts = np.arange(0, len(self.sid), LEAF)
+        self.boxes = np.maximum.reduceat(self.folded, self.starts)
+        self.least, self.most = np.minimum.reduceat(self.n, self.starts), np.maximum.reduceat(self.n, self.starts)
+        lo, hi = np.minimum.reduceat(self.label, self.starts), np.maximum.reduceat(self.label, self.starts)
+        self.one, self.only = lo == hi, lo
+
+
+def allowed(q, qn, box, least, most, percent: int = PERCENT):
+    """Whether sets with points q and sizes qn may be linked with any set in a box: by its sizes and the summed minima."""
+    fine = (100 * most >= percent * qn) & (100 * qn >= percent * least)
+    return fine & fits(np.minimum(q, box).sum(axis=-1), qn, np.maximum(least, -(-percent * qn // 100)), percent)
 
-    lp, rp = stack(left), stack(right)
-    ln, rn, ll, rl = (x.to_numpy() for x in (left["n"], right["n"], left["label"], right["label"]))
-    ls, rs, lb, rb = left["sid"].to_numpy(), right["sid"].to_numpy(), list(left["point"]), list(right["point"])
+
+def tree_join(left: Block, right: Block, percent: int = PERCENT, every: bool = True) -> tuple[np.ndarray, bool]:
+    """Pairs of different components between two blocks, as rows (smaller sid, larger sid), found through the boxes.
+
+    With ``every`` false, of the pairs of a node with one other component only that with the largest bound; the second
+    value says whether that left pairs out.
+    """
     out = []
-    for lo in range(0, len(rs), LEAF):
-        hi = min(lo + LEAF, len(rs))
-        box, least, most = rp[lo:hi].max(axis=0), rn[lo:hi].min(), rn[lo:hi].max()
-        one = rl[lo] if (rl[lo:hi] == rl[lo]).all() else None
-        allowed = (100 * most >= percent * ln) & (100 * ln >= percent * least)
-        if one is not None:
-            allowed &= ll != one
-        at = np.flatnonzero(allowed)
-        at = at[fits(np.minimum(lp[at], box).sum(axis=1), ln[at], np.maximum(least, -(-percent * ln[at] // 100)), percent)]
+    for k, lo in enumerate(right.starts):
+        hi = min(lo + LEAF, len(right.sid))
+        may = allowed(left.folded, left.n, right.boxes[k], right.least[k], right.most[k], percent)
+        if right.one[k]:
+            may &= left.label != right.only[k]
+        at = np.flatnonzero(may)
         if not len(at):
             continue
-        bound = np.minimum(lp[at][:, None, :], rp[None, lo:hi, :]).sum(axis=2)
-        good = fits(np.minimum(bound, np.minimum(ln[at][:, None], rn[None, lo:hi])), ln[at][:, None], rn[None, lo:hi], percent) & (ll[at][:, None] != rl[None, lo:hi])
-        x, y = np.nonzero(good)
+        bound = np.minimum(left.folded[at][:, None, :], right.folded[None, lo:hi, :]).sum(axis=2)
+        ln, rn = left.n[at][:, None], right.n[None, lo:hi]
+        x, y = np.nonzero(fits(np.minimum(bound, np.minimum(ln, rn)), ln, rn, percent) & (left.label[at][:, None] != right.label[None, lo:hi]))
         x, y = at[x], y + lo
-        bound = overlap_bound([lb[i] for i in x], [rb[i] for i in y])
-        fine = fits(bound, ln[x], rn[y], percent)
-        out.append(np.stack([x[fine], y[fine], bound[fine] * 1000 // (ln[x] + rn[y])[fine]], axis=1))
+        bound = overlap_bound([left.points[i] for i in x], [right.points[i] for i in y])
+        fine = fits(bound, left.n[x], right.n[y], percent)
+        x, y = x[fine], y[fine]
+        out.append(np.stack([x, y, bound[fine] * 1000 // (left.n[x] + right.n[y])], axis=1))
     if not out:
-        return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        return np.empty((0, 2), dtype=np.int64), False
     x, y, share = np.concatenate(out).T
+    found = len(x)
     if not every:
-        order = np.lexsort((rs[y], -share, rl[y], x))
-        x, y = x[order], y[order]
-        first = np.r_[True, (x[1:] != x[:-1]) | (rl[y][1:] != rl[y][:-1])][: len(x)]
+        rl = right.label[y]
+        order = np.lexsort((right.sid[y], -share, rl, x))
+        x, y, rl = x[order], y[order], rl[order]
+        first = np.r_[True, (x[1:] != x[:-1]) | (rl[1:] != rl[:-1])][: len(x)]
         x, y = x[first], y[first]
-    key = int(frame["key"].iloc[0])
-    le, re = ([{k for k in places if k < key} for places in f["places"]] for f in (left, right))
-    here = np.array([le[i].isdisjoint(re[j]) for i, j in zip(x, y, strict=True)], dtype=bool)
-    x, y = x[here], y[here]
-    pairs = np.unique(np.stack([np.minimum(ls[x], rs[y]), np.maximum(ls[x], rs[y])], axis=1), axis=0)
-    return pd.DataFrame(pairs, columns=["a", "b"])
+    a, b = left.sid[x], right.sid[y]
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0), len(x) < found
+
+
+_TREE = "kind INT, a BIGINT, b BIGINT, key BIGINT, least INT, most INT, label BIGINT, box BINARY"
+
+
+def _pack(frames: Iterator[pd.DataFrame], percent: int, every: bool) -> Iterator[pd.DataFrame]:
+    """Packs rows (key, label, n, sid, point), sorted so, into blocks and joins each block with itself.
+
+    Rows of kind 0 are pairs (a, b) to verify; of kind 1, a bucket with pairs left out; and for buckets that may have
+    more than one block, of kind 2 a block a with its box, of kind 3 its members b. A block is named by its first
+    member. Memory: a batch and one block.
+    """
+    held: list[tuple] = []  # the block being filled
+    key, blocks, first_key = None, 0, None
+
+    def close(more: bool) -> Iterator[tuple]:
+        block = Block(*(list(c) for c in zip(*((s, n, lb, p) for _, lb, n, s, p in held), strict=True)))
+        pairs, cut = tree_join(block, block, percent, every)
+        for a, b in pairs.tolist():
+            yield 0, a, b, key, 0, 0, None, None
+        if cut:
+            yield 1, 0, 0, key, 0, 0, None, None
+        # other tasks may hold parts of the task's first and last bucket
+        if more or blocks or key == first_key:
+            one = int(block.label[0]) if (block.label == block.label[0]).all() else None
+            name = int(block.sid[0])
+            yield 2, name, 0, key, int(block.n.min()), int(block.n.max()), one, block.folded.max(axis=0).astype(np.int32).tobytes()
+            for s in block.sid.tolist():
+                yield 3, name, s, key, 0, 0, None, None
+
+    def table(rows):
+        out = pd.DataFrame(rows, columns=["kind", "a", "b", "key", "least", "most", "label", "box"])
+        out["label"] = pd.array([r[6] for r in rows], dtype="Int64")
+        return out
+
+    for frame in frames:
+        out = []
+        for row in zip(*(frame[c].tolist() for c in ("key", "label", "n", "sid", "point")), strict=True):
+            if row[0] != key:
+                if held:
+                    out.extend(close(False))
+                first_key = row[0] if key is None else first_key
+                held, key, blocks = [], row[0], 0
+            elif len(held) == BLOCK:
+                out.extend(close(True))
+                held, blocks = [], blocks + 1
+            held.append(row)
+        if out:
+            yield table(out)
+    if held:
+        yield table(list(close(True)))
+
+
+def _between(tree: DataFrame, labelled: DataFrame, nodes: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Rows of kind 0 and 1 as ``_pack`` has them, of the pairs of blocks of one bucket whose boxes allow a link."""
+    boxes = tree.where("kind = 2")
+    side = lambda s: boxes.select("key", F.col("a").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("least", "most", "label", "box")))
+    both = side("i").join(side("j"), "key").where("i < j").where("NOT (i_label <=> j_label) OR i_label IS NULL")
+    both = both.where(f"100 * i_most >= {percent} * j_least AND 100 * j_most >= {percent} * i_least")
+
+    def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            x, y = (np.frombuffer(b"".join(f[c]), np.int32).reshape(-1, TREE_GROUPS) for c in ("i_box", "j_box"))
+            # linked sets with sizes of these ranges share at least what the smallest sizes need
+            yield f.loc[fits(np.minimum(x, y).sum(axis=1), f["i_least"].to_numpy(), f["j_least"].to_numpy(), percent), ["key", "i", "j"]]
+
+    near = both.select("key", "i", "j", "i_least", "j_least", "i_box", "j_box").mapInPandas(route, "key BIGINT, i BIGINT, j BIGINT")
+    near = near.withColumn("own", F.explode(F.array("i", "j")))
+    members = tree.where("kind = 3").select("key", F.col("a").alias("own"), F.col("b").alias("sid"))
+    rows = near.join(members, ["key", "own"]).join(labelled.select("key", "sid", "label"), ["key", "sid"]).join(nodes.select("sid", "n", "point"), "sid")
+
+    def join(f: pd.DataFrame) -> pd.DataFrame:
+        left, right = (Block(*(g[c].tolist() for c in ("sid", "n", "label", "point"))) for g in (f[f["own"] == f[c]].sort_values(["label", "n", "sid"]) for c in ("i", "j")))
+        pairs, cut = tree_join(left, right, percent, every)
+        if not every:  # the likeliest partners of either side
+            back, cut_back = tree_join(right, left, percent, every)
+            pairs, cut = np.concatenate([pairs, back]), cut or cut_back
+        out = pd.DataFrame(pairs, columns=["a", "b"]).assign(kind=0, key=f["key"].iloc[0])[["kind", "a", "b", "key"]]
+        return pd.concat([out, pd.DataFrame({"kind": [1], "a": [0], "b": [0], "key": [f["key"].iloc[0]]})]) if cut else out
+
+    return rows.groupBy("key", "i", "j").applyInPandas(join, "kind INT, a BIGINT, b BIGINT, key BIGINT")
 
 
-def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, every: bool) -> DataFrame | None:
-    """Candidate pairs between components that meet in a large bucket; None if there are none."""
+def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, every: bool) -> tuple[DataFrame, DataFrame] | None:
+    """Candidate pairs between components that meet in a large bucket, and the buckets with pairs left out; None if there are none."""
     labelled = cut_lineage(
         members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "before", F.coalesce("label", "sid").alias("label"))
     )
     # where all members have the same common key before this one, its bucket holds them all and finds their pairs
-    seen = labelled.groupBy("key").agg(*(f(c).alias(f"{n}_{c}") for c in ("label", "before") for n, f in (("lo", F.min), ("hi", F.max))), F.count("*").alias("m"))
+    seen = labelled.groupBy("key").agg(*(f(c).alias(f"{n}_{c}") for c in ("label", "before") for n, f in (("lo", F.min), ("hi", F.max))))
     seen = seen.where("lo_label <> hi_label").where("lo_before <> hi_before OR lo_before = 0")
-    open_ = cut_lineage(seen.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+    open_ = cut_lineage(seen.select("key"))
     if open_.limit(1).count() == 0:
         return None
-    rows = labelled.drop("before").join(open_, "key")
-    # a node's open buckets, no more than its routing keys: two nodes make a pair in the first bucket that both are in
-    places = rows.groupBy("sid").agg(F.collect_set("key").alias("places"))
-    rows = rows.join(nodes.select("sid", "n", "point"), "sid").join(places, "sid")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
-    return rows.groupBy("key", "i", "j").applyInPandas(lambda f: tree_join(f, percent, every), "a BIGINT, b BIGINT").distinct()
+    labelled = cut_lineage(labelled.drop("before").join(open_, "key"))
+    order = ["key", "label", "n", "sid"]
+    rows = labelled.join(nodes.select("sid", "n", "point"), "sid").select(*order, "point")
+    # dealt by ranges of the whole order: a large bucket spreads over as many tasks as it needs
+    tree = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(lambda f: _pack(f, percent, every), _TREE)
+    tree = cut_lineage(tree)
+    found = tree.where("kind < 2").select("kind", "a", "b", "key").union(_between(tree, labelled, nodes, percent, every))
+    found = cut_lineage(found.select("kind", "a", "b", F.when(F.col("kind") == 1, F.col("key")).alias("key")).distinct())
+    return found.where("kind = 0").select("a", "b"), found.where("kind = 1").select("key")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -340,10 +436,10 @@ def _components(docs: DataFrame, percent: int) -> DataFrame:
         rows.where("sid IS NOT NULL AND keys IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.min("th").alias("th"))
     )
     keys = rows.where("keys IS NOT NULL").select("sid", "n", "keys", "rare", F.posexplode("keys").alias("at", "key"))
-    # the common key that stands before a common key in a node's order, as a hash; 0 for others
-    before = F.when(F.col("at") > F.col("rare"), F.hash(F.get("keys", F.col("at") - 1))).otherwise(0)
+    # the common key that stands before a common key in a node's order; 0 for others
+    before = F.when(F.col("at") > F.col("rare"), F.get("keys", F.col("at") - 1)).otherwise(0)
     keys = keys.select("sid", "n", "key", before.alias("before"))
-    met = keys.repartition("key").sortWithinPartitions("key", "sid").mapInPandas(lambda f: _meet(f, percent), "kind INT, a BIGINT, b BIGINT, before INT")
+    met = keys.repartition("key").sortWithinPartitions("key", "sid").mapInPandas(lambda f: _meet(f, percent), "kind INT, a BIGINT, b BIGINT, before BIGINT")
     met = cut_lineage(met.dropDuplicates(["kind", "a", "b"]))
     pairs = met.where("kind = 0").select("a", "b")
     links = cut_lineage(_verify(cut_lineage(_bound(pairs, nodes, percent)), docs, nodes, percent))
@@ -353,7 +449,9 @@ def _components(docs: DataFrame, percent: int) -> DataFrame:
         more = _across(members, labels, nodes, percent, every)
         if more is None:
             break
-        found = cut_lineage(_verify(cut_lineage(more), docs, nodes, percent))
+        pairs, left_out = more
+        found = cut_lineage(_verify(pairs, docs, nodes, percent))
+        members = members.join(left_out, "key", "left_semi")
         if found.limit(1).count():
             links = links.union(found)
             labels = components(links)

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,51 @@ def test_large_buckets_go_through_the_tree(spark, monkeypatch):
     assert got == sorted(brute_components(ids, texts), key=repr)
 
 
+def test_packed_blocks_lose_no_pair(monkeypatch):
+    """Buckets of many blocks, packed from small batches: blocks joined with themselves and with each other give every pair the bounds allow."""
+    import llm.jaccard_join as j
+
+    monkeypatch.setattr(j, "BLOCK", 16)
+    monkeypatch.setattr(j, "LEAF", 4)
+    rng = np.random.default_rng(3)
+    families = [np.unique(rng.integers(0, 2**63, 80).astype(np.uint64)) for _ in range(4)]
+    sets = [np.unique(np.concatenate([f[rng.random(len(f)) < 0.93], rng.integers(0, 2**63, 4).astype(np.uint64)])) for f in families for _ in range(25)]
+    label = rng.integers(0, 9, len(sets))
+    rows_ = sorted((1, int(label[i]), len(s), i, j.point(s)) for i, s in enumerate(sets))
+    frame = pd.DataFrame(rows_, columns=["key", "label", "n", "sid", "point"])
+    out = pd.concat(j._pack(iter([frame[k : k + 7] for k in range(0, len(frame), 7)]), 75, True))
+    found = set(zip(out.loc[out["kind"] == 0, "a"], out.loc[out["kind"] == 0, "b"], strict=True))
+    members = out[out["kind"] == 3].groupby("a")["b"].apply(list).to_dict()
+    boxes = out[out["kind"] == 2].set_index("a")
+    assert len(members) == -(-len(sets) // 16) and sorted(x for m in members.values() for x in m) == list(range(len(sets)))
+    block = {k: j.Block(m, [len(sets[i]) for i in m], label[m], [j.point(sets[i]) for i in m]) for k, m in members.items()}
+    for a in members:
+        for b in members:
+            if a < b:
+                pairs, cut = j.tree_join(block[a], block[b])
+                assert not cut
+                sum_ = np.minimum(*(np.frombuffer(boxes["box"][k], np.int32) for k in (a, b))).sum()
+                assert not len(pairs) or j.fits(sum_, boxes["least"][a], boxes["least"][b])
+                found |= set(map(tuple, pairs.tolist()))
+    true = {
+        (a, b) for a in range(len(sets)) for b in range(a + 1, len(sets))
+        if label[a] != label[b] and j.fits(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]))
+    }
+    assert true and true <= found
+    assert len(found) < 2 * len(true) + 50
+
+
+def test_likeliest_pairs_say_when_others_are_left_out():
+    import llm.jaccard_join as j
+
+    s = np.unique(np.random.default_rng(4).integers(0, 2**63, 50).astype(np.uint64))
+    block = j.Block([1, 2, 3], [len(s)] * 3, [7, 8, 8], [j.point(s)] * 3)
+    pairs, cut = j.tree_join(block, block, every=False)
+    assert cut and (1, 2) in set(map(tuple, pairs.tolist()))
+    pairs, cut = j.tree_join(block, block)
+    assert not cut and set(map(tuple, pairs.tolist())) == {(1, 2), (1, 3)}
+
+
 def test_overlap_bound_is_an_upper_bound():
     from llm.jaccard_join import overlap_bound, point
 
