@@ -190,7 +190,7 @@ PROMPTS = f"""
 prompts AS (SELECT conv_id AS session_id, turn,
   TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 MINUTE *
     (conv_id * 60 + turn * 7 + CASE WHEN turn >= 4 AND conv_id % 3 = 0 THEN 60 ELSE 0 END)::INTEGER AS ts,
-  {pick(B.PROMPTS, 'conv_id + turn')} AS message FROM conversations WHERE role = 'user')"""
+  {pick(B.PROMPTS, 'conv_id + turn')} || '. ' || coalesce(text, '') AS message FROM conversations WHERE role = 'user')"""
 
 
 def with_jobs(body: str) -> str:

@@ -314,7 +314,9 @@ def intent(m="message") -> dict[str, str]:
     platform = "CASE" + "".join(f" WHEN contains({low}, {S.q(w)}) THEN {S.q(p)}" for p, w in V.PROMPT_PLATFORMS) + " END"
     k = f"regexp_extract({low}, '(\\d{{2,3}})\\s*k\\b', 1)"
     n = f"regexp_extract({low}, '(?:over|above|min|\\$)\\s*(\\d{{5,7}})\\b', 1)"
-    words = f"list_filter(regexp_extract_all({m}, '\\b[a-zA-Z]{{2,}}\\b'), lambda w: NOT list_contains({S.arr(V.PROMPT_STOP_WORDS)}, lower(w)))"
+    # whole words of any script are cut out first: its \b knows ASCII letters only
+    words = (f"list_filter(regexp_extract_all({m}, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z]{{2,}}') "
+             f"AND NOT list_contains({S.arr(V.PROMPT_STOP_WORDS)}, lower(w)))")
     return {
         "query": f"nullif(array_to_string(({words})[1:4], ' '), '')",
         "remote_only": S.any_of(low, V.PROMPT_REMOTE_WORDS),

@@ -58,7 +58,7 @@ O["distinct_platforms"] = J("SELECT DISTINCT source_platform FROM jobs")
 _ld = "CASE WHEN page_id % 4 = 0 THEN 1 WHEN page_id % 4 = 1 THEN 2 ELSE 0 END"
 VERD = f""", v AS (SELECT page_id, ({_ld})::BIGINT AS jsonld, {LINKS} AS cards, {VENDOR} AS vendor, status, {WORDS} AS words FROM vpages),
 vv AS (SELECT page_id, jsonld, cards, CASE WHEN vendor IS NOT NULL THEN 'BLOCKED' WHEN status <> 200 THEN 'UNREACHABLE' WHEN jsonld > 0 THEN 'FREE_JSONLD'
-  WHEN cards >= 5 THEN 'FREE_STATIC' WHEN page_id % 8 = 2 THEN 'FREE_SITEMAP' WHEN cards = 0 AND words < 250 THEN 'JS_ONLY' ELSE 'INCONCLUSIVE' END AS verdict FROM v)"""
+  WHEN cards >= 5 THEN 'FREE_STATIC' WHEN page_id IN (SELECT page_id FROM pages WHERE length(regexp_extract(url, '://([^/?#]*)', 1)) % 4 = 2) THEN 'FREE_SITEMAP' WHEN cards = 0 AND words < 250 THEN 'JS_ONLY' ELSE 'INCONCLUSIVE' END AS verdict FROM v)"""
 O["page_verdict"] = with_pages(VERD + " SELECT * FROM vv")
 O["source_probe_summary"] = with_pages(VERD + " SELECT count(*) AS pages, count(*) FILTER (starts_with(verdict, 'FREE')) AS free, count(*) FILTER (verdict = 'JS_ONLY') AS js_only, count(*) FILTER (verdict = 'BLOCKED') AS blocked, round(100.0 * count(*) FILTER (starts_with(verdict, 'FREE')) / count(*), 1)::DOUBLE AS paid_call_reduction_pct FROM vv")
 

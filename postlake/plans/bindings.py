@@ -247,7 +247,7 @@ def prompts_of(conversations: DataFrame) -> DataFrame:
             conv.alias("session_id"),
             turn.alias("turn"),
             F.timestamp_add("MINUTE", minutes.cast("int"), ts("2024-01-01 00:00:00")).alias("ts"),
-            pick(PROMPTS, conv + turn).alias("message"),
+            F.concat(pick(PROMPTS, conv + turn), F.lit(". "), F.coalesce("text", F.lit(""))).alias("message"),
         )
     )
 

@@ -10,6 +10,7 @@ from postlake.functions.text import iso_text, pick
 from postlake.plans import bindings as B
 from postlake.session import written_once
 from postlake.sources.boards import ACTOR_ALIASES
+from postlake.sources.markup import page_host
 
 c = F.col
 
@@ -243,3 +244,13 @@ def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
         return B.jobs(spark, sf_dir, text=True).select("ord", pick(DISPATCH, n()).alias("source"), raw.alias("raw"))
 
     return written_once(spark, B.table_name("landing", sf_dir), build, ["source"])
+
+
+def host_sitemaps(pages: DataFrame) -> DataFrame:
+    """(host, raw): the sitemap files of the pages' hosts, one file a page; some hosts state modification times."""
+    host = page_host(F.col("url"))
+    dated = F.when(F.length(host) % 4 == 2, F.lit("<lastmod>2024-01-09</lastmod>")).otherwise(F.lit(""))
+    escaped = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    return pages.where(host != "").select(
+        host.alias("host"), F.concat(F.lit("<urlset><url><loc>"), escaped, F.lit("</loc>"), dated, F.lit("</url></urlset>")).alias("raw")
+    )

@@ -15,9 +15,10 @@ from postlake.operators import stats as T
 from postlake.operators.guard import SearchRequest
 from postlake.operators.ordered import top_per_group
 from postlake.plans import bindings as B
+from postlake.plans import payloads as P
 from postlake.plans.registry import query
 from postlake.plans.search_queries import FLAGSHIP
-from postlake.sources import dims
+from postlake.sources import dims, markup
 
 c = F.col
 
@@ -152,11 +153,12 @@ def _verdicts(spark, d):
     count = F.aggregate(
         blocks, F.lit(0), lambda n, b: n + F.regexp_count(b, F.lit(r'"@type"\s*:\s*(?:\[[^\]]*)?"JobPosting"'))
     )
+    dated = markup.dated_hosts(P.host_sitemaps(p)).withColumn("has_lastmod", F.lit(True))
     p = p.select(
         "page_id", "status", links.detect_block_vendor(c("status"), c("headers"), c("html")).alias("vendor"),
         count.alias("jsonld"), links.count_job_links(c("html")).alias("cards"), links.visible_words(c("html")).alias("words"),
-        (c("page_id") % 8 == 2).alias("has_lastmod"),
-    )
+        markup.page_host(c("url")).alias("host"),
+    ).join(dated, "host", "left")
     verdict = (
         F.when(c("vendor") == "LOCAL_PROXY_DENY", F.lit("INVALID"))
         .when(c("vendor").isNotNull(), F.lit("BLOCKED"))

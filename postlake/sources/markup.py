@@ -137,8 +137,18 @@ def sitemap_jobs(maps: DataFrame) -> DataFrame:
     )
 
 
-def sitemap_probe(maps: DataFrame) -> DataFrame:
+def sitemap_probe(maps: DataFrame, key: str = "ord") -> DataFrame:
     n = lambda tag: F.regexp_count("raw", F.lit(f"(?i)<{tag}>")).cast("bigint")
-    return maps.select("ord", n("sitemap").alias("child_maps"), n("url").alias("urls"), n("lastmod").alias("lastmods")).select(
+    return maps.select(key, n("sitemap").alias("child_maps"), n("url").alias("urls"), n("lastmod").alias("lastmods")).select(
         "*", (F.col("child_maps") > 0).alias("is_index"), (F.col("lastmods") > 0).alias("gives_exact_freshness")
     )
+
+
+def dated_hosts(maps: DataFrame) -> DataFrame:
+    """Hosts whose landed sitemap files (host, raw) state a modification time in at least one file."""
+    return sitemap_probe(maps, "host").where("gives_exact_freshness").select("host").distinct()
+
+
+def page_host(url: Column) -> Column:
+    """Lower-cased host of an absolute URL; empty where there is none."""
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "^[^:/?#]+://([^/?#]*)", 1))
