@@ -4,7 +4,8 @@ How it works
     Templates and texts are words of letters and digits, lower-cased. A template of m words is sought in windows of 3 L / 2
     words that start every L / 2 words, L the smallest of LENGTHS that is at least m: wherever it stands, one window holds
     it whole, and m is over 0.7 L, so the sets of SHINGLE-word shingles are similar. BANDS bands of one MinHash each
-    miss such a window with a probability of (1 - similarity) ^ BANDS, see ``bands_for``. Windows that share a band with
+    miss such a window with a probability of (1 - similarity) ^ BANDS, at most MISS for the least similarity that any
+    template and a window with a share CONTAINED of it can have (``worst_similarity``). Windows that share a band with
     a template are verified: at least CONTAINED of the template's shingles must be in the window, and all its numbers.
     Only windows with a word of GATES that a template of their length has are hashed, and only documents with a word of GATES
     are split. No match is lost by that: GATES is made so that less than a share CONTAINED of any template's shingles lack its
@@ -138,8 +139,15 @@ def bands_for(similarity: float, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log(1 - similarity))
 
 
-#: At worst CONTAINED of a template with 0.7 L words is there, in a window of 1.5 L words.
-BANDS = bands_for(CONTAINED * 0.7 / 1.5)
+def worst_similarity(text: str) -> float:
+    """The least similarity of a template and a window that holds a share CONTAINED of its shingles: all other shingles differ."""
+    w = template_words(text)
+    own = len({tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)})
+    shared = math.ceil(CONTAINED * own)
+    return shared / (window_class(text) * 3 // 2 - SHINGLE + 1 + own - shared)
+
+
+BANDS = bands_for(min(worst_similarity(t) for texts in TEMPLATES.values() for t in texts))
 
 
 def words(text: Column) -> Column:

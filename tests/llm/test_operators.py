@@ -484,6 +484,19 @@ def test_license_scan(spark):
     assert scan(table(spark, texts).limit(0)).count() == 0
 
 
+def test_bands_keep_the_stated_miss_for_every_template():
+    from llm.licenses import BANDS, CONTAINED, MISS, SHINGLE, TEMPLATES, template_words, window_class
+
+    for text in (t for texts in TEMPLATES.values() for t in texts):
+        w = template_words(text)
+        grams = {tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)}
+        # every window with a share CONTAINED of the template, the rest of it other words
+        window = window_class(text) * 3 // 2 - SHINGLE + 1
+        for shared in range(len(grams) + 1):
+            if shared >= CONTAINED * len(grams):
+                assert (1 - shared / (window + len(grams) - shared)) ** BANDS <= MISS
+
+
 def test_license_gate_loses_no_match(spark):
     from llm.licenses import CONTAINED, TEMPLATES, gates_of, lacking, scan, window_class
 
