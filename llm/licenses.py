@@ -197,8 +197,8 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = F.lower("text").rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(GATES) + r")(?![\p{L}\p{N}])")
     rows = rows.where(held).select("doc_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
-    # few documents are left: deal them out again
-    rows = cut_lineage(rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row"))
+    # few documents are left: written first, since reading packs small files together, then dealt out again
+    rows = cut_lineage(rows).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row")
     places = [F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(n // 2)), _window(n)) for n in lengths_used()]
     windows = rows.select("doc_id", "row", "w", F.explode(F.flatten(F.array(*places))).alias("x"))
     windows = windows.select("doc_id", "row", "x.start", "x.length", F.slice("w", F.col("x.start") + 1, F.expr("x.length * 3 div 2").cast("int")).alias("w"))
