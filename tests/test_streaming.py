@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from postlake.functions.dates import ts
 from postlake.operators.cooldown import with_accepted
 from postlake.operators.sessions import carried_intent
@@ -118,3 +119,16 @@ def test_quota_counts_late_calls_on_their_own_day(spark, tmp_path):
     assert sum(r.allowed for r in got if r.id != 133) == 150
     assert [r.used_before for r in got if r.id == 133] == [0]
     assert sorted(r.used_before for r in got if r.id != 133) == sorted([*range(150), *[150] * 50])
+
+
+def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path):
+    rows = spark.createDataFrame([(i // 4, i % 4, "user", f"text {i}") for i in range(40)], "conv_id BIGINT, turn BIGINT, role STRING, text STRING")
+    rows.repartition(3).write.parquet(str(tmp_path / "many" / "conversations.parquet"))
+    (tmp_path / "one").mkdir()
+    rows.toPandas().to_parquet(tmp_path / "one" / "conversations.parquet")
+    want = sorted(map(tuple, carried_intent(B.prompts_of(rows)).select("session_id", "turn", "is_follow_up", "query").collect()))
+    for folder in ("one", "many"):
+        got = entry.queries()["session_state"](spark, str(tmp_path / folder)).select("session_id", "turn", "is_follow_up", "query")
+        assert sorted(map(tuple, got.collect())) == want
+        windows = entry.queries()["session_windows"](spark, str(tmp_path / folder))
+        assert windows.agg(F.sum("prompts")).first()[0] == 40
