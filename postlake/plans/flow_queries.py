@@ -179,8 +179,9 @@ def _(spark, d):
 
 
 def _decided(spark, d):
-    """One decision per request, written once: the ledger reports read it."""
-    return written_once(spark, B.table_name("decisions", d), lambda: ledger.decisions(B.requests(spark, d)), ["bucket"])
+    """One decision per request, written once: the ledger reports read it. No report reads a bucket alone, and a table
+    kept by bucket is sorted by it as it is written, in tasks that hold as many rows as there are of a bucket."""
+    return written_once(spark, B.table_name("decisions", d), lambda: ledger.decisions(B.requests(spark, d)), [])
 
 
 @query("ledger_lookup")
