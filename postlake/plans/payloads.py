@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from postlake.functions.dates import micros
 from postlake.functions.text import iso_text, pick
 from postlake.plans import bindings as B
-from postlake.session import written_once
 from postlake.sources.boards import ACTOR_ALIASES
 from postlake.sources.markup import page_host
 
@@ -235,15 +234,17 @@ def actor_payload(spark: SparkSession, sf_dir: str, portal: str) -> DataFrame:
 
 def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The landing table: each posting in the shape of the source it came from."""
+    return landed(B.jobs(spark, sf_dir, text=True))
 
-    def build() -> DataFrame:
-        raw = None
-        for i, s in enumerate(DISPATCH):
-            hit = n() % len(DISPATCH) == i
-            raw = F.when(hit, POSTINGS[s]()) if raw is None else raw.when(hit, POSTINGS[s]())
-        return B.jobs(spark, sf_dir, text=True).select("ord", pick(DISPATCH, n()).alias("source"), raw.alias("raw"))
 
-    return written_once(spark, B.table_name("landing", sf_dir), build, ["source"])
+def landed(postings: DataFrame) -> DataFrame:
+    """Postings with their descriptions as landed rows. Rendered where they are read: stored payloads would repeat
+    a document for each of its postings."""
+    raw = None
+    for i, s in enumerate(DISPATCH):
+        hit = n() % len(DISPATCH) == i
+        raw = F.when(hit, POSTINGS[s]()) if raw is None else raw.when(hit, POSTINGS[s]())
+    return postings.select("ord", pick(DISPATCH, n()).alias("source"), raw.alias("raw"))
 
 
 def host_sitemaps(pages: DataFrame) -> DataFrame:
