@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,19 +21,20 @@ _TYPES = {
     "fetched_at": T.TimestampNTZType(), "scraped_at": T.TimestampNTZType(), "ord": T.LongType(),
 }
 SCHEMA = T.StructType([T.StructField(c, _TYPES.get(c, T.StringType())) for c in STORED])
+ROWS = ["text_id" if c == "description" else c for c in STORED]  # as they are stored: descriptions stand apart
 BATCH_STEP = 1_000_000_000_000  # order numbers: earlier versions first
 
 
-def posting_rows(normal: DataFrame, as_of: Column, version: int) -> DataFrame:
-    """Normalised postings as whole stored rows: with contacts, numbered after all earlier versions."""
-    rows = with_contacts(cut_lineage(normal))  # one plan per source ends here
+def posting_rows(store: JobStore, normal: DataFrame, as_of: Column, version: int) -> DataFrame:
+    """Normalised postings as stored rows: with contacts, numbered after all earlier versions, their descriptions landed."""
+    rows = with_contacts(store.land(version, normal))  # one plan per source ends here
     added = {"id": F.sha2("apply_url", 256), "fetched_at": as_of, "scraped_at": as_of, "ord": F.col("ord") + F.lit(version * BATCH_STEP)}
-    return rows.withColumns(added).select(*STORED)
+    return rows.withColumns(added).select(*ROWS)
 
 
 def load(store: JobStore, landed: DataFrame, sources: list[str], as_of: Column) -> None:
     """Fill an empty store (version 0): the first row of every link, duplicates by name included."""
-    rows = cut_lineage(merge.first_per(posting_rows(normalize_batch(landed, sources, as_of), as_of, 0), "apply_url"))
+    rows = cut_lineage(merge.first_per(posting_rows(store, normalize_batch(landed, sources, as_of), as_of, 0), "apply_url"))
     store.rows.add(0, rows)
     store.add_signatures(0, rows, store.signatures.read(-1))
 
@@ -52,7 +55,7 @@ def ingest_batch(store: JobStore, version: int, normal: DataFrame, sources: list
     new links are inserted with contacts and known ones are merged write-once. Reads and rewrites touch the buckets of
     the batch's links, of the postings it dates, and of the index items and companies it names.
     """
-    rows = cut_lineage(posting_rows(normal, as_of, version))
+    rows = cut_lineage(posting_rows(store, normal, as_of, version))
     near = cut_lineage(store.matching(version - 1, rows))
     at_links = store.rows.touched(rows.select("apply_url"))
     known = store.rows.read(version - 1, at_links).join(rows.select("apply_url").distinct(), "apply_url", "left_semi")
@@ -68,16 +71,18 @@ def ingest_batch(store: JobStore, version: int, normal: DataFrame, sources: list
         "posted_date_precision": F.when(filled, F.coalesce("new_precision", "posted_date_precision")).otherwise(F.col("posted_date_precision")),
         "fetched_at": F.when(filled, as_of).otherwise(F.col("fetched_at")),
     })
-    store.rows.rewrite(version, merge.merge_write_once(old, used, as_of, STORED), buckets)
+    store.rows.rewrite(version, merge.merge_write_once(old, used, as_of, ROWS), buckets)
     store.add_signatures(version, rows.join(resolved.where("outcome = 'kept'").select("ord"), "ord", "left_semi"), near)
     targets = normal.sparkSession.createDataFrame([(s,) for s in sources], "portal STRING")
     log = merge.append_runlog(rows.select(F.col("source_platform").alias("portal")), targets, "5-Tier", as_of)
     log.write.mode("overwrite").parquet(f"{store.base}/runlog/{version}")
 
 
-def run_ingest(normal: DataFrame, store: JobStore, sources: list[str], as_of: Column) -> DataFrame:
+def run_ingest(
+    normal: DataFrame, store: JobStore, sources: list[str], as_of: Column, shown: Callable[[Column], Column] = lambda text: text
+) -> DataFrame:
     """Drain a stream of normalised postings (``normalize_batch`` of the landing stream, which Spark runs per micro-batch)
-    into the store; micro-batch n writes version n + 1. Returns the last version's rows."""
+    into the store; micro-batch n writes version n + 1. Returns the last version's rows, with what ``shown`` makes of a description."""
     last = {"version": 0}
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -89,4 +94,4 @@ def run_ingest(normal: DataFrame, store: JobStore, sources: list[str], as_of: Co
         .foreachBatch(step).start()
     )
     query.awaitTermination()
-    return store.rows.read(last["version"])
+    return store.described(store.rows.read(last["version"]), shown)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,10 +61,20 @@ class BucketTable:
 _strings = lambda *names: [T.StructField(n, T.StringType()) for n in names]
 SIGNATURES = T.StructType([T.StructField("ord", T.LongType()), *_strings("apply_url", "company", "title", "company_key", "sig")])
 COMPANIES = T.StructType(_strings("item", "company_key"))
+TEXT_ID = T.StructField("text_id", T.BinaryType())
+TEXTS = T.StructType([TEXT_ID, T.StructField("description", T.StringType())])
+
+
+def text_id(text: Column) -> Column:
+    """16 bytes of a text's SHA-256; null for none."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
 
 class JobStore:
-    """Postings by link, and an index of their signatures that finds the stored postings a batch may match.
+    """Postings by link, their descriptions, and an index of their signatures that finds the stored postings a batch may match.
+
+    ``rows`` holds a text_id for each description. A version writes its landed rows once (``land``) and all later steps
+    move and rewrite rows without texts; ``described`` joins them where they are asked for.
 
     ``signatures`` holds the first posting of every distinct (company, title), by company; ``companies`` holds the
     items (``dedup.index_items``) by which similar company names find each other, by item. Similar companies share
@@ -71,10 +83,25 @@ class JobStore:
 
     def __init__(self, spark: SparkSession, base: str, schema: T.StructType, buckets: int = 64) -> None:
         self.spark, self.base = spark, base
-        self.rows = BucketTable(spark, base, "jobs", schema, "apply_url", buckets)
+        self.schema = schema
+        narrow = T.StructType([TEXT_ID if f.name == "description" else f for f in schema])
+        self.rows = BucketTable(spark, base, "jobs", narrow, "apply_url", buckets)
         self.signatures = BucketTable(spark, base, "signatures", SIGNATURES, "company_key", buckets)
         self.companies = BucketTable(spark, base, "companies", COMPANIES, "item", buckets)
 
+    def land(self, version: int, rows: DataFrame) -> DataFrame:
+        """Write landed rows, whose descriptions the store reads from here, and read them back with their text_id."""
+        path = f"{self.base}/landed/version={version}"
+        out = rows.withColumn("text_id", text_id(F.col("description")))
+        out.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(out.schema).parquet(path)
+
+    def described(self, rows: DataFrame, shown: Callable[[Column], Column] = lambda text: text) -> DataFrame:
+        """Stored rows with their descriptions, or what ``shown`` makes of them: only that moves to the rows."""
+        texts = self.spark.read.schema(TEXTS).parquet(f"{self.base}/landed").where("text_id IS NOT NULL")
+        texts = texts.select("text_id", shown(F.col("description")).alias("description")).dropDuplicates(["text_id"])
+        return rows.join(texts, "text_id", "left").select(*self.schema.names)
+
     def matching(self, version: int, batch: DataFrame) -> DataFrame:
         """Stored signatures whose company may match one of the batch's (company, title) rows."""
         names = batch.select(clean_for_match(F.col("company")).alias("company_key")).where("company_key <> ''").distinct()

@@ -94,6 +94,26 @@ def test_ingest_is_write_once_refreshes_and_replay_safe(spark, tmp_path):
     assert 0 in store.rows._versions(2).values() or len(store.rows._versions(2)) < 8
 
 
+def test_ingest_writes_descriptions_once_apart_from_rows(spark, tmp_path):
+    """A batch that dates every stored posting rewrites all rows, but no text again."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8))
+    texts = [" ".join(word() for _ in range(1000)) for _ in range(40)]
+    land = "ord BIGINT, source STRING, raw STRING"
+    rows = lambda date: [(i, "dice", _item(f"https://x.com/job/{i}", f"Role {word()}", date, word(), t)) for i, t in enumerate(texts)]
+    store = JobStore(spark, str(tmp_path / "store"), SCHEMA, buckets=4)
+    load(store, spark.createDataFrame(rows("null"), land), ["dice"], ts("2024-01-30 00:00:00"))
+    spark.createDataFrame(rows('"2024-01-05"'), land).coalesce(1).write.parquet(str(tmp_path / "land"))
+    as_of = ts("2024-01-31 00:00:00")
+    normal = normalize_batch(spark.readStream.schema(land).parquet(str(tmp_path / "land")), ["dice"], as_of)
+    out = run_ingest(normal, store, ["dice"], as_of).collect()
+    assert {int(r.apply_url.rsplit("/", 1)[1]): r.description for r in out} == dict(enumerate(texts))
+    assert {r.posted_date for r in out} == {dt.datetime(2024, 1, 5)} and out[0].asDict().keys() == set(SCHEMA.names)
+    shown = store.described(store.rows.read(1), F.length).collect()
+    assert {r.description for r in shown} == {len(t) for t in texts} and len(shown) == len(texts)
+    assert sum(f.stat().st_size for f in (tmp_path / "store" / "jobs").rglob("*.parquet")) < sum(map(len, texts)) / 3
+
+
 def test_batch_reads_and_rewrites_only_touched_buckets(spark, tmp_path):
     """One landed row in a store of 2,000: one bucket of links is written anew."""
     land = "ord BIGINT, source STRING, raw STRING"
