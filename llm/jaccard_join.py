@@ -6,8 +6,8 @@ How it works
        same set are one node.
     2. Each node is routed to the shingles that stand first in one global order. Two sets with a
        similarity of t share one of their first n - ceil(t n) + 1 shingles, so every link meets in a bucket.
-       The order takes shingles last that a bounded sample found to be common. It only steers cost: any
-       order that is the same for all nodes gives the same result.
+       The order takes shingles last that a bounded sample found to be common, the commonest at the very end. It only
+       steers cost: any order that is the same for all nodes gives the same result.
     3. A bucket of up to LEAF nodes is one leaf: its pairs go straight to the bound. Of a larger bucket,
        first only the pairs with its smallest node do; what these links already connect needs no more
        work. The nodes of different components in one large bucket are then searched through an R-tree,
@@ -83,7 +83,8 @@ def overlap_bound(a: list[bytes], b: list[bytes]) -> np.ndarray:
 
 
 def _common(docs: DataFrame) -> bytes:
-    """A bitmap over shingle hashes, set where a bounded sample of documents shares the shingle."""
+    """How common shingles are, four bits for each slot of their hashes: 0 where a bounded sample of documents does not share
+    the shingle, else 1 and one more for each doubling of the least number that counts as common."""
     total = docs.count()
     sample = docs.where(F.pmod(F.xxhash64(F.lit(7), F.col("th")), F.lit(1_000_000)) < F.lit(int(min(1.0, SAMPLE_DOCS / max(total, 1)) * 1_000_000)))
 
@@ -99,15 +100,14 @@ def _common(docs: DataFrame) -> bytes:
 
     mean = sample.mapInPandas(count, "slot INT, n INT").groupBy("slot").agg(F.sum("n").alias("n"))
     words = cut_lineage(mean)
-    level = words.agg((F.sum("n") / F.lit(1 << _COMMON_BITS)).alias("m")).first()["m"] or 0.0
+    usual = words.agg((F.sum("n") / F.lit(1 << _COMMON_BITS)).alias("m")).first()["m"] or 0.0
     # slots hold several shingles each; a slot well above the mean holds a common one
-    least = int(level + 4 * level**0.5) + COMMON_IN_SAMPLE
-    bits = words.where(F.col("n") >= least).groupBy(F.expr("slot div 8").alias("byte")).agg(
-        F.expr("bit_or(shiftleft(1, pmod(slot, 8)))").alias("bits")
-    )
-    out = np.zeros(1 << (_COMMON_BITS - 3), dtype=np.uint8)  # at most 512 kB, whatever the input
-    for row in bits.toLocalIterator():
-        out[row["byte"]] = row["bits"]
+    least = int(usual + 4 * usual**0.5) + COMMON_IN_SAMPLE
+    level = F.least(F.lit(15), 1 + F.floor(F.log2(F.col("n") / least))).cast("bigint")
+    cells = words.where(F.col("n") >= least).select(F.expr("slot div 16").alias("cell"), (4 * F.expr("pmod(slot, 16)")).alias("at"), level.alias("level"))
+    out = np.zeros(1 << (_COMMON_BITS - 4), dtype=np.int64)  # 2 MB, whatever the input
+    for row in cells.groupBy("cell").agg(F.expr("bit_or(shiftleft(level, at))").alias("bits")).toLocalIterator():
+        out[row["cell"]] = row["bits"]
     return out.tobytes()
 
 
@@ -116,10 +116,11 @@ def nodes_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Within a task, later copies of a set carry no keys, so copies are combined before the shuffle.
     """
-    bitmap = _common(docs)
+    packed = _common(docs)
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").astype(bool)
+        pairs = np.frombuffer(packed, np.uint8)
+        common = np.stack([pairs & 15, pairs >> 4], axis=1).ravel()
         seen: set[int] = set()
         for frame in frames:
             for part in slices(frame):
@@ -136,8 +137,8 @@ def nodes_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                     seen.add(sid)
                     late = common[(s & np.uint64((1 << _COMMON_BITS) - 1)).astype(np.int64)]
                     first = n - -(-percent * n // 100) + 1
-                    keys = np.concatenate([s[~late], s[late]])[:first]
-                    rows.append((doc, th, sid, n, point(s), keys.astype(np.int64), min(first, int((~late).sum()))))
+                    keys = s[np.argsort(late, kind="stable")][:first]
+                    rows.append((doc, th, sid, n, point(s), keys.astype(np.int64), min(first, int((late == 0).sum()))))
                 out = pd.DataFrame(rows, columns=["doc_id", "th", "sid", "n", "point", "keys", "rare"])
                 out["sid"] = pd.array([r[2] for r in rows], dtype="Int64")
                 yield out

@@ -103,6 +103,16 @@ def test_large_buckets_go_through_the_tree(spark, monkeypatch):
     assert got == sorted(brute_components(ids, texts), key=repr)
 
 
+def test_the_commonest_shingles_are_no_routes(spark):
+    """400 texts of one common passage and one of 20 texts, nothing rare: all meet by the lesser one."""
+    from llm.jaccard_join import nodes_of
+
+    passage = lambda k: " ".join(f"p{k}x{i}" for i in range(12))
+    docs = table(spark, [f"{passage('all')} {passage(i // 20)}" for i in range(400)]).select("doc_id", "text").withColumn("th", F.col("doc_id"))
+    keys = nodes_of(docs).select("sid", F.explode("keys").alias("key")).groupBy("key").agg(F.countDistinct("sid").alias("n"))
+    assert keys.agg(F.max("n")).first()[0] == 1  # the 20 texts are one set
+
+
 def test_packed_blocks_lose_no_pair(monkeypatch):
     """Buckets of many blocks, packed from small batches: blocks joined with themselves and with each other give every pair the bounds allow."""
     import llm.jaccard_join as j
