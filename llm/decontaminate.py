@@ -101,8 +101,8 @@ def _regions(docs: DataFrame, bitmap: bytes, short: list[int]) -> DataFrame:
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells = np.frombuffer(bitmap, np.uint64)
         for f in frames:
-            rows = []
             for part in slices(f):
+                rows = []
                 h, off = word_hashes(part["text"])
                 at_all, mask_all, seed_all = [], [], []
                 for m, places, width in masks:
@@ -123,7 +123,7 @@ def _regions(docs: DataFrame, bitmap: bytes, short: list[int]) -> DataFrame:
                         d = doc[lo]
                         begin, end = max(off[d], at[lo] - MARGIN), min(off[d + 1], at[hi - 1] + SPAN + MARGIN)
                         rows.append((part["doc_id"].iloc[d], part["row"].iloc[d], int(begin - off[d]), h[begin:end].astype(np.int64), (at[lo:hi] - begin).astype(np.int32), mask[lo:hi].astype(np.int32), seed[lo:hi]))
-            yield pd.DataFrame(rows, columns=["doc_id", "row", "start", "words", "ats", "masks", "seeds"])
+                yield pd.DataFrame(rows, columns=["doc_id", "row", "start", "words", "ats", "masks", "seeds"])
 
     return ids_as_text(docs, "doc_id").mapInPandas(build, "doc_id STRING, row BIGINT, start INT, words ARRAY<BIGINT>, ats ARRAY<INT>, masks ARRAY<INT>, seeds ARRAY<BIGINT>")
 

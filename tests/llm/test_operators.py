@@ -633,6 +633,56 @@ def test_rows_are_judged_each_by_its_own_text(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted([(None, good), (900, good)], key=repr)
 
 
+def test_small_batches_bound_bytes_not_rows(spark):
+    from llm.steps import BATCH_BYTES, small_batches
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.sha2(F.col("id").cast("string"), 256), 100).alias("text"))  # 6,400 characters each
+
+    def sizes(frames):
+        for f in frames:
+            yield pd.DataFrame({"n": [int(f["text"].str.len().sum())]})
+
+    with small_batches(spark):
+        found = [r["n"] for r in texts.mapInPandas(sizes, "n BIGINT").collect()]
+    assert sum(found) == 3000 * 6400 and max(found) < BATCH_BYTES * 1.1
+    assert spark.conf.get(name) == before
+
+
+def test_pipeline_runs_in_small_batches(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from llm.steps import BATCH_BYTES
+
+    seen = []
+
+    def stage(spark, docs, sf_dir):
+        seen.append(int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")))
+        return docs
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage)])
+    table(spark, ["a b", "c"]).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 2 and seen == [BATCH_BYTES]
+
+
+def test_regions_are_handed_on_slice_by_slice():
+    """What a task holds of the regions follows a slice, not the batch that Spark hands it."""
+    import llm.decontaminate as D
+
+    class Docs:
+        def withColumns(self, _):
+            return self
+
+        def mapInPandas(self, build, _):
+            return build
+
+    text = " ".join(f"y{i}" for i in range(200_000))
+    frame = pd.DataFrame({"doc_id": [str(i) for i in range(8)], "row": range(8), "text": [text] * 8})
+    full = np.full(1 << (D._BITS - 6), -1, dtype=np.int64).tobytes()  # every window hits
+    out = list(D._regions(Docs(), full, [])([frame]))
+    assert len(out) > 1 and sum(map(len, out)) == 8
+
+
 def test_pipeline_keeps_columns_and_clean_documents(spark):
     import corpus_pipeline as p
     from llm.decontaminate import overlaps
