@@ -2,15 +2,15 @@
 
 How it works
     1. Every text becomes its set of distinct shingles, its 64-bit fingerprint and a point: the shingles
-       hashed into a power of two of groups (as many groups as shingles or more) and counted. Texts with the
-       same set are one node.
+       hashed into a power of two of groups (as many groups as shingles or more, up to 2,048) and counted. Points
+       move often, so they are kept as bit planes. Texts with the same set are one node.
     2. Each node is routed to the shingles that stand first in one global order. Two sets with a
        similarity of t share one of their first n - ceil(t n) + 1 shingles, so every link meets in a bucket.
        The order takes shingles last that a bounded sample found to be common, the commonest at the very end. It only
        steers cost: any order that is the same for all nodes gives the same result.
     3. A bucket of up to LEAF nodes is one leaf: its pairs go straight to the bound. Of a larger bucket,
-       first only the pairs with its smallest node do; what these links already connect needs no more
-       work. The nodes of different components in one large bucket are then searched through an R-tree,
+       first only the pairs with its smallest node do (of one of more than BLOCK nodes, with its HEADS smallest); what these
+       links already connect needs no more work. The nodes of different components in one large bucket are then searched through an R-tree,
        in blocks of at most BLOCK nodes, so no task holds a whole bucket: once for the likeliest partner of a node in each
        other component, and, when these links are drawn, for every pair that is still of different components.
     4. The overlap of two sets, or of a set and any in a tree node, is at most the sum of the coordinate
@@ -24,11 +24,13 @@ null; further columns of the input are ignored.
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from llm.steps import components, ids_as_numbers, ids_as_text, small
@@ -39,6 +41,7 @@ PERCENT = 75
 WORDS = 5
 LEAF = 24
 BLOCK = 512
+HEADS = 8
 TREE_GROUPS = 64
 SAMPLE_DOCS = 20_000
 COMMON_IN_SAMPLE = 4
@@ -51,15 +54,36 @@ def fits(inter, a, b, percent: int = PERCENT):
 
 
 def groups_for(n: int) -> int:
-    """How many groups the counts of a set of n shingles have: a power of two from n to 2 n."""
-    return 1 << min(13, max(6, int(n).bit_length()))
+    """How many groups the counts of a set of n shingles have: a power of two from n to 2 n, at least 64 and at most 2,048."""
+    return 1 << min(11, max(6, int(n).bit_length()))
 
 
 def point(shingles: np.ndarray) -> bytes:
-    """Counts of the shingles by group, a byte each; empty if a count passes 255 (no bound then)."""
+    """Counts of the shingles by group; empty if a count passes 255 (no bound then).
+
+    The first byte is the number of bit planes that the counts need, a few as a rule; the planes follow, the highest bits first.
+    """
     g = groups_for(len(shingles))
     counts = np.bincount((shingles >> np.uint64(40)).astype(np.int64) & (g - 1), minlength=g)
-    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+    most = int(counts.max(initial=0))
+    planes = max(1, most.bit_length())
+    bits = counts >> np.arange(planes - 1, -1, -1)[:, None] & 1
+    return bytes([planes]) + np.packbits(bits.astype(np.uint8), axis=1).tobytes() if most < 256 else b""
+
+
+def unpack(points: list[bytes]) -> np.ndarray:
+    """The counts of points of one length and number of planes, a row each."""
+    planes = points[0][0]
+    bits = np.unpackbits(np.frombuffer(b"".join(points), np.uint8).reshape(len(points), -1)[:, 1:], axis=1).reshape(len(points), planes, -1)
+    counts = bits[:, 0, :]
+    for plane in range(1, planes):
+        counts = counts << 1 | bits[:, plane, :]
+    return counts
+
+
+def _kind(p: bytes) -> tuple[int, int]:
+    """Length and planes of a point; (0, 0) of one without counts."""
+    return (len(p), p[0]) if p else (0, 0)
 
 
 def fold(points: np.ndarray, g: int) -> np.ndarray:
@@ -70,15 +94,16 @@ def fold(points: np.ndarray, g: int) -> np.ndarray:
 def overlap_bound(a: list[bytes], b: list[bytes]) -> np.ndarray:
     """Upper bounds of the overlaps of pairs of sets, from their points."""
     out = np.full(len(a), 1 << 30, dtype=np.int64)
-    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    for ga, gb in set(zip(la.tolist(), lb.tolist(), strict=True)):
-        if ga and gb:
-            at = np.flatnonzero((la == ga) & (lb == gb))
-            g = min(ga, gb)
-            for part in np.array_split(at, len(at) * max(ga, gb) // (1 << 22) + 1):
-                x = fold(np.frombuffer(b"".join(a[i] for i in part), np.uint8).reshape(-1, ga), g)
-                y = fold(np.frombuffer(b"".join(b[i] for i in part), np.uint8).reshape(-1, gb), g)
-                out[part] = np.minimum(x, y).sum(axis=1)
+    together = defaultdict(list)
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        if x and y:
+            together[_kind(x), _kind(y)].append(i)
+    for ((la, pa), (lb, pb)), at in together.items():
+        ga, gb = (la - 1) // pa * 8, (lb - 1) // pb * 8
+        g = min(ga, gb)
+        for part in np.array_split(at, len(at) * max(ga, gb) // (1 << 20) + 1):
+            x, y = fold(unpack([a[i] for i in part]), g), fold(unpack([b[i] for i in part]), g)
+            out[part] = np.minimum(x, y).sum(axis=1)
     return out
 
 
@@ -150,10 +175,17 @@ def nodes_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def _meet(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
     """From rows (key, sid, n, before) sorted by key and sid: pairs to bound, and the members of large buckets.
 
-    Rows of kind 0 are pairs (a, b); of kind 1, a bucket a, its member b and the common key before. Memory: a batch and one leaf.
+    Rows of kind 0 are pairs (a, b); of kind 1, a bucket a, its member b and the common key before. Memory: a batch and one block.
     """
-    # the bucket being read: its first member, its latest, and its members while they fit into a leaf
-    last_key, head, latest, held = None, None, None, []
+    # the bucket being read: its first members, its latest, its members while they fit into a leaf, and a large one's while they fit into a block
+    last_key, heads, latest, held, early = None, [], None, [], []
+
+    def head_pairs(some, members):
+        for s, m, _ in members:
+            for h, k, _ in some:
+                # of two heads, the later one is the member
+                if h < s and fits(min(m, k), m, k, percent):
+                    yield 0, h, s, 0
 
     def leaf_pairs(members):
         for i in range(len(members)):
@@ -180,24 +212,26 @@ def _meet(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame
             k = int(key[lo])
             if k != last_key:
                 out.extend(end())
-                last_key, head, latest, held = k, None, None, []
+                last_key, heads, latest, held, early = k, [], None, [], []
             members = []
             for s, m, p in zip(sid[lo:hi].tolist(), n[lo:hi].tolist(), before[lo:hi].tolist(), strict=True):
                 if s != latest:
                     members.append((s, m, p))
                     latest = s
-            if head is None and members:
-                head = members[0]
+            heads.extend(members[: HEADS - len(heads)])
             if held is not None and len(held) + len(members) <= LEAF:
                 held.extend(members)
             else:
                 if held:
                     members = held + members
                 held = None
-                for s, m, p in members:
-                    out.append((1, k, s, p))
-                    if s != head[0] and fits(min(m, head[1]), m, head[1], percent):
-                        out.append((0, head[0], s, 0))
+                out.extend((1, k, s, p) for s, _, p in members)
+                out.extend(head_pairs(heads[:1], members))
+                if early is not None and len(early) + len(members) <= BLOCK:
+                    early.extend(members)
+                else:
+                    out.extend(head_pairs(heads[1:], (early or []) + members))
+                    early = None
         if out:
             yield pd.DataFrame(out, columns=["kind", "a", "b", "before"])
     rest = list(end())
@@ -253,10 +287,12 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -
 def _stack(points: list[bytes]) -> np.ndarray:
     """The points of a block folded to TREE_GROUPS groups; one without counts allows everything."""
     out = np.full((len(points), TREE_GROUPS), 1 << 20, dtype=np.int32)
-    sizes = np.array([len(p) for p in points])
-    for g in set(sizes.tolist()) - {0}:
-        at = np.flatnonzero(sizes == g)
-        out[at] = fold(np.frombuffer(b"".join(points[i] for i in at), np.uint8).reshape(-1, g), TREE_GROUPS)
+    alike = defaultdict(list)
+    for i, p in enumerate(points):
+        if p:
+            alike[_kind(p)].append(i)
+    for at in alike.values():
+        out[at] = fold(unpack([points[i] for i in at]), TREE_GROUPS)
     return out
 
 
@@ -401,6 +437,11 @@ def _between(tree: DataFrame, labelled: DataFrame, nodes: DataFrame, percent: in
     return rows.groupBy("key", "i", "j").applyInPandas(join, "kind INT, a BIGINT, b BIGINT, key BIGINT")
 
 
+def _size_class(n: Column, percent: int) -> Column:
+    """A number that differs by 1 at most between linked sets of n shingles, whose sizes differ by a factor of 100 / percent at most."""
+    return n if percent >= 100 else F.floor(F.log(n.cast("double")) / (1.000001 * math.log(100 / percent)))
+
+
 def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, every: bool) -> tuple[DataFrame, DataFrame] | None:
     """Candidate pairs between components that meet in a large bucket, and the buckets with pairs left out; None if there are none."""
     labelled = cut_lineage(
@@ -413,8 +454,9 @@ def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: in
     if open_.limit(1).count() == 0:
         return None
     labelled = cut_lineage(labelled.drop("before").join(open_, "key"))
-    order = ["key", "label", "n", "sid"]
-    rows = labelled.join(nodes.select("sid", "n", "point"), "sid").select(*order, "point")
+    # sets of a class are linked with sets of this and the next classes alone, so few blocks of a bucket meet
+    order = ["key", _size_class(F.col("n"), percent), "label", "n", "sid"]
+    rows = labelled.join(nodes.select("sid", "n", "point"), "sid").select("key", "label", "n", "sid", "point")
     # dealt by ranges of the whole order: a large bucket spreads over as many tasks as it needs
     tree = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(lambda f: _pack(f, percent, every), _TREE)
     tree = cut_lineage(tree)

@@ -168,6 +168,45 @@ def test_overlap_bound_is_an_upper_bound():
         assert overlap_bound([point(x)], [point(y)])[0] >= len(np.intersect1d(x, y))
 
 
+def test_points_are_short_and_keep_their_counts():
+    """A byte for each count was several times as long as the counts are."""
+    from llm.jaccard_join import groups_for, point, unpack
+
+    rng = np.random.default_rng(6)
+    for n in (1, 40, 70, 900, 3000, 15_000):
+        s = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        g = groups_for(n)
+        counts = np.bincount((s >> np.uint64(40)).astype(np.int64) & (g - 1), minlength=g)
+        assert (unpack([point(s), point(s)]) == counts).all() and len(point(s)) <= 1 + g // 8 * int(counts.max()).bit_length()
+        assert len(point(s)) < 0.55 * g or n > 2048
+    assert groups_for(15_000) == 2048
+    assert point(np.arange(300, dtype=np.uint64)) == b""  # one group counts 300
+
+
+def test_size_classes_of_linked_sets_are_neighbours(spark):
+    import llm.jaccard_join as j
+
+    sizes = spark.range(1, 4000).select(F.col("id").cast("int").alias("n"))
+    for percent in (75, 90, 100):
+        c = {r["n"]: r["c"] for r in sizes.select("n", j._size_class(F.col("n"), percent).alias("c")).collect()}
+        assert all(0 <= c[100 * n // percent] - c[n] <= 1 for n in c if 100 * n // percent in c)
+
+
+def test_very_large_buckets_meet_more_than_one_head(monkeypatch):
+    """Half of a bucket is near none but the second member: the links to it are found without the tree."""
+    import llm.jaccard_join as j
+
+    monkeypatch.setattr(j, "LEAF", 3)
+    for block in (8, 100):
+        monkeypatch.setattr(j, "BLOCK", block)
+        frame = pd.DataFrame({"key": [5] * 20 + [6] * 2, "sid": [*range(20), 3, 4], "n": [10] * 22, "before": [0] * 22})
+        out = pd.concat(j._meet(iter([frame[k : k + 6] for k in range(0, 22, 6)]), 75))
+        found = list(zip(out["a"][out["kind"] == 0], out["b"][out["kind"] == 0], strict=True))
+        heads = j.HEADS if block == 8 else 1
+        want = [(a, b) for a in range(heads) for b in range(a + 1, 20)]
+        assert sorted(set(found)) == sorted({*want, (3, 4)}) and (out["kind"] == 1).sum() == 20
+
+
 KINDS = ["email", "ip", "card", "phone"]
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
