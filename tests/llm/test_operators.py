@@ -207,6 +207,20 @@ def test_very_large_buckets_meet_more_than_one_head(monkeypatch):
         assert sorted(set(found)) == sorted({*want, (3, 4)}) and (out["kind"] == 1).sum() == 20
 
 
+def test_stages_set_small_batches_themselves(spark, monkeypatch):
+    """A stage that is called without ``run`` has its Python steps in small batches too."""
+    import corpus_pipeline as p
+    from llm.steps import BATCH_BYTES
+
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(name)
+    for step in ("keep_clean", "keep_one", "clean"):
+        monkeypatch.setattr(p, step, lambda docs, *_: seen.append(int(spark.conf.get(name))) or docs)
+    for _, stage in p.STAGES[:3]:
+        stage(spark, spark.range(1), SF)
+    assert seen == [BATCH_BYTES] * 3 and spark.conf.get(name) == before
+
+
 KINDS = ["email", "ip", "card", "phone"]
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
