@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from llm.steps import small
+from llm.steps import places, small
 from postlake.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)
@@ -39,15 +39,9 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
-def _places(df: DataFrame) -> DataFrame:
-    """Adds ``part`` and ``at``: the task and the place in it of each row of a range-partitioned table, and writes it."""
-    df = df.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    return cut_lineage(df)
-
-
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """(source, source_size, target) from rows of (source, size)."""
-    totals = _places(sizes.groupBy("source").agg(F.sum("size").alias("source_size")).orderBy(F.col("source").asc_nulls_last()))
+    totals = places(sizes.groupBy("source").agg(F.sum("size").alias("source_size")).orderBy(F.col("source").asc_nulls_last()))
     counts = totals.groupBy("part").agg(F.count("*").alias("n"))
     before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row a task
     weight = F.get(F.array(*(F.lit(w) for w in weights)), F.pmod(F.col("before") + F.col("at"), F.lit(len(weights))).cast("int"))
@@ -89,7 +83,7 @@ def mixed(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -
     rows = cut_lineage(rows)
     rates = cut_lineage(source_rates(source_targets(rows.select("source", "size"), weights, cap)))
     order = [F.col("source").asc_nulls_last(), F.col("size").desc(), F.xxhash64("doc_id"), F.col("doc_id")]
-    placed = _places(rows.repartitionByRange(*order).sortWithinPartitions(*order))
+    placed = places(rows.repartitionByRange(*order).sortWithinPartitions(*order))
     blocks = placed.groupBy("part", "source").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("source").orderBy("part")) - F.col("n")
     blocks = cut_lineage(blocks.select(F.col("part").alias("b_part"), F.col("source").alias("b_source"), "first", before.alias("before")))
@@ -139,14 +133,33 @@ def mix(docs: DataFrame) -> DataFrame:
     return mixed(rows).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """A hash of the whole row, with its nulls told from missing neighbours."""
+    return F.xxhash64(*(docs[c] for c in docs.columns), *(docs[c].isNull() for c in docs.columns))
+
+
 def mixture(docs: DataFrame) -> DataFrame:
     """The documents of the mix with all their columns, and how many copies and words of each it takes.
 
-    Columns of the documents that are themselves called ``copies`` or ``taken`` are replaced by the computed ones.
+    Columns of the documents that are themselves called ``copies`` or ``taken`` are replaced by the computed ones. The mix is
+    worked out on narrow rows; documents are joined to it at the end by their id and a hash of the row, so texts are never written on the way.
     """
     rows = docs.select(
-        F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size")
+        _row_key(docs).alias("row_key"), docs["doc_id"].cast("bigint").alias("doc_id"), docs["source"].cast("string").alias("source"), words(docs["text"].cast("string")).alias("size")
     )
-    taken = mixed(rows).where("copies > 0").select("row", "copies", "taken")
+    taken = cut_lineage(mixed(rows).groupBy(F.col("row_key").alias("r_key"), F.col("doc_id").alias("r_id"), "copies", "taken").agg(F.count("*").alias("n")))
+    per_row = taken.groupBy("r_key", "r_id").agg(F.sum("n").alias("n"), F.max("copies").alias("copies"), F.max("taken").alias("taken"))
+    single = small(cut_lineage(per_row.where("n = 1 AND copies > 0").drop("n")))
+    twice = cut_lineage(per_row.where("n > 1 AND copies > 0").select("r_key", "r_id"))
+    of = lambda t: (_row_key(docs) == t["r_key"]) & docs["doc_id"].cast("bigint").eqNullSafe(t["r_id"])
     own = [c for c in docs.columns if c.lower() not in ("copies", "taken")]
-    return taken.select(*(F.col("row").getField(c).alias(c) for c in own), "copies", "taken")
+    out = docs.join(single, of(single)).select(*(docs[c] for c in own), single["copies"], single["taken"])
+    if twice.limit(1).count() == 0:
+        return out
+    # equal rows that stand more than once: one of them, as often as its numbers of copies were dealt
+    twice = small(twice)
+    same = docs.join(twice, of(twice)).select(F.struct(*(docs[c] for c in own)).alias("row"), twice["r_key"], twice["r_id"])
+    same = same.groupBy("r_key", "r_id").agg(F.first("row").alias("row"))
+    dealt = taken.where("copies > 0").select(F.col("r_key").alias("d_key"), F.col("r_id").alias("d_id"), "copies", "taken", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    same = same.join(dealt, (F.col("r_key") == F.col("d_key")) & F.col("r_id").eqNullSafe(F.col("d_id")))
+    return out.unionByName(same.select(*(F.col("row").getField(c).alias(c) for c in own), "copies", "taken"))

@@ -227,8 +227,9 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """The same rows with each span replaced by its kind in brackets, and ``n_chars`` brought up to date if there is one."""
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    spans = cut_lineage(candidates(rows))
-    chosen = spans.withColumn("chosen", _chosen(train(spans.select("spans"))))
+    # spans are found again where texts are cleaned: to keep them would mean to write every text once more
+    weights = train(cut_lineage(candidates(rows.select("text")).select("spans")))
+    chosen = candidates(rows).withColumn("chosen", _chosen(weights))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
 
     def step(acc, x):

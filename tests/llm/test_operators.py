@@ -441,6 +441,51 @@ def test_mixing_meets_targets(spark):
     assert mix(docs.limit(0)).count() == 0
 
 
+def _written(monkeypatch, module):
+    """The columns of every table that the module's steps write between."""
+    seen = []
+    real = module.cut_lineage
+
+    def cut(df):
+        seen.append(df.schema.simpleString())
+        return real(df)
+
+    monkeypatch.setattr(module, "cut_lineage", cut)
+    return seen
+
+
+def test_mixing_and_redaction_write_no_texts_between(spark, monkeypatch):
+    """The mix wrote whole rows twice and sorted them, the redaction wrote each text twice beside its spans."""
+    import llm.mixing
+    import llm.personal_data
+
+    rng = random.Random(8)
+    docs = table(spark, [sentence(rng, rng.randrange(1, 60)) + " +49 30 1234567 12" for _ in range(60)])
+    for module, stage in ((llm.mixing, llm.mixing.mixture), (llm.personal_data, llm.personal_data.redact)):
+        seen = _written(monkeypatch, module)
+        assert stage(docs).count() <= 60
+        assert not [x for x in seen if "text:" in x]
+
+
+def test_mixing_deals_copies_to_equal_rows_each(spark):
+    """Rows that are equal, share an id, or have none: as many rows with as many copies as the mix by itself has."""
+    from llm.mixing import mix, mixture
+
+    rng = random.Random(9)
+    texts = [sentence(rng, rng.randrange(5, 40)) for _ in range(120)]
+    ids = list(range(120))
+    texts += texts[:40] * 3 + [sentence(rng, 7) for _ in range(8)] + ["same text"] * 6
+    ids += ids[:40] * 3 + [3] * 4 + [None] * 10
+    docs = table(spark, texts, ids)
+    want = Counter((r["doc_id"], r["size"], r["copies"], r["taken"]) for r in mix(docs).collect() if r["copies"] > 0)
+    out = mixture(docs)
+    assert out.columns == [*docs.columns, "copies", "taken"]
+    got = out.collect()
+    assert Counter((r["doc_id"], len(WORD.findall(r["text"])), r["copies"], r["taken"]) for r in got) == want
+    have = Counter(zip(ids, texts, strict=True))
+    assert all(n <= have[k] for k, n in Counter((r["doc_id"], r["text"]) for r in got).items())
+
+
 def test_passages_across_documents(spark):
     from llm.passage_chains import passages
 
