@@ -8,11 +8,13 @@ How it works
        similarity of t share one of their first n - ceil(t n) + 1 shingles, so every link meets in a bucket.
        The order takes shingles last that a bounded sample found to be common, the commonest at the very end. It only
        steers cost: any order that is the same for all nodes gives the same result.
-    3. A bucket of up to LEAF nodes is one leaf: its pairs go straight to the bound. Of a larger bucket,
-       first only the pairs with its smallest node do (of one of more than BLOCK nodes, with its HEADS smallest); what these
-       links already connect needs no more work. The nodes of different components in one large bucket are then searched through an R-tree,
-       in blocks of at most BLOCK nodes, so no task holds a whole bucket: once for the likeliest partner of a node in each
-       other component, and, when these links are drawn, for every pair that is still of different components.
+    3. A bucket is read by size: a node of n shingles meets those before it that are not too small for it. Up to
+       LEAF such nodes are its leaf: their pairs go straight to the bound. Where there are more, the stretch is crowded:
+       first only the pairs with its smallest node do (where it is long, with its HEADS smallest); what these
+       links already connect needs no more work. The crowded nodes that have one of another component and of a fitting size in their bucket
+       are then searched through an R-tree, in blocks of at most BLOCK nodes, so no task holds a whole bucket: once for the likeliest partner of
+       a node in each other component, and, when these links are drawn, for every pair that is still of different components.
+       Two nodes with the same common key before the bucket's meet there already and are left to that bucket.
     4. The overlap of two sets, or of a set and any in a tree node, is at most the sum of the coordinate
        minima (the tree node's box has the maximum of each coordinate). Pairs that fail it, or the
        length filter, are dropped; the others are verified on the whole shingle sets.
@@ -25,22 +27,23 @@ null; further columns of the input are ignored.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from llm.steps import components, ids_as_numbers, ids_as_text, small
+from llm.steps import components, ids_as_numbers, ids_as_text, places, small
 from llm.wordhash import mix, shingle_sets, slices, word_hashes
 from postlake.session import cut_lineage
 
 PERCENT = 75
 WORDS = 5
 LEAF = 24
-BLOCK = 512
+BLOCK = 1024
 HEADS = 8
 TREE_GROUPS = 64
 SAMPLE_DOCS = 20_000
@@ -173,30 +176,46 @@ def nodes_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def _meet(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    """From rows (key, sid, n, before) sorted by key and sid: pairs to bound, and the members of large buckets.
+    """From rows (key, sid, n, before) sorted by key, n and sid: pairs to bound, and the members of crowded stretches.
 
-    Rows of kind 0 are pairs (a, b); of kind 1, a bucket a, its member b and the common key before. Memory: a batch and one block.
+    Rows of kind 0 are pairs (a, b); of kind 1, a bucket a, its member b of n shingles and the common key before. Every pair of a bucket
+    whose sizes fit is a pair here, or both are members, or both have the same common key before, whose bucket has the pair. Memory: a batch and a block.
     """
-    # the bucket being read: its first members, its latest, its members while they fit into a leaf, and a large one's while they fit into a block
-    last_key, heads, latest, held, early = None, [], None, [], []
-
-    def head_pairs(some, members):
-        for s, m, _ in members:
-            for h, k, _ in some:
-                # of two heads, the later one is the member
-                if h < s and fits(min(m, k), m, k, percent):
-                    yield 0, h, s, 0
-
-    def leaf_pairs(members):
-        for i in range(len(members)):
-            for j in range(i):
-                (a, na, _), (b, nb, _) = members[j], members[i]
-                if fits(min(na, nb), na, nb, percent):
-                    yield 0, a, b, 0
+    # of the bucket being read: its latest LEAF nodes; of the crowded stretch: its first members, and all while they are few
+    last_key, latest, window, heads, early = None, None, deque(), [], []
+
+    def pair(x, y):
+        if not (x[2] and x[2] == y[2]) and fits(min(x[1], y[1]), x[1], y[1], percent):
+            yield 0, min(x[0], y[0]), max(x[0], y[0]), 0, 0
+
+    def leave():
+        """The oldest node of the window and its pairs with those after it, which are all that fit it and are not both members."""
+        x = window.popleft()
+        for y in window:
+            if not (x[3] and y[3]):
+                yield from pair(x, y)
+
+    def member(x):
+        nonlocal heads, early
+        x[3] = True
+        yield 1, last_key, x[0], x[2], x[1]
+        if heads and not fits(heads[0][1], heads[0][1], x[1], percent):
+            heads, early = [], []
+        for h in heads[:1] if early is not None else heads:
+            yield from pair(h, x)
+        if len(heads) < HEADS:
+            heads.append(x)
+        if early is not None:
+            early.append(x)
+            if len(early) > BLOCK // 2:
+                for k, h in enumerate(heads[1:], 1):
+                    for y in early[k + 1 :]:
+                        yield from pair(h, y)
+                early = None
 
     def end():
-        if held is not None and len(held) > 1:
-            yield from leaf_pairs(held)
+        while window:
+            yield from leave()
 
     for frame in frames:
         key, sid, n, before = (frame[c].to_numpy() for c in ("key", "sid", "n", "before"))
@@ -212,31 +231,25 @@ def _meet(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame
             k = int(key[lo])
             if k != last_key:
                 out.extend(end())
-                last_key, heads, latest, held, early = k, [], None, [], []
-            members = []
-            for s, m, p in zip(sid[lo:hi].tolist(), n[lo:hi].tolist(), before[lo:hi].tolist(), strict=True):
-                if s != latest:
-                    members.append((s, m, p))
-                    latest = s
-            heads.extend(members[: HEADS - len(heads)])
-            if held is not None and len(held) + len(members) <= LEAF:
-                held.extend(members)
-            else:
-                if held:
-                    members = held + members
-                held = None
-                out.extend((1, k, s, p) for s, _, p in members)
-                out.extend(head_pairs(heads[:1], members))
-                if early is not None and len(early) + len(members) <= BLOCK:
-                    early.extend(members)
-                else:
-                    out.extend(head_pairs(heads[1:], (early or []) + members))
-                    early = None
+                last_key, latest, heads, early = k, None, [], []
+            for x in zip(sid[lo:hi].tolist(), n[lo:hi].tolist(), before[lo:hi].tolist(), strict=True):
+                if x[0] == latest:
+                    continue
+                latest = x[0]
+                while window and not fits(window[0][1], window[0][1], x[1], percent):
+                    out.extend(leave())
+                x = [*x, False]
+                if len(window) == LEAF:
+                    for y in (*window, x):
+                        if not y[3]:
+                            out.extend(member(y))
+                    window.popleft()
+                window.append(x)
         if out:
-            yield pd.DataFrame(out, columns=["kind", "a", "b", "before"])
+            yield pd.DataFrame(out, columns=["kind", "a", "b", "before", "n"])
     rest = list(end())
     if rest:
-        yield pd.DataFrame(rest, columns=["kind", "a", "b", "before"])
+        yield pd.DataFrame(rest, columns=["kind", "a", "b", "before", "n"])
 
 
 def _bound(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -362,22 +375,21 @@ _TREE = "kind INT, a BIGINT, b BIGINT, key BIGINT, least INT, most INT, label BI
 def _pack(frames: Iterator[pd.DataFrame], percent: int, every: bool) -> Iterator[pd.DataFrame]:
     """Packs rows (key, label, n, sid, point), sorted so, into blocks and joins each block with itself.
 
-    Rows of kind 0 are pairs (a, b) to verify; of kind 1, a bucket with pairs left out; and for buckets that may have
-    more than one block, of kind 2 a block a with its box, of kind 3 its members b. A block is named by its first
-    member. Memory: a batch and one block.
+    Rows of kind 0 are pairs (a, b) to verify; of kind 1, a bucket with pairs left out; and for buckets of
+    more than one block (column ``many``; all, if there is none), of kind 2 a block a with its box, of kind 3 its members b.
+    A block is named by its first member. Memory: a batch and one block.
     """
     held: list[tuple] = []  # the block being filled
-    key, blocks, first_key = None, 0, None
 
-    def close(more: bool) -> Iterator[tuple]:
-        block = Block(*(list(c) for c in zip(*((s, n, lb, p) for _, lb, n, s, p in held), strict=True)))
+    def close() -> Iterator[tuple]:
+        key, many = held[0][0], held[0][5]
+        block = Block(*(list(c) for c in zip(*((s, n, lb, p) for _, lb, n, s, p, _ in held), strict=True)))
         pairs, cut = tree_join(block, block, percent, every)
         for a, b in pairs.tolist():
             yield 0, a, b, key, 0, 0, None, None
         if cut:
             yield 1, 0, 0, key, 0, 0, None, None
-        # other tasks may hold parts of the task's first and last bucket
-        if more or blocks or key == first_key:
+        if many:
             one = int(block.label[0]) if (block.label == block.label[0]).all() else None
             name = int(block.sid[0])
             yield 2, name, 0, key, int(block.n.min()), int(block.n.max()), one, block.folded.max(axis=0).astype(np.int32).tobytes()
@@ -391,20 +403,16 @@ def _pack(frames: Iterator[pd.DataFrame], percent: int, every: bool) -> Iterator
 
     for frame in frames:
         out = []
-        for row in zip(*(frame[c].tolist() for c in ("key", "label", "n", "sid", "point")), strict=True):
-            if row[0] != key:
-                if held:
-                    out.extend(close(False))
-                first_key = row[0] if key is None else first_key
-                held, key, blocks = [], row[0], 0
-            elif len(held) == BLOCK:
-                out.extend(close(True))
-                held, blocks = [], blocks + 1
+        many = frame["many"].tolist() if "many" in frame else [True] * len(frame)
+        for row in zip(*(frame[c].tolist() for c in ("key", "label", "n", "sid", "point")), many, strict=True):
+            if held and (row[0] != held[0][0] or len(held) == BLOCK):
+                out.extend(close())
+                held = []
             held.append(row)
         if out:
             yield table(out)
     if held:
-        yield table(list(close(True)))
+        yield table(list(close()))
 
 
 def _between(tree: DataFrame, labelled: DataFrame, nodes: DataFrame, percent: int, every: bool) -> DataFrame:
@@ -444,27 +452,50 @@ def _size_class(n: Column, percent: int) -> Column:
 
 def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, every: bool) -> tuple[DataFrame, DataFrame] | None:
     """Candidate pairs between components that meet in a large bucket, and the buckets with pairs left out; None if there are none."""
-    labelled = cut_lineage(
-        members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "before", F.coalesce("label", "sid").alias("label"))
-    )
-    # where all members have the same common key before this one, its bucket holds them all and finds their pairs
-    seen = labelled.groupBy("key").agg(*(f(c).alias(f"{n}_{c}") for c in ("label", "before") for n, f in (("lo", F.min), ("hi", F.max))))
+    labelled = members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    labelled = cut_lineage(labelled.withColumn("class", _size_class(F.col("n"), percent)))
+    # a partner is of the node's size class or the next on either side; only nodes that have one of another component there go on
+    lo_hi = lambda c, lo, hi: (F.min(lo).alias(f"lo_{c}"), F.max(hi).alias(f"hi_{c}"))
+    seen = labelled.groupBy("key", "class").agg(*lo_hi("label", "label", "label"), *lo_hi("before", "before", "before"))
+    near = seen.withColumn("class", F.explode(F.array(*((F.col("class") + d).alias("class") for d in (-1, 0, 1)))))
+    seen = near.groupBy("key", "class").agg(*lo_hi("label", "lo_label", "hi_label"), *lo_hi("before", "lo_before", "hi_before"))
+    # where all have the same common key before this one, its bucket holds them all and finds their pairs
     seen = seen.where("lo_label <> hi_label").where("lo_before <> hi_before OR lo_before = 0")
-    open_ = cut_lineage(seen.select("key"))
+    open_ = cut_lineage(seen.select("key", "class"))
     if open_.limit(1).count() == 0:
         return None
-    labelled = cut_lineage(labelled.drop("before").join(open_, "key"))
-    # sets of a class are linked with sets of this and the next classes alone, so few blocks of a bucket meet
-    order = ["key", _size_class(F.col("n"), percent), "label", "n", "sid"]
-    rows = labelled.join(nodes.select("sid", "n", "point"), "sid").select("key", "label", "n", "sid", "point")
-    # dealt by ranges of the whole order: a large bucket spreads over as many tasks as it needs
-    tree = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(lambda f: _pack(f, percent, every), _TREE)
-    tree = cut_lineage(tree)
+    labelled = cut_lineage(labelled.drop("before").join(open_, ["key", "class"], "left_semi"))
+    rows = _blocks(labelled).join(nodes.select("sid", "point"), "sid")
+    # one block a group, whatever the number of tasks: blocks of a bucket that meet are as few as its size allows
+    order = ["key", "block", "class", "label", "n", "sid"]
+    tree = rows.repartition("key", "block").sortWithinPartitions(*order).select("key", "label", "n", "sid", "point", "many")
+    tree = cut_lineage(tree.mapInPandas(lambda f: _pack(f, percent, every), _TREE))
     found = tree.where("kind < 2").select("kind", "a", "b", "key").union(_between(tree, labelled, nodes, percent, every))
     found = cut_lineage(found.select("kind", "a", "b", F.when(F.col("kind") == 1, F.col("key")).alias("key")).distinct())
     return found.where("kind = 0").select("a", "b"), found.where("kind = 1").select("key")
 
 
+def _blocks(labelled: DataFrame) -> DataFrame:
+    """Adds ``block``, the number of a member's block in its bucket, and ``many``: the bucket has more than one.
+
+    Members are numbered by size class and component, since sets of a class are linked with sets of this and the next classes
+    alone: few blocks of a bucket meet. Every block but a bucket's last has BLOCK members.
+    """
+    large = cut_lineage(labelled.groupBy("key").count().where(F.col("count") > BLOCK).select("key"))
+    none = {"block": F.lit(0).cast("bigint"), "many": F.lit(False)}
+    if large.limit(1).count() == 0:
+        return labelled.withColumns(none)
+    order = ["key", "class", "label", "n", "sid"]
+    # dealt by ranges of the whole order: a large bucket spreads over as many tasks as it needs
+    placed = places(labelled.join(small(large), "key", "left_semi").repartitionByRange(*order).sortWithinPartitions(*order))
+    runs = placed.groupBy("key", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    runs = cut_lineage(runs.select("key", "part", "first", (F.sum("n").over(Window.partitionBy("key").orderBy("part")) - F.col("n")).alias("ahead")))
+    placed = placed.join(small(runs), ["key", "part"])
+    placed = placed.withColumns({"block": F.floor((F.col("ahead") + F.col("at") - F.col("first")) / BLOCK), "many": F.lit(True)})
+    rest = labelled.join(small(large), "key", "left_anti").withColumns(none)
+    return rest.unionByName(placed.select(*rest.columns))
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     return _components(docs, percent).select("doc_id", "n_shingles", "component_id")
@@ -482,12 +513,12 @@ def _components(docs: DataFrame, percent: int) -> DataFrame:
     # the common key that stands before a common key in a node's order; 0 for others
     before = F.when(F.col("at") > F.col("rare"), F.get("keys", F.col("at") - 1)).otherwise(0)
     keys = keys.select("sid", "n", "key", before.alias("before"))
-    met = keys.repartition("key").sortWithinPartitions("key", "sid").mapInPandas(lambda f: _meet(f, percent), "kind INT, a BIGINT, b BIGINT, before BIGINT")
+    met = keys.repartition("key").sortWithinPartitions("key", "n", "sid").mapInPandas(lambda f: _meet(f, percent), "kind INT, a BIGINT, b BIGINT, before BIGINT, n INT")
     met = cut_lineage(met.dropDuplicates(["kind", "a", "b"]))
     pairs = met.where("kind = 0").select("a", "b")
     links = cut_lineage(_verify(cut_lineage(_bound(pairs, nodes, percent)), docs, nodes, percent))
     labels = components(links)
-    members = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("sid"), "before")
+    members = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("sid"), "before", "n")
     for every in (False, True):  # first the likeliest pair of a node with each component, then all that is left
         more = _across(members, labels, nodes, percent, every)
         if more is None:

@@ -207,6 +207,55 @@ def test_very_large_buckets_meet_more_than_one_head(monkeypatch):
         assert sorted(set(found)) == sorted({*want, (3, 4)}) and (out["kind"] == 1).sum() == 20
 
 
+def test_unlike_sizes_do_not_crowd_a_bucket():
+    """A bucket of 120 sets, none with more than six of a size that fits: all of them were members of a large bucket."""
+    import llm.jaccard_join as j
+
+    n = [int(200 * 1.05**i) for i in range(120)]
+    frame = pd.DataFrame({"key": 5, "sid": range(120), "n": n, "before": 0})
+    out = pd.concat(j._meet(iter([frame[k : k + 7] for k in range(0, 120, 7)]), 75))
+    assert (out["kind"] == 0).all()
+    assert set(zip(out["a"], out["b"], strict=True)) == {(a, b) for b in range(120) for a in range(b) if j.fits(n[a], n[a], n[b])}
+
+
+def test_every_fitting_pair_of_a_bucket_meets(monkeypatch):
+    """As a pair, as two members, or in the bucket of the common key that both have before."""
+    import llm.jaccard_join as j
+
+    monkeypatch.setattr(j, "LEAF", 4)
+    monkeypatch.setattr(j, "BLOCK", 12)
+    rng = np.random.default_rng(7)
+    frame = pd.DataFrame({"key": rng.integers(0, 5, 300), "sid": rng.integers(0, 250, 300)})
+    frame["n"] = (20 * 1.3 ** (frame["sid"] % 23)).astype(int)
+    frame["before"] = rng.choice([0, 8, 9], 300)
+    frame = frame.sort_values(["key", "n", "sid"]).drop_duplicates(["key", "sid"])
+    out = pd.concat(j._meet(iter([frame[k : k + 11] for k in range(0, len(frame), 11)]), 75))
+    pairs = set(zip(out["a"][out["kind"] == 0], out["b"][out["kind"] == 0], strict=True))
+    members = set(zip(out["a"][out["kind"] == 1], out["b"][out["kind"] == 1], strict=True))
+    assert pairs and members and len(members) < len(frame)
+    for k, g in frame.groupby("key"):
+        rows_ = list(zip(g["sid"], g["n"], g["before"], strict=True))
+        for i, (a, na, pa) in enumerate(rows_):
+            for b, nb, pb in rows_[:i]:
+                if j.fits(min(na, nb), na, nb) and not (pa and pa == pb):
+                    assert (min(a, b), max(a, b)) in pairs or {(k, a), (k, b)} <= members
+
+
+def test_blocks_are_full_whatever_the_number_of_tasks(spark, monkeypatch):
+    """A large bucket over many tasks became a block a task, so the rows that blocks of it exchange grew with the tasks."""
+    import llm.jaccard_join as j
+
+    monkeypatch.setattr(j, "BLOCK", 16)
+    rows_ = spark.range(105).select(F.when(F.col("id") < 100, 1).otherwise(2).alias("key"), F.col("id").alias("sid"), F.col("id").alias("label"), F.lit(9).alias("n"), (F.col("id") % 3).alias("class"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "30")
+    try:
+        got = j._blocks(rows_).groupBy("key", "many", "block").count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted((r["key"], r["many"], r["block"], r["count"]) for r in got) == [*((1, True, k, 16) for k in range(6)), (1, True, 6, 4), (2, False, 0, 5)]
+
+
 def test_stages_set_small_batches_themselves(spark, monkeypatch):
     """A stage that is called without ``run`` has its Python steps in small batches too."""
     import corpus_pipeline as p
