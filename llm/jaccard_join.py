@@ -45,6 +45,7 @@ WORDS = 5
 LEAF = 24
 BLOCK = 1024
 HEADS = 8
+TOLD = 1 << 18
 TREE_GROUPS = 64
 SAMPLE_DOCS = 20_000
 COMMON_IN_SAMPLE = 4
@@ -380,13 +381,18 @@ def _pack(frames: Iterator[pd.DataFrame], percent: int, every: bool) -> Iterator
     A block is named by its first member. Memory: a batch and one block.
     """
     held: list[tuple] = []  # the block being filled
+    told: set[tuple] = set()  # pairs meet in many buckets; the task's latest are not told again
 
     def close() -> Iterator[tuple]:
         key, many = held[0][0], held[0][5]
         block = Block(*(list(c) for c in zip(*((s, n, lb, p) for _, lb, n, s, p, _ in held), strict=True)))
         pairs, cut = tree_join(block, block, percent, every)
         for a, b in pairs.tolist():
-            yield 0, a, b, key, 0, 0, None, None
+            if (a, b) not in told:
+                if len(told) == TOLD:
+                    told.clear()
+                told.add((a, b))
+                yield 0, a, b, key, 0, 0, None, None
         if cut:
             yield 1, 0, 0, key, 0, 0, None, None
         if many:

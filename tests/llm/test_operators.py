@@ -207,6 +207,15 @@ def test_very_large_buckets_meet_more_than_one_head(monkeypatch):
         assert sorted(set(found)) == sorted({*want, (3, 4)}) and (out["kind"] == 1).sum() == 20
 
 
+def test_a_pair_of_many_buckets_is_told_once_a_task():
+    import llm.jaccard_join as j
+
+    s = np.unique(np.random.default_rng(4).integers(0, 2**63, 50).astype(np.uint64))
+    frame = pd.DataFrame([(k, i, len(s), i, j.point(s), False) for k in range(30) for i in (1, 2)], columns=["key", "label", "n", "sid", "point", "many"])
+    out = pd.concat(j._pack(iter([frame]), 75, True))
+    assert out[["kind", "a", "b"]].to_numpy().tolist() == [[0, 1, 2]]
+
+
 def test_unlike_sizes_do_not_crowd_a_bucket():
     """A bucket of 120 sets, none with more than six of a size that fits: all of them were members of a large bucket."""
     import llm.jaccard_join as j
