@@ -598,6 +598,32 @@ def test_passages_with_substituted_words_are_found(spark):
     assert pairs == {(2 * i, 2 * i + 1) for i in range(40)} | {(85, 86)}
 
 
+def test_every_exact_repeat_is_in_a_passage(spark):
+    """Repeats of 50 words of which every part stands in other texts too, and texts that repeat a word or two, by brute force."""
+    from llm.passage_chains import MIN_WORDS, passages
+
+    rng = random.Random(29)
+    fresh = (f"e{i}" for i in range(100_000))
+    new = lambda n: [next(fresh) for _ in range(n)]
+    texts = []
+    for _ in range(25):
+        passage = new(51)
+        texts += [[*new(30), *passage[k : k + 40], *new(30)] for k in (0, 4, 8, 11) for _ in range(3)] + [[*new(30), *passage, *new(30)] for _ in range(2)]
+    for _ in range(40):
+        texts.append([*new(20), *sum(([rng.choice(["the", "be"])] * rng.choice([10, 48, 60, 150]) for _ in range(4)), []), *new(5), *["a", "b"] * rng.choice([20, 30, 60])])
+    rows = passages(table(spark, [" ".join(t) for t in texts])).collect()
+    held = [np.zeros(len(t), dtype=bool) for t in texts]
+    for r in rows:
+        held[r["doc_id"]][r["start_word"] : r["end_word"]] = True
+        held[r["other_doc_id"]][r["other_start"] : r["other_end"]] = True
+    where = {}
+    for k, t in enumerate(texts):
+        for i in range(len(t) - MIN_WORDS + 1):
+            where.setdefault(tuple(t[i : i + MIN_WORDS]), set()).add((k, i))
+    repeats = [place for places in where.values() if len({k for k, _ in places}) > 1 for place in places]
+    assert len({k for k, _ in repeats}) == 90 and all(held[k][i : i + MIN_WORDS].all() for k, i in repeats)
+
+
 def test_stretches_of_an_alignment():
     from llm.passage_chains import stretches
 
