@@ -48,8 +48,10 @@ HEADS = 8
 TOLD = 1 << 18
 TREE_GROUPS = 64
 SAMPLE_DOCS = 20_000
+SAMPLE_PART = 10
 COMMON_IN_SAMPLE = 4
 _COMMON_BITS = 22
+_MOST_COMMON_BITS = 25
 
 
 def fits(inter, a, b, percent: int = PERCENT):
@@ -112,10 +114,16 @@ def overlap_bound(a: list[bytes], b: list[bytes]) -> np.ndarray:
 
 
 def _common(docs: DataFrame) -> bytes:
-    """How common shingles are, four bits for each slot of their hashes: 0 where a bounded sample of documents does not share
-    the shingle, else 1 and one more for each doubling of the least number that counts as common."""
+    """How common shingles are, four bits for each slot of their hashes: 0 where a sample of documents does not share
+    the shingle, else 1 and one more for each doubling of the least number that counts as common.
+
+    The sample is a tenth of the documents, so that what counts as common, and with it the size of buckets, does not grow with
+    the input; its slots grow with it, 2 MB at first and 16 MB at most.
+    """
     total = docs.count()
-    sample = docs.where(F.pmod(F.xxhash64(F.lit(7), F.col("th")), F.lit(1_000_000)) < F.lit(int(min(1.0, SAMPLE_DOCS / max(total, 1)) * 1_000_000)))
+    size = max(SAMPLE_DOCS, total // SAMPLE_PART)
+    slots = 1 << min(_MOST_COMMON_BITS, _COMMON_BITS + (-(-size // SAMPLE_DOCS) - 1).bit_length())
+    sample = docs.where(F.pmod(F.xxhash64(F.lit(7), F.col("th")), F.lit(1_000_000)) < F.lit(int(min(1.0, size / max(total, 1)) * 1_000_000)))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -124,17 +132,17 @@ def _common(docs: DataFrame) -> bytes:
                 part = part[[not (t in seen or seen.add(t)) for t in part["th"]]]
                 sets = list(shingle_sets(*word_hashes(part["text"]), WORDS))
                 if sets:
-                    slot, n = np.unique(np.concatenate(sets) & np.uint64((1 << _COMMON_BITS) - 1), return_counts=True)
+                    slot, n = np.unique(np.concatenate(sets) & np.uint64(slots - 1), return_counts=True)
                     yield pd.DataFrame({"slot": slot.astype(np.int32), "n": n.astype(np.int32)})
 
     mean = sample.mapInPandas(count, "slot INT, n INT").groupBy("slot").agg(F.sum("n").alias("n"))
     words = cut_lineage(mean)
-    usual = words.agg((F.sum("n") / F.lit(1 << _COMMON_BITS)).alias("m")).first()["m"] or 0.0
+    usual = words.agg((F.sum("n") / F.lit(slots)).alias("m")).first()["m"] or 0.0
     # slots hold several shingles each; a slot well above the mean holds a common one
     least = int(usual + 4 * usual**0.5) + COMMON_IN_SAMPLE
     level = F.least(F.lit(15), 1 + F.floor(F.log2(F.col("n") / least))).cast("bigint")
     cells = words.where(F.col("n") >= least).select(F.expr("slot div 16").alias("cell"), (4 * F.expr("pmod(slot, 16)")).alias("at"), level.alias("level"))
-    out = np.zeros(1 << (_COMMON_BITS - 4), dtype=np.int64)  # 2 MB, whatever the input
+    out = np.zeros(slots // 16, dtype=np.int64)
     for row in cells.groupBy("cell").agg(F.expr("bit_or(shiftleft(level, at))").alias("bits")).toLocalIterator():
         out[row["cell"]] = row["bits"]
     return out.tobytes()
@@ -164,7 +172,7 @@ def nodes_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                         rows.append((doc, th, sid, n, None, None, 0))
                         continue
                     seen.add(sid)
-                    late = common[(s & np.uint64((1 << _COMMON_BITS) - 1)).astype(np.int64)]
+                    late = common[(s & np.uint64(len(common) - 1)).astype(np.int64)]
                     first = n - -(-percent * n // 100) + 1
                     keys = s[np.argsort(late, kind="stable")][:first]
                     rows.append((doc, th, sid, n, point(s), keys.astype(np.int64), min(first, int((late == 0).sum()))))
@@ -317,7 +325,8 @@ class Block:
     TREE_GROUPS groups, the range of the sizes and the component if it is but one.
     """
 
-    def __init__(self, sid, n, label, points):
+    def __init__(self, sid, n, label, points, before=None):
+        self.before = np.zeros(len(sid), dtype=np.int64) if before is None else np.asarray(before)
         self.sid, self.n, self.label, self.points = np.asarray(sid), np.asarray(n, dtype=np.int64), np.asarray(label), list(points)
         self.folded = _stack(self.points)
         self.starts = np.arange(0, len(self.sid), LEAF)
@@ -346,12 +355,17 @@ def tree_join(left: Block, right: Block, percent: int = PERCENT, every: bool = T
         if right.one[k]:
             may &= left.label != right.only[k]
         at = np.flatnonzero(may)
-        if not len(at):
-            continue
-        bound = np.minimum(left.folded[at][:, None, :], right.folded[None, lo:hi, :]).sum(axis=2)
+        # two nodes with the same common key before this bucket's meet in that key's bucket
+        open_ = (left.before[at][:, None] != right.before[None, lo:hi]) | (left.before[at][:, None] == 0)
+        open_ &= left.label[at][:, None] != right.label[None, lo:hi]
         ln, rn = left.n[at][:, None], right.n[None, lo:hi]
-        x, y = np.nonzero(fits(np.minimum(bound, np.minimum(ln, rn)), ln, rn, percent) & (left.label[at][:, None] != right.label[None, lo:hi]))
+        x, y = np.nonzero(open_ & fits(np.minimum(ln, rn), ln, rn, percent))
         x, y = at[x], y + lo
+        if not len(x):
+            continue
+        bound = np.minimum(left.folded[x], right.folded[y]).sum(axis=1)
+        fine = fits(np.minimum(bound, np.minimum(left.n[x], right.n[y])), left.n[x], right.n[y], percent)
+        x, y = x[fine], y[fine]
         bound = overlap_bound([left.points[i] for i in x], [right.points[i] for i in y])
         fine = fits(bound, left.n[x], right.n[y], percent)
         x, y = x[fine], y[fine]
@@ -385,7 +399,7 @@ def _pack(frames: Iterator[pd.DataFrame], percent: int, every: bool) -> Iterator
 
     def close() -> Iterator[tuple]:
         key, many = held[0][0], held[0][5]
-        block = Block(*(list(c) for c in zip(*((s, n, lb, p) for _, lb, n, s, p, _ in held), strict=True)))
+        block = Block(*(list(c) for c in zip(*((s, n, lb, p, b) for _, lb, n, s, p, _, b in held), strict=True)))
         pairs, cut = tree_join(block, block, percent, every)
         for a, b in pairs.tolist():
             if (a, b) not in told:
@@ -410,7 +424,8 @@ def _pack(frames: Iterator[pd.DataFrame], percent: int, every: bool) -> Iterator
     for frame in frames:
         out = []
         many = frame["many"].tolist() if "many" in frame else [True] * len(frame)
-        for row in zip(*(frame[c].tolist() for c in ("key", "label", "n", "sid", "point")), many, strict=True):
+        before = frame["before"].tolist() if "before" in frame else [0] * len(frame)
+        for row in zip(*(frame[c].tolist() for c in ("key", "label", "n", "sid", "point")), many, before, strict=True):
             if held and (row[0] != held[0][0] or len(held) == BLOCK):
                 out.extend(close())
                 held = []
@@ -437,10 +452,10 @@ def _between(tree: DataFrame, labelled: DataFrame, nodes: DataFrame, percent: in
     near = both.select("key", "i", "j", "i_least", "j_least", "i_box", "j_box").mapInPandas(route, "key BIGINT, i BIGINT, j BIGINT")
     near = near.withColumn("own", F.explode(F.array("i", "j")))
     members = tree.where("kind = 3").select("key", F.col("a").alias("own"), F.col("b").alias("sid"))
-    rows = near.join(members, ["key", "own"]).join(labelled.select("key", "sid", "label"), ["key", "sid"]).join(nodes.select("sid", "n", "point"), "sid")
+    rows = near.join(members, ["key", "own"]).join(labelled.select("key", "sid", "label", "before"), ["key", "sid"]).join(nodes.select("sid", "n", "point"), "sid")
 
     def join(f: pd.DataFrame) -> pd.DataFrame:
-        left, right = (Block(*(g[c].tolist() for c in ("sid", "n", "label", "point"))) for g in (f[f["own"] == f[c]].sort_values(["label", "n", "sid"]) for c in ("i", "j")))
+        left, right = (Block(*(g[c].tolist() for c in ("sid", "n", "label", "point", "before"))) for g in (f[f["own"] == f[c]].sort_values(["label", "n", "sid"]) for c in ("i", "j")))
         pairs, cut = tree_join(left, right, percent, every)
         if not every:  # the likeliest partners of either side
             back, cut_back = tree_join(right, left, percent, every)
@@ -470,11 +485,14 @@ def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: in
     open_ = cut_lineage(seen.select("key", "class"))
     if open_.limit(1).count() == 0:
         return None
-    labelled = cut_lineage(labelled.drop("before").join(open_, ["key", "class"], "left_semi"))
+    labelled = cut_lineage(labelled.join(open_, ["key", "class"], "left_semi"))
     rows = _blocks(labelled).join(nodes.select("sid", "point"), "sid")
     # one block a group, whatever the number of tasks: blocks of a bucket that meet are as few as its size allows
     order = ["key", "block", "class", "label", "n", "sid"]
-    tree = rows.repartition("key", "block").sortWithinPartitions(*order).select("key", "label", "n", "sid", "point", "many")
+    # their rows are few bytes and much work, so Spark is not left to join small tasks
+    spark = members.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    tree = rows.repartition(tasks, "key", "block").sortWithinPartitions(*order).select("key", "label", "n", "sid", "point", "many", "before")
     tree = cut_lineage(tree.mapInPandas(lambda f: _pack(f, percent, every), _TREE))
     found = tree.where("kind < 2").select("kind", "a", "b", "key").union(_between(tree, labelled, nodes, percent, every))
     found = cut_lineage(found.select("kind", "a", "b", F.when(F.col("kind") == 1, F.col("key")).alias("key")).distinct())

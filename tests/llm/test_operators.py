@@ -544,6 +544,36 @@ def test_mixing_deals_copies_to_equal_rows_each(spark):
     assert all(n <= have[k] for k, n in Counter((r["doc_id"], r["text"]) for r in got).items())
 
 
+def test_blocks_leave_pairs_with_one_common_key_before_to_that_key():
+    """In a bucket, two nodes with the same common key before it meet in that key's bucket; 0 stands for none."""
+    import llm.jaccard_join as j
+
+    sets = np.arange(1, 61, dtype=np.uint64) << np.uint64(40)
+    n = 2 * j.LEAF
+    before = [7] * j.LEAF + [8, 0] * (j.LEAF // 2)
+    block = j.Block(list(range(n)), [len(sets)] * n, list(range(n)), [j.point(sets)] * n, before)
+    pairs, cut = j.tree_join(block, block)
+    want = {(a, b) for a in range(n) for b in range(a + 1, n) if before[a] != before[b] or before[a] == 0}
+    assert {tuple(p) for p in pairs.tolist()} == want and not cut
+    frame = pd.DataFrame({"key": 9, "label": range(n), "n": len(sets), "sid": range(n), "point": [j.point(sets)] * n, "many": False, "before": before})
+    out = pd.concat(j._pack(iter([frame]), 75, True))
+    assert {(r.a, r.b) for r in out[out["kind"] == 0].itertuples()} == want
+
+
+def test_the_sample_that_orders_shingles_grows_with_the_input(spark, monkeypatch):
+    """A line in one of 20 documents counts as common, however many documents there are; components stay the same."""
+    import llm.jaccard_join as j
+
+    monkeypatch.setattr(j, "SAMPLE_DOCS", 20)
+    texts = [" ".join(f"c{k}" for k in range(12)) if i % 20 == 0 else " ".join(f"r{i}x{k}" for k in range(12)) for i in range(4000)]
+    texts = [f"{t} {i}" for i, t in enumerate(texts)]
+    docs = table(spark, texts).select("doc_id", "text").withColumn("th", F.xxhash64("text"))
+    levels = np.frombuffer(j._common(docs), np.uint8)
+    levels = np.stack([levels & 15, levels >> 4], axis=1).ravel()
+    at = lambda i: levels[(next(j.shingle_sets(*j.word_hashes([texts[i]]), 5)) & np.uint64(len(levels) - 1)).astype(np.int64)]
+    assert len(levels) > 1 << j._COMMON_BITS and (at(0) > 0).sum() == 8 and not at(1).any()
+
+
 def test_passages_across_documents(spark):
     from llm.passage_chains import passages
 
