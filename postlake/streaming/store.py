@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from postlake.functions.text import clean_for_match
 from postlake.operators import dedup
+from postlake.session import cut_lineage
 
 
 class BucketTable:
@@ -114,7 +115,7 @@ class JobStore:
         """Index the signatures of inserted postings (ord, apply_url, company, title) that ``known`` lacks."""
         rows = dedup.with_signature(inserted.select("ord", "apply_url", "company", "title")).where("sig IS NOT NULL")
         first = rows.groupBy("sig").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "sig"]), F.col("ord")).alias("r")).select("sig", "r.*")
-        new = first.join(known.select("sig"), "sig", "left_anti")
+        new = cut_lineage(first.join(known.select("sig"), "sig", "left_anti"))
         self.signatures.add(version, new)
         names = new.select("company_key").distinct().join(known.select("company_key"), "company_key", "left_anti")
-        self.companies.add(version, dedup.index_items(names, "company_key").distinct())
+        self.companies.add(version, cut_lineage(dedup.index_items(names, "company_key").distinct()))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from postlake.functions.dates import ts
 from postlake.operators.cooldown import with_accepted
 from postlake.operators.sessions import carried_intent
 from postlake.plans import bindings as B
+from postlake.session import shared_dir
 from postlake.sources.postings import normalize_batch
 from postlake.streaming import stateful
 from postlake.streaming.ingest import SCHEMA, ingest_batch, load, run_ingest
@@ -129,6 +131,36 @@ def test_batch_reads_and_rewrites_only_touched_buckets(spark, tmp_path):
     assert sorted(store.signatures._versions(1).values()).count(1) == 1
 
 
+def test_signatures_of_a_batch_are_worked_out_once(spark, tmp_path):
+    """The index writes two tables of buckets from the inserted postings and reads the postings once."""
+    store = JobStore(spark, str(tmp_path / "store"), SCHEMA, buckets=4)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            read.add(len(f))
+            yield f
+
+    rows = [(i, f"https://x.com/job/{i}", f"Firm q{i % 7}", f"Role v{i % 11}") for i in range(200)]
+    schema = "ord BIGINT, apply_url STRING, company STRING, title STRING"
+    store.add_signatures(0, spark.createDataFrame(rows, schema).mapInPandas(counted, schema), store.signatures.read(-1))
+    assert read.value == 200
+    assert store.signatures.read(0).count() == 77 and store.companies.read(0).select("company_key").distinct().count() == 7
+
+
+def test_landings_stand_by_source(spark, tmp_path):
+    """The readers of the eight sources scan a landing once, not eight times; a first landing without rows is no harm."""
+    for name in ("events", "documents"):
+        rows = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        rows.where("event_id BETWEEN 12 AND 35" if name == "events" else "doc_id < 4").coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    seen = []
+    query = entry.queries()["stream_ingest"](spark, str(tmp_path))
+    assert query.count() > 0 and query.columns == SCHEMA.names
+    for folder in Path(shared_dir(spark), spark.sparkContext.applicationId, "streams").glob("ingest-*"):
+        seen.append({p.parent.name for p in folder.glob("filled/**/*.parquet")})
+    assert any(s and all(n.startswith("source=") for n in s) for s in seen)
+
+
 def test_quota_counts_late_calls_on_their_own_day(spark, tmp_path):
     """200 calls of one day around a call of the next, in three micro-batches: 150 are allowed."""
     day = [0] * 133 + [1] + [0] * 67
